@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash, toxicity, url_rules
+from . import ann, decontam, lm, mixing, pages, rollups, simhash, surrogates, toxicity, url_rules
+from .util import shared_dir
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -22,16 +24,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.report(decontam.find_hits(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted under two tokenizer versions, each version's batch committed twice; totals."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rollup = rollups.Rollup(spark, f"{shared_dir(spark)}/strandline/rollup-{uuid.uuid4().hex}")
+    for version in ("byte_bpe_50k", rollups.WORDS_VERSION):
+        counted = rollups.count_tokens(docs, version).drop("text")
+        batch = counted.withColumns({"op": F.lit("insert"), "tokenizer_version": F.lit(version)})
+        rollup.commit(f"insert-{version}", batch)
+        rollup.commit(f"insert-{version}", batch)
+    return rollup.totals()
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "text", F.size("pii_kinds").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_all(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(urls, url_rules.rules_frame(spark, URL_RULES)).drop("url")
@@ -50,8 +86,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_simhash": op2_simhash,
+        "op3_nearest": op3_nearest,
         "op4_decontamination": op4_decontamination,
+        "op5_token_counts": op5_token_counts,
+        "op6_surrogates": op6_surrogates,
+        "op7_deleted_interpolation": op7_deleted_interpolation,
+        "op8_cube_mix": op8_cube_mix,
         "op9_url_rules": op9_url_rules,
         "op10_toxicity": op10_toxicity,
     }
