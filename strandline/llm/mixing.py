@@ -8,12 +8,13 @@ The cube method turns the fractions into zeros and ones.  Each step takes three
 along the direction that changes neither the expected words nor the expected documents, in one of its two senses with the
 chances that keep each expectation, until one of them is settled.  Blocks of at most ``BLOCK`` units each leave two or fewer
 unsettled; these go to the next round's blocks, and so on, so a hot source is spread over many tasks and no task grows.  In a
-source's last block the ``LANDING`` shortest units and the two still held are the landing problem: of their subsets with a
-document total less than one off, the one whose words come nearest to what is expected.
+source's last block ``LANDING`` units, spread over all sizes, are kept out of the flight; with the two still held they are the
+landing problem: of their subsets with a document total less than one off, one is drawn from those whose words come nearest
+to what is expected.
 
 * The unit is a (doc_id, source) pair; rows that repeat one are taken alike.  Null texts have size 0 and are never short of
   their target; a null source is a source, a null doc_id an id.
-* Blocks run from the longest document to the shortest, so that those left for the landing are short.
+* Blocks run from the longest document to the shortest.
 * All draws come from ``seed``, source, round and block, and blocks are ordered by size and doc_id: reruns agree.
 * An empty table gives an empty result.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .util import cut, fresh
 
-WEIGHTS, CAP, BLOCK, LANDING, SEED = (5, 2, 1), 3, 2048, 10, 20240307
+WEIGHTS, CAP, BLOCK, LANDING, SEED = (5, 2, 1), 3, 2048, 12, 20240307
 WORD = "[^\\x20\\x09-\\x0D]+"
 EPS = 1e-9
 UNITS = "id long, source string, size long, p double, taken int, open boolean"
@@ -68,8 +69,8 @@ def settle(size: list[float], p: list[float], land: bool, rng: random.Random) ->
 
     held: list[int] = []
     live = [k for k in range(len(p)) if 0 < p[k] < 1]
-    last = live[-LANDING:] if land else []
-    for k in live[: len(live) - len(last)]:
+    last = sorted({live[i * len(live) // LANDING] for i in range(LANDING)}) if land and live else []
+    for k in sorted({*live} - {*last}):
         held.append(k)
         while len(held) == 3:
             a, b, c = (size[i] for i in held)
@@ -82,7 +83,8 @@ def settle(size: list[float], p: list[float], land: bool, rng: random.Random) ->
         bits = (np.arange(1 << len(held))[:, None] >> np.arange(len(held))) & 1
         off = bits - np.array([p[i] for i in held])
         words, docs = np.abs(off @ np.array([size[i] for i in held])), np.abs(off.sum(axis=1))
-        for i, bit in zip(held, bits[np.lexsort((docs, words, docs >= 1))[0]]):
+        best = np.lexsort((words, docs >= 1))[: max(1, len(bits) // 500)]
+        for i, bit in zip(held, bits[best[rng.randrange(len(best))]]):
             p[i] = float(bit)
     return p
 
