@@ -18,6 +18,8 @@ Only texts and labels are inputs.  All documents are scored, whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,8 +38,14 @@ def normal(texts: list[str | None]) -> pa.Array:
     return pa.array([(t or "").lower().encode("utf-8", "replace").translate(ALNUM) for t in texts], pa.large_binary()).cast(pa.large_string())
 
 
-def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: pa.Array, block: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of each word's subwords, one after another, and the offsets of the words."""
+    parts = [some_subwords(words.slice(at, block)) for at in range(0, max(len(words), 1), block)]
+    return np.concatenate([r for r, _ in parts]), np.cumsum(np.concatenate([[0], *(n for _, n in parts)]))
+
+
+def some_subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same, with the number of each word's subwords."""
     lens = np.asarray(pa.compute.binary_length(words), dtype=np.int64)
     text = b" " + b" ".join(words.cast(pa.large_binary()).to_pylist()) + b" " if len(words) else b" "
     raw = np.frombuffer(text, np.uint8).astype(np.uint64)
@@ -53,7 +61,7 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ raw[k : k + len(h)]) * np.uint64(1099511628211)
         inside = gap[n - 1 : n - 1 + len(h)] == gap[1 : 1 + len(h)]  # a space at either end only
         at = np.flatnonzero(inside)
-        rows.append(((h[at] ^ (h[at] >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64))
+        rows.append(((h[at] ^ (h[at] >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32))
         owner.append(word_of[at])
     # the whole word: a polynomial over its bytes, by differences of running sums
     power = np.cumprod(np.full(len(raw) + 1, np.uint64(0x9E3779B97F4A7C15)))
@@ -64,11 +72,11 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inverse = np.cumprod(np.full(len(raw) + 1, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))))
         whole = (run[b] - run[a]) * inverse[a]
         whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    rows.append(((whole ^ (whole >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64))
+    rows.append(((whole ^ (whole >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32))
     owner.append(np.arange(len(words)))
     rows, owner = np.concatenate(rows), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return rows[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    return rows[order], np.bincount(owner, minlength=len(words))
 
 
 def starts(n: int) -> np.ndarray:
@@ -170,10 +178,19 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MAX_TOXIC, most_cl
     have = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     ids = have.select("doc_id").join(marks, "doc_id")
     chosen = ids.filter("y > 0").orderBy("h").limit(most_toxic).unionByName(ids.filter("y = 0").orderBy("h").limit(most_clean))
-    # at most most_toxic + most_clean rows
-    rows = have.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    # at most most_toxic + most_clean rows, to one task; only the model, of fixed size, comes to the driver
+    rows = have.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "y")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        texts, marks = [r[1] for r in got], [r[2] for r in got]
+        del got
+        model = train(texts, marks)
+        yield pa.RecordBatch.from_arrays([pa.array([model.values.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], names=["model", "bias"])
+
+    small_batches(session(docs))
+    found = rows.coalesce(1).mapInArrow(learn, "model binary, bias double").first()
+    return Model(np.frombuffer(found["model"], np.float32), found["bias"]) if found else train([], [])
 
 
 def add_score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
