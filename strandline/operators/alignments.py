@@ -35,7 +35,8 @@ def pair_mates(records: DataFrame) -> DataFrame:
         F.max(F.when(has(FIRST), F.col("rec_idx"))).alias("_1"), F.max(F.when(has(SECOND), F.col("rec_idx"))).alias("_2"), F.count("*").alias("n")
     )
     ok = F.col("_1").isNotNull() & F.col("_2").isNotNull() & (F.col("n") == 2)
-    both = both.withColumn("_1", F.when(ok, F.col("_1")).otherwise(F.raise_error(F.concat(F.lit("not one first and one second mate: "), "qname")).cast("long")))
+    wrong = F.raise_error(F.concat(F.lit("not one first and one second mate: "), "qname")).cast("long")
+    both = both.select("qname", *[F.when(ok, F.col(c)).otherwise(wrong).alias(c) for c in ("_1", "_2")])
     rows = records.filter(has(PAIRED)).select(F.col("rec_idx").alias("_r"), whole.alias("m"))
     left = both.join(rows.withColumnsRenamed({"_r": "_1", "m": "a"}), "_1")
     return left.join(rows.withColumnsRenamed({"_r": "_2", "m": "b"}), "_2").select("a", "b")
