@@ -10,8 +10,8 @@ No table of words or pairs is ever broadcast or joined row by row.  Documents ar
 
 1. Each chunk sends its words, dealt by hash, with training counts; a bucket adds up equal words and answers each chunk in
    its own order.  N and V are sums over the buckets.
-2. Each chunk sends its pairs in the same way, but only those of which both words also occur in training outside the chunk;
-   for the others the chunk's own count is the corpus's.
+2. Each chunk sends its pairs in the same way, but only those of which other chunks hold both words; for the others the
+   chunk's own count is the corpus's.
 3. Each chunk, with both answers, adds its tokens to a histogram of (context bucket, estimates), which is of bounded size
    however large the corpus and is where EM runs; then it scores its documents.
 
@@ -137,9 +137,8 @@ class Chunk:
         pair, back = np.unique(self.before * len(self.words) + self.codes, return_inverse=True)
         return pair, back, np.bincount(back[self.train], minlength=len(pair))
 
-    def asked(self, pair: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pairs the chunk can't count alone, and their keys; total: corpus counts of its words."""
-        shared = total > self.counts
+    def asked(self, pair: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs the chunk can't count alone, and their keys; shared: words that other chunks hold too."""
         h, w = pair // len(self.words), pair % len(self.words)
         which = np.flatnonzero(shared[h] & shared[w])
         a, b = self.words[h[which]], self.words[w[which]]
@@ -170,14 +169,16 @@ def deal(chunk: int, keys: np.ndarray, counts: np.ndarray, parts: int, bits: int
 
 
 def add_up(group: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: totals of each asked key, by chunk."""
+    """One bucket: twice the total of each asked key, and one more if several chunks asked, by chunk."""
     keys = [unpack_sorted(b) for b in group["keys"]]
     counts = [unpack(b) for b in group["counts"]]
     all_keys = np.concatenate(keys)
     distinct, back = np.unique(all_keys, return_inverse=True)
     total = np.bincount(back, np.concatenate(counts).astype(np.float64), len(distinct)).astype(np.uint64)
     edges = np.cumsum([0] + [len(k) for k in keys])
-    out = pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "totals": [pack(total[back[a:b]]) for a, b in zip(edges[:-1], edges[1:])]})
+    # one bit tells whether another chunk holds the key, if only in held-out documents
+    told = total * np.uint64(2) + (np.bincount(back, minlength=len(distinct)) > 1).astype(np.uint64)
+    out = pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "totals": [pack(told[back[a:b]]) for a, b in zip(edges[:-1], edges[1:])]})
     out["n"], out["v"] = 0, 0
     out.loc[out.index[0], ["n", "v"]] = [int(total.sum()), int((total > 0).sum())]
     return out
@@ -199,18 +200,20 @@ def joined(answer, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def known(chunk: Chunk, row) -> np.ndarray:
-    return joined(row.words_total, np.arange(len(chunk.words)))
+def known(chunk: Chunk, row) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the chunk's words, and which of them other chunks hold too."""
+    told = joined(row.words_total, np.arange(len(chunk.words)))
+    return told >> 1, (told & 1).astype(bool)
 
 
-def resolved(row, scale: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
+def resolved(row) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
     """The chunk, its words' counts, its pairs' counts, and each token's pair."""
     chunk = chunk_of(row)
-    total = known(chunk, row)
+    total, shared = known(chunk, row)
     pair, back, counts = chunk.pairs()
-    which, keys = chunk.asked(pair, total)
+    which, keys = chunk.asked(pair, shared)
     counts = counts.astype(np.int64)
-    counts[which] = joined(row.pairs_total, np.argsort(keys, kind="stable"))
+    counts[which] = joined(row.pairs_total, np.argsort(keys, kind="stable")) >> 1
     return chunk, total, counts, back
 
 
@@ -223,7 +226,7 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
 
 def histogram(row, n: int, v: int) -> dict[tuple[int, int, int], int]:
     """Training tokens by context bucket and binned estimates, each without its own document's counts."""
-    chunk, total, counts, back = resolved(row, 0)
+    chunk, total, counts, back = resolved(row)
     t = np.flatnonzero(chunk.train)
     width = len(counts) + 1
     doc_pair = chunk.doc[t] * width + back[t]
@@ -284,7 +287,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def scored(row, n: int, v: int, weights: np.ndarray) -> pa.RecordBatch:
-    chunk, total, counts, back = resolved(row, 0)
+    chunk, total, counts, back = resolved(row)
     c2, cw, ch = counts[back], total[chunk.codes], total[chunk.before]
     bucket = context_bucket(ch)
     lam = weights[bucket]
@@ -339,7 +342,7 @@ def score_all(docs: DataFrame, held: Callable[[Column], Column] = held_out, doc:
     def ask_pairs(row) -> Iterator[pa.RecordBatch]:
         c = chunk_of(row)
         pair, _, counts = c.pairs()
-        which, keys = c.asked(pair, known(c, row))
+        which, keys = c.asked(pair, known(c, row)[1])
         if len(which):
             yield send(deal(row.chunk, keys, counts[which], parts, 56)[0])
 
