@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -213,11 +213,11 @@ def name_like(r: Stream, parts: list[str], gender: str) -> str:
     return " ".join(out)
 
 
-def rewritten(text: str, attempts: dict, key: bytes) -> tuple[str, list[str]]:
+def rewritten(text: str, attempts: dict, key: bytes, make: Callable = surrogate) -> tuple[str, list[str]]:
     """attempts: (kind, entity) -> attempt, of those that are not 0."""
     out, last, kinds = [], 0, []
     for a, b, kind, found, gender in mentions(text):
-        out += [text[last:a], surrogate(kind, found, gender, attempts.get((kind, canonical(kind, found)), 0) if attempts else 0, key)]
+        out += [text[last:a], make(kind, found, gender, attempts.get((kind, canonical(kind, found)), 0) if attempts else 0, key)]
         last = b
         kinds.append(kind)
     return ("".join([*out, text[last:]]), kinds) if kinds else (text, kinds)
@@ -244,20 +244,20 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("kind", "entity").agg(F.min(F.struct("found", "gender")).alias("m")).select("kind", "entity", "m.found", "m.gender")
 
 
-def replaced(key: bytes):
+def replaced(key: bytes, make: Callable):
     @F.arrow_udf("string")
     def run(kind: pa.Array, found: pa.Array, gender: pa.Array, attempt: pa.Array) -> pa.Array:
         cols = [c.to_pylist() for c in (kind, found, gender, attempt)]
-        return pa.array([canonical(k, surrogate(k, f, g, a, key)) for k, f, g, a in zip(*cols)], pa.string())
+        return pa.array([canonical(k, make(k, f, g, a, key)) for k, f, g, a in zip(*cols)], pa.string())
 
     return run
 
 
-def later_attempts(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def later_attempts(docs: DataFrame, text: str = "text", key: bytes = KEY, make: Callable = surrogate) -> DataFrame:
     """kind, entity, attempt of the entities whose first replacement is taken: by another entity, or by a real one."""
     state = cut(entities(docs, text).withColumn("attempt", F.lit(0)), "entities")
     real = state.select(F.col("kind").alias("_k"), F.col("entity").alias("_e"))
-    new = replaced(key)
+    new = replaced(key, make)
     for _ in range(MAX_ATTEMPTS):
         state = state.withColumn("new", new(F.col("kind"), F.col("found"), F.col("gender"), F.col("attempt")))
         clash = state.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("attempt")).alias("a"), F.xxhash64("entity").alias("h"), "entity")).alias("first"))
@@ -272,12 +272,13 @@ def later_attempts(docs: DataFrame, text: str = "text", key: bytes = KEY) -> Dat
     raise RuntimeError("replacements still coincide")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, kinds: str | None = "pii_kinds") -> DataFrame:
-    """docs with the text rewritten and, unless it is None, a column of the kinds of its entities, in order."""
+def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, kinds: str | None = "pii_kinds", make: Callable = surrogate) -> DataFrame:
+    """docs with the text rewritten and, unless it is None, a column of the kinds of its entities, in order; ``make`` takes a
+    mention's kind, form, gender, attempt and key and gives its replacement."""
     small_batches(session(docs))
     if kinds:
         docs = docs.drop(kinds)
-    later = cut(later_attempts(docs, text, key), "attempts")
+    later = cut(later_attempts(docs, text, key, make), "attempts")
     (row,) = fresh(docs, "rewritten")
     wanted = pa.struct([("text", pa.string()), ("kinds", pa.list_(pa.string()))])
 
@@ -286,7 +287,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, kinds: s
 
     @F.arrow_udf("text string, kinds array<string>")
     def plain(texts: pa.Array) -> pa.Array:
-        return column(rewritten(t, {}, key) if t is not None else (None, []) for t in texts.to_pylist())
+        return column(rewritten(t, {}, key, make) if t is not None else (None, []) for t in texts.to_pylist())
 
     if not later.limit(1).count():
         out = docs.withColumn(row, plain(F.col(text)))
@@ -301,7 +302,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, kinds: s
         @F.arrow_udf("text string, kinds array<string>")
         def again(texts: pa.Array, found: pa.Array) -> pa.Array:
             known = [{(x["kind"], x["entity"]): x["attempt"] for x in f or []} for f in found.to_pylist()]
-            return column(rewritten(t, k, key) if t is not None else (None, []) for t, k in zip(texts.to_pylist(), known))
+            return column(rewritten(t, k, key, make) if t is not None else (None, []) for t, k in zip(texts.to_pylist(), known))
 
         marked = docs.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit("")), F.length(text)))
         each = marked.select(mark, F.explode(listed(F.col(text))).alias("x")).select(mark, "x.*").distinct()
