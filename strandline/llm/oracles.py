@@ -42,5 +42,16 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+#: The pages of the given tables have one layout; for it, SQL can say what the article is.
+OP1 = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '<br>', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(h, '</?b>', '', 'g'), '</?(?:p|h1)>') AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(
+        replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM b)
+SELECT page_id, url, t AS text, CAST(length(t) AS BIGINT) AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS t FROM c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op9_url_rules": OP9}
+    return {"op1_main_text": OP1, "op4_decontamination": OP4, "op9_url_rules": OP9}
