@@ -6,6 +6,8 @@ and works on all reads of the batch at once.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from ..config import COMPARED, FAST, FAST_LIMIT, Options
@@ -36,6 +38,16 @@ class Reads:
         self.raw = np.frombuffer(flat, np.uint8).reshape(len(seqs), self.width).astype(np.int64)
         self.qual = np.clip(self.raw - offset, 0, T.QUALITIES - 1)
 
+    @functools.cached_property
+    def scores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each base, if it matches and if it does not; looked up once for all candidates."""
+        return T.match()[self.qual], T.mismatch()[self.qual]
+
+    @functools.cached_property
+    def row(self) -> np.ndarray:
+        """Where each base's row begins in the flat pair table."""
+        return self.qual * T.QUALITIES
+
     def __len__(self) -> int:
         return len(self.len)
 
@@ -61,10 +73,10 @@ def adapter(reads: Reads, seq: str, x: int) -> tuple[np.ndarray, np.ndarray]:
     room = np.maximum(reads.len - x, 0)
     m = np.minimum(room, len(a))
     w = min(len(a), max(reads.width - x, 0))
-    base, q = reads.base[:, x : x + w], reads.qual[:, x : x + w]
-    same = (base == a[:w]) | (a[:w] == WILD)
+    hit, miss = reads.scores
+    same = (reads.base[:, x : x + w] == a[:w]) | (a[:w] == WILD)
     inside = np.arange(w) < m[:, None]
-    score = np.where(inside, np.where(same, T.match()[q], T.mismatch()[q]), 0.0)
+    score = np.where(same, hit[:, x : x + w], miss[:, x : x + w]) * inside
     same &= inside
     ll, hits = score.sum(axis=1), same.sum(axis=1)
     if w >= FAST:
@@ -88,10 +100,9 @@ def overlap(one: Reads, two: Reads, x: int) -> tuple[np.ndarray, np.ndarray]:
     if not w or not two.width:
         return np.full(len(one), x * T.LAMBDA), np.zeros(len(one), np.int64)
     j = np.clip(j, 0, two.width - 1)
-    b2, q2 = np.take_along_axis(two.base, j, 1), np.take_along_axis(two.qual, j, 1)
-    b1, q1 = one.base[:, :w], one.qual[:, :w]
-    same = b1 == b2
-    score = np.where(inside, np.where(same, T.pair_match()[q1, q2], T.pair_mismatch()[q1, q2]), 0.0)
+    j += (np.arange(len(two)) * two.width)[:, None]  # places in the flat matrices
+    same = one.base[:, :w] == two.base.ravel()[j]
+    score = T.pair_scores()[one.row[:, :w] + two.qual.ravel()[j] + same * T.QUALITIES**2] * inside
     return x * T.LAMBDA + score.sum(axis=1), (same & inside).sum(axis=1)
 
 
@@ -172,7 +183,7 @@ def chimeric(reads: Reads, o: Options) -> np.ndarray:
             w = min(len(a), reads.width)
             m = np.minimum(reads.len, len(a))
             same = (reads.base[:, :w] == a[:w]) | (a[:w] == WILD)
-            score = np.where(np.arange(w) < m[:, None], np.where(same, T.match()[reads.qual[:, :w]], T.mismatch()[reads.qual[:, :w]]), 0.0)
+            score = np.where(same, reads.scores[0][:, :w], reads.scores[1][:, :w]) * (np.arange(w) < m[:, None])
             out |= (m > 0) & (score.sum(axis=1) + T.LAMBDA * (reads.len - m) > reads.len * T.LAMBDA)
     return out
 
