@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,17 +55,30 @@ def inner_key(s: str, q: str, key: str, missing: bool) -> tuple[str, str, str]:
     return "K", s, q
 
 
-def row(code=" ", seq="", qual="", cut=-1, s1=None, q1=None, s2=None, q2=None) -> dict:
-    return {"code": code, "seq": seq, "qual": qual, "cut": cut, "s1": s1, "q1": q1, "s2": s2, "q2": q2}
+class Outcome(NamedTuple):
+    """code, new sequence and quality (empty if none), cut (-1 if none), and the reads after their keys."""
+
+    code: str = " "
+    seq: str = ""
+    qual: str = ""
+    cut: int = -1
+    s1: str | None = None
+    q1: str | None = None
+    s2: str | None = None
+    q2: str | None = None
+
+
+def columns(rows: list[Outcome]) -> pa.StructArray:
+    parts = list(zip(*rows)) or [()] * len(Outcome._fields)
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(parts, RESULT_TYPE)], Outcome._fields)
 
 
-def run_single(seqs: list[str], quals: list[str], o: Options) -> list[dict]:
-    """code, new sequence (empty if none), cut, and the read after its key."""
+def run_single(seqs: list[str], quals: list[str], o: Options) -> list[Outcome]:
     key, out, live = o.key_pair[0], [], []
     cut_s, cut_q = [], []
     for k, (s, q) in enumerate(zip(seqs, quals)):
         kept = single_key(s, q, key, o.allow_missing) if key else (s, q)
-        out.append(row("K", s1=s, q1=q) if kept is None else None)
+        out.append(Outcome("K", s1=s, q1=q) if kept is None else None)
         if kept is not None:
             live.append(k)
             cut_s.append(kept[0])
@@ -74,23 +89,23 @@ def run_single(seqs: list[str], quals: list[str], o: Options) -> list[dict]:
     for i, k in enumerate(live):
         s, q = cut_s[i], cut_q[i]
         if bad[i]:
-            out[k] = row("D", s1=s, q1=q)
+            out[k] = Outcome("D", s1=s, q1=q)
         elif sure[i]:
             x = int(best.x[i])
             code, seq, qual = inner_key(s[:x], q[:x], o.ikey, o.allow_missing)
             if code == " " and len(seq) < MIN_LENGTH:
                 code, seq, qual = "D", "", ""
-            out[k] = row(code, seq, qual, x, s, q)
+            out[k] = Outcome(code, seq, qual, x, s, q)
         else:
-            out[k] = row(s1=s, q1=q)
+            out[k] = Outcome(s1=s, q1=q)
     return out
 
 
-def run_pairs(record: list[int], s1: list[str], q1: list[str], s2: list[str], q2: list[str], o: Options) -> list[dict]:
+def run_pairs(record: list[int], s1: list[str], q1: list[str], s2: list[str], q2: list[str], o: Options) -> list[Outcome]:
     out, live, kept = [], [], []
     for k, four in enumerate(zip(s1, q1, s2, q2)):
         got = pair_key(*four, o.key_pair, o.allow_missing) if o.key_pair[0] and four[0] else four
-        out.append(row("K", s1=four[0], q1=four[1], s2=four[2], q2=four[3]) if got is None else None)
+        out.append(Outcome("K", s1=four[0], q1=four[1], s2=four[2], q2=four[3]) if got is None else None)
         if got is not None:
             live.append(k)
             kept.append(got)
@@ -102,12 +117,12 @@ def run_pairs(record: list[int], s1: list[str], q1: list[str], s2: list[str], q2
     for i, k in enumerate(live):
         a, b, c, d = kept[i]
         if bad[i]:
-            out[k] = row("D", s1=a, q1=b, s2=c, q2=d)
+            out[k] = Outcome("D", s1=a, q1=b, s2=c, q2=d)
         elif sure[i]:
             code, seq, qual = inner_key(*merged[i], o.ikey, o.allow_missing)
-            out[k] = row(code, seq, qual, int(best.x[i]), a, b, c, d)
+            out[k] = Outcome(code, seq, qual, int(best.x[i]), a, b, c, d)
         else:
-            out[k] = row(s1=a, q1=b, s2=c, q2=d)
+            out[k] = Outcome(s1=a, q1=b, s2=c, q2=d)
     return out
 
 
@@ -120,7 +135,7 @@ def trimmed(seq: Column | str, qual: Column | str, o: Options) -> Column:
 
     @F.arrow_udf(RESULT)
     def run(s: pa.Array, q: pa.Array) -> pa.Array:
-        return pa.array(run_single(texts(s), texts(q), o), RESULT_TYPE)
+        return columns(run_single(texts(s), texts(q), o))
 
     return run(seq, qual)
 
@@ -130,7 +145,7 @@ def merged(record, s1, q1, s2, q2, o: Options) -> Column:
 
     @F.arrow_udf(RESULT)
     def run(r: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        return pa.array(run_pairs(r.to_pylist(), *map(texts, (a, b, c, d)), o), RESULT_TYPE)
+        return columns(run_pairs(r.to_pylist(), *map(texts, (a, b, c, d)), o))
 
     return run(record, s1, q1, s2, q2)
 

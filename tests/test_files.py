@@ -185,3 +185,18 @@ def test_stream(spark, tmp_path):
 def test_fasta(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">x\nACGT\nGG\n")
     assert fastq.read_fasta(spark, str(tmp_path / "a.fa")).first()["seq"] == "ACGTGG"
+
+
+def test_lengths(spark, tmp_path):
+    import math
+
+    from strandline.operators.prior import fit_lognormal
+    from strandline.sources.lengths import read_lengths
+
+    (tmp_path / "l.txt").write_text("100\n 50\n200\n")
+    got = fit_lognormal(read_lengths(spark, str(tmp_path / "l.txt"))).first()
+    logs = [math.log(x) for x in (100, 50, 200)]
+    mean = sum(logs) / 3
+    sd = math.sqrt(sum((x - mean) ** 2 for x in logs) / 3)
+    assert got["n"] == 3 and abs(got["meanlog"] - mean) < 1e-12 and abs(got["sdlog"] - sd) < 1e-12
+    assert abs(got["meanlog_se"] - sd / math.sqrt(3)) < 1e-12 and abs(got["sdlog_se"] - sd / math.sqrt(6)) < 1e-12

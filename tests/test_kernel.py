@@ -92,15 +92,15 @@ def test_wrong_input():
 def test_edge_reads():
     o = Options(trim_cutoff=5)
     got = trim.run_single(["", "ACG", padded("A" * 3)[:3]], ["", "III", "III"], o)
-    assert [g["code"] for g in got] == [" "] * 3 and all(g["seq"] == "" for g in got)
+    assert [g.code for g in got] == [" "] * 3 and all(g.seq == "" for g in got)
     assert trim.run_single([], [], Options()) == []
     pair = trim.run_pairs([1], [""], [""], ["ACGT"], ["IIII"], Options())
-    assert pair[0]["seq"] == ""
+    assert pair[0].seq == ""
 
 
 def test_adapter_dimer_is_short():
     adapter = Options().forward[:33]
-    assert trim.run_single(["ACG" + adapter], ["I" * 36], Options())[0]["code"] == "D"
+    assert trim.run_single(["ACG" + adapter], ["I" * 36], Options())[0].code == "D"
 
 
 def test_keys():
@@ -116,7 +116,7 @@ def test_phred64():
     s, q = "GATTACAGATTACA" + Options().forward[:30], "I" * 44
     a = trim.run_single([s], [q], Options())[0]
     b = trim.run_single([s], ["".join(chr(ord(c) + 31) for c in q)], Options(phred64=True))[0]
-    assert a["seq"] == b["seq"] == "GATTACAGATTACA"
+    assert a.seq == b.seq == "GATTACAGATTACA"
 
 
 def test_coin_is_fair():
