@@ -4,12 +4,14 @@ A word is a run of ASCII letters and digits (after Unicode lower-casing) and of
 itself and its UTF-8 byte n-grams, a space marking either end; each hashes to a row of an embedding table, and the word's
 vector is their mean.  So a misspelling that was never seen shares most of its rows with those that were.  A window of
 ``WINDOW`` words averages its words' vectors into a two-class softmax; a document's probability is that of its most toxic
-window (half-overlapping windows over the whole text), which keeps a few bad words in a long text from being averaged away.
+window (half-overlapping windows over the whole text), which keeps a few bad words in a long text from being averaged away.  A word
+that stands among the seven before it is not counted again.
 
 Training takes at most ``MAX_TOXIC`` + ``MAX_CLEAN`` labelled documents, those with the least hash of doc_id; a
 documented bound.  The first passes count all windows of a toxic document as toxic; the later ones take the most toxic
 window of each document, toxic or clean, and a share of the other clean windows, drawn anew each time.
-Only texts and labels are inputs.  All documents are scored, whole.
+At the end the bias moves so that the threshold lies midway between the
+two kinds of training documents.  Only texts and labels are inputs.  All documents are scored, whole.
 
 * Null or empty texts, and texts without words, get the score of the bias alone.  Labels that are null are no labels.  A
   document that is labelled more than once is toxic if any of its labels is.
@@ -79,6 +81,16 @@ def some_subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], np.bincount(owner, minlength=len(words))
 
 
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """encode_words, without words that stand among the seven before them: a window is not filled by one word."""
+    offsets, codes, words = encode_words(texts)
+    keep = np.ones(len(codes), bool)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    for k in range(1, min(WINDOW, len(codes))):
+        keep[k:] &= (codes[k:] != codes[:-k]) | (doc[k:] != doc[:-k])
+    return np.concatenate([[0], np.cumsum(keep)])[offsets], codes[keep], words
+
+
 def starts(n: int) -> np.ndarray:
     """First words of the windows of n words."""
     return np.unique(np.append(np.arange(0, max(n - WINDOW, 0) + 1, WINDOW // 2), max(n - WINDOW, 0)))
@@ -91,7 +103,7 @@ class Model:
         self.values, self.bias = values.astype(np.float64), float(bias)
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        offsets, codes, words = encode_words(normal(texts.to_pylist()))
+        offsets, codes, words = counted(normal(texts.to_pylist()))
         rows, bounds = subwords(words)
         each = np.add.reduceat(self.values[rows], bounds[:-1]) / np.diff(bounds) if len(words) else np.zeros(0)
         total = np.concatenate([[0.0], np.cumsum(each[codes])])
@@ -111,7 +123,7 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED) -> Model:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 50.0 if share else -50.0)
     rng = np.random.default_rng(seed)
-    offsets, codes, words = encode_words(normal(texts))
+    offsets, codes, words = counted(normal(texts))
     rows, bounds = subwords(words)
     count = np.diff(bounds)
     begin, end, doc = [], [], []
@@ -164,7 +176,24 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED) -> Model:
             table[ids] -= (RATE * pull / np.sqrt(sq_table[ids]))[:, None] * axis[None, :]
             axis -= 0.1 * RATE * grad_axis / np.sqrt(sq_axis)
             bias -= 0.1 * RATE * grad_bias / np.sqrt(sq_bias)
-    return Model(table @ axis, bias)
+    value = table @ axis
+    each = np.add.reduceat(value[rows], bounds[:-1]) / count
+    total = np.concatenate([[0.0], np.cumsum(each[codes])])
+    top = np.full(len(y), -np.inf)
+    np.maximum.at(top, doc, (total[end] - total[begin]) / (end - begin))
+    return Model(value, np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(top[top > -np.inf], y[top > -np.inf], -bias))
+
+
+def best_cut(z: np.ndarray, y: np.ndarray, usual: float) -> float:
+    """Where the threshold lies best between the two kinds of training documents, at most one from the usual place: the middle
+    of the widest gap with the least share of errors."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    wrong = np.cumsum(np.append(0, y)) / max(y.sum(), 1) + np.append(np.cumsum((1 - y)[::-1])[::-1], 0) / max((1 - y).sum(), 1)
+    low, high = np.append(usual - 1, z), np.append(z, usual + 1)
+    gap = np.where(wrong <= wrong.min() + 1e-12, high - low, -1)
+    k = int(gap.argmax())
+    return float(np.clip((low[k] + high[k]) / 2, usual - 1, usual + 1))
 
 
 def held_out(doc_id: Column) -> Column:
