@@ -9,7 +9,8 @@ gender (by title or list), script and the number of their parts.
 The replacement follows from a secret key and the entity alone, so an entity has one replacement in every document
 (coreference).  The collision check finds, over the whole table, entities whose replacements coincide with each other's or
 with an entity that really occurs; all but the first by hash are given the next attempt, and again until none is left.  The few
-that needed one are joined to the documents that hold them; all other documents are rewritten where they are read.
+that needed one are counted: up to ``MAX_SENT`` are broadcast and texts are rewritten where they are read; if there are more,
+they are joined to the documents that hold them.
 
 * Case, spaces and punctuation of a number do not make another entity; the form of each mention is kept.
 * Null texts stay null; texts without entities are returned as they are, byte for byte.  Repeated rows are rewritten alike.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +33,7 @@ from .util import cut, fresh, session, small_batches
 
 KEY = b"strandline-surrogates-1"
 MAX_ATTEMPTS = 40
+MAX_SENT = 200_000
 
 #: Titles and the gender they tell; fixed values.
 TITLES = {
@@ -58,18 +61,47 @@ TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 NAME_PART = r"\p{Lu}[\p{L}'’-]+"
 PATTERN = regex.compile(
     r"(?P<email>(?<![\w.+-])[\w+-][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
-    r"|(?P<secret>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp|gho|ghs)_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b"
-    r"|(?<=\b(?i:token|secret|password|passwd|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>,;]{8,})"
+    r"|(?P<secret>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp|gho|ghs)_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b)"
+    r"|\b(?i:token|secret|password|passwd|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?(?P<value>[^\s\"'<>,;]{8,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b)"
     r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w))"
     r"|(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<name>(?<=\b(?:" + TITLE + r")\.?\s)" + NAME_PART + r"(?: " + NAME_PART + r"){0,2})"
+    r"|\b(?P<title>" + TITLE + r")\.?\s(?P<name>" + NAME_PART + r"(?: " + NAME_PART + r"){0,2})"
 )
 #: A cheap look at what every entity needs, so that most texts are read once only.
-HINT = regex.compile(r"\d|@|(?i:token|secret|passw|key)|\b(?:" + TITLE + r")\b")
+HINT = re.compile(r"[\d@=:]")
+
+
+RARE = (*TITLES, "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-")
+HINT_RARE = re.compile(r"\b(?:" + TITLE + r")\b|AKIA|ASIA|gh[pos]_|sk-")
+MARGIN = 128
+
+
+def windows(text: str) -> list[tuple[int, int]]:
+    """Where entities can be: around each hint, out to white space; what has white space inside is shorter than the margin."""
+    spots = [m.start() for m in HINT.finditer(text)]
+    if any(t in text for t in RARE):
+        spots = sorted(spots + [m.start() for m in HINT_RARE.finditer(text)])
+    out: list[tuple[int, int]] = []
+    for p in spots:
+        if out and p + MARGIN <= out[-1][1]:
+            continue
+        a, b = max(0, p - MARGIN), min(len(text), p + MARGIN)
+        while a > 0 and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+KINDS = ("email", "secret", "value", "iban", "ip6", "ip", "card", "phone", "ssn", "name")
 DIGITS = regex.compile(r"\D")
 
 
@@ -93,20 +125,19 @@ def canonical(kind: str, found: str) -> str:
 
 def mentions(text: str | None) -> list[tuple[int, int, str, str, str]]:
     """(start, stop, kind, found, gender) of the entities of a text, in order."""
-    if not text or not HINT.search(text):
+    if not text:
         return []
     out = []
-    for m in PATTERN.finditer(text):
-        kind, found, gender = m.lastgroup, m.group(), "n"
-        if kind == "card":
-            digits = DIGITS.sub("", found)
-            plain = len(digits) == 16 and digits[0] in "3456"
-            if not 13 <= len(digits) <= 19 or not plain and luhn(digits[:-1]) != int(digits[-1]):
-                continue
-        if kind == "name":
-            before = text[: m.start()].rstrip(" .\n\t").rsplit(None, 1)
-            gender = TITLES.get(before[-1] if before else "", "n")
-        out.append((m.start(), m.end(), kind, found, gender))
+    for a, b in windows(text):
+        for m in PATTERN.finditer(text, a, b):
+            kind = next(k for k in KINDS if m.start(k) >= 0)
+            found, gender = m.group(kind), TITLES.get(m.group("title"), "n") if kind == "name" else "n"
+            if kind == "card":
+                digits = DIGITS.sub("", found)
+                plain = len(digits) == 16 and digits[0] in "3456"
+                if not 13 <= len(digits) <= 19 or not plain and luhn(digits[:-1]) != int(digits[-1]):
+                    continue
+            out.append((m.start(kind), m.end(kind), "secret" if kind == "value" else kind, found, gender))
     return out
 
 
@@ -170,13 +201,15 @@ def surrogate(kind: str, found: str, gender: str = "n", attempt: int = 0, key: b
         code = len(regex.match(r"\+?(\d{1,3})", found).group(1)) if plus and regex.match(r"\+\d{1,3}[ .(-]", found) else 1 if plus else 0
         rest = len(entity) - code
         if plus and entity[:code] == "1" and rest == 10 or not plus and rest == 10:  # area, 555, line
-            return like(found, entity[:code] + str(2 + r.below(8)) + f"{r.below(100):02d}" + "555" + f"{r.below(10000):04d}")
+            return like(found, entity[:code] + str(2 + r.below(8)) + f"{r.below(100):02d}" + (str(200 + r.below(800)) if attempt > 2 else "555") + f"{r.below(10000):04d}")
         return like(found, entity[:code] + "".join(str(1 + r.below(9) if i == 0 else r.below(10)) for i in range(rest)))
     if kind == "ssn":
         return like(found, f"9{r.below(100):02d}{1 + r.below(99):02d}{1 + r.below(9999):04d}")
     if kind == "ip":
         if entity.startswith(("10.", "192.168.")):
             return f"10.{r.below(256)}.{r.below(256)}.{1 + r.below(254)}"
+        if attempt > 1:  # the range for tests is full: the reserved one
+            return f"{240 + r.below(15)}.{r.below(256)}.{r.below(256)}.{1 + r.below(254)}"
         return f"{('198.18', '198.19')[r.below(2)]}.{r.below(256)}.{1 + r.below(254)}"
     if kind == "ip6":
         return "2001:db8:" + ":".join(f"{r.below(65536):x}" for _ in range(6))
@@ -187,15 +220,15 @@ def surrogate(kind: str, found: str, gender: str = "n", attempt: int = 0, key: b
         it = iter(body)
         return "".join(c if c == " " else next(it) for c in found)
     if kind == "name":
-        return name_like(r, found.split(" "), gender)
+        return name_like(r, found.split(" "), gender, 2 + attempt // 2)
     prefix = regex.match(r"AKIA|ASIA|gh[pos]_|sk-|", found).group()
     rest = found[len(prefix) :]
     return prefix + scrambled(r, rest, bool(regex.fullmatch(r"[0-9a-f]+", rest)))
 
 
-def name_like(r: Stream, parts: list[str], gender: str) -> str:
+def name_like(r: Stream, parts: list[str], gender: str, syllables: int = 2) -> str:
     """As many parts, of the same script; a single part after a title is a family name, with syllables of its own so that
-    the lists do not bound how many people can be told apart."""
+    the lists do not bound how many people can be told apart; later attempts have more syllables."""
     script = script_of(parts[0])
     known = {n: g for (s, g), names in GIVEN.items() if s == script for n in names}
     gender = known.get(parts[0], gender)
@@ -206,7 +239,7 @@ def name_like(r: Stream, parts: list[str], gender: str) -> str:
             new = names[r.below(len(names))]
         else:
             family, s = FAMILY[script], SYLLABLES[script]
-            new = family[r.below(len(family))] + s[r.below(len(s))] + s[r.below(len(s))]
+            new = family[r.below(len(family))] + "".join(s[r.below(len(s))] for _ in range(syllables))
             if script == "cyrillic" and gender == "f":
                 new += "а"
         out.append(new.upper() if part.isupper() and len(part) > 1 else new)
@@ -279,17 +312,20 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, kinds: s
     if kinds:
         docs = docs.drop(kinds)
     later = cut(later_attempts(docs, text, key, make), "attempts")
+    few = later.limit(MAX_SENT + 1).count() <= MAX_SENT
     (row,) = fresh(docs, "rewritten")
     wanted = pa.struct([("text", pa.string()), ("kinds", pa.list_(pa.string()))])
 
     def column(rewrites) -> pa.Array:
         return pa.array([{"text": t, "kinds": k} for t, k in rewrites], wanted)
 
-    @F.arrow_udf("text string, kinds array<string>")
-    def plain(texts: pa.Array) -> pa.Array:
-        return column(rewritten(t, {}, key, make) if t is not None else (None, []) for t in texts.to_pylist())
+    if few:
+        sent = session(docs).sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in later.collect()})
+
+        @F.arrow_udf("text string, kinds array<string>")
+        def plain(texts: pa.Array) -> pa.Array:
+            return column(rewritten(t, sent.value, key, make) if t is not None else (None, []) for t in texts.to_pylist())
 
-    if not later.limit(1).count():
         out = docs.withColumn(row, plain(F.col(text)))
     else:
         mark, held = fresh(docs, "mark", "later")

@@ -286,8 +286,10 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(df.limit(0)).count() == 0
 
 
-def test_surrogates_do_not_coincide(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_surrogates_do_not_coincide(spark, monkeypatch, most):
     """Replacements from a space of ten for eight entities: later attempts settle it, alike in all documents."""
+    monkeypatch.setattr(surrogates, "MAX_SENT", most)
     make = lambda kind, found, gender="n", attempt=0, key=b"": f"u{zlib.crc32(f'{found}{attempt}'.encode()) % 10}@x.example.org"
     rows = [(k, f"mail{k % 8}@a.example.com and mail{(k + 1) % 8}@a.example.com") for k in range(24)]
     out = surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), make=make).collect()
