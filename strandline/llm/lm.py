@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .util import cut, encode_words, session, small_batches
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 0))  # no word holds a space or is led by a zero byte alone
 CONTEXTS = 40  # buckets of c(h): 0, 1, 2-3, 4-7, ...
 STEPS = 8  # histogram bins for a factor of two
