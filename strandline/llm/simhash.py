@@ -288,14 +288,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """One row of each group of near-duplicates: that of the least doc_id (of rows that share it, that of the least text
-    hash); same columns."""
+    """One row of each group of near-duplicates, here by the similarity of ``jaccard``: that of the least doc_id (of rows that
+    share it, that of the least text hash); same columns."""
+    from .jaccard import groups
+
     key, row, pick = fresh(docs, "text_key", "row", "pick")
-    light = docs.select(doc, text, F.xxhash64(text).alias(key))
-    found = near_duplicates(light, text, doc)
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("lone")).agg(
-        F.min(F.struct(F.col(doc).isNull().alias("no"), F.col(doc).alias("id"), F.col(key).alias("h"))).alias(pick)
-    )
+    light = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias(key))
+    best = groups(light, "text", key).groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("no"), F.col("doc").alias("id"), F.col(key).alias("h"))).alias(pick))
     best = best.select(F.col(f"{pick}.id").alias(row), F.col(f"{pick}.h").alias(key))
     keyed = docs.withColumn(key, F.xxhash64(text))
     joined = keyed.alias("d").join(best.alias("b"), F.col(f"d.{doc}").eqNullSafe(F.col(f"b.{row}")) & (F.col(f"d.{key}") == F.col(f"b.{key}")), "left_semi")

@@ -160,6 +160,34 @@ def test_near_duplicates_odd(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 7, 8]
 
 
+def jaccard_of(a, b):
+    def cut_up(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    a, b = cut_up(a), cut_up(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_keep_one_finds_similarity_of_four_fifths(spark):
+    """Copies of texts with words exchanged, from near to far, against all pairs compared."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+        for change in (0, 0, 1, 2, 3, 3, 4, 4, 5, 6, 8, 12):
+            own = list(words)
+            for at in rng.choice(150, change, replace=False):
+                own[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard_of(rows[i][1], rows[j][1]) >= 0.8]
+    bits = [simhash.fingerprint(t) for _, t in rows]
+    assert sum((bits[i] ^ bits[j]).bit_count() > 4 for i, j in alike) > 10
+    want = sorted(set(roots(len(rows), alike)))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want and 12 < len(want) < len(rows)
+
+
 # ---- decontamination
 
 
