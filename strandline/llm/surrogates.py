@@ -12,6 +12,7 @@ with an entity that really occurs; all but the first by hash are given the next
 that needed one are counted: up to ``MAX_SENT`` are broadcast and texts are rewritten where they are read; if there are more,
 they are joined to the documents that hold them.
 
+* Numbers next to each other are told apart: a chain of digits that is no card is searched for cards, then for all else.
 * Case, spaces and punctuation of a number do not make another entity; the form of each mention is kept.
 * Null texts stay null; texts without entities are returned as they are, byte for byte.  Repeated rows are rewritten alike.
 * Extra columns pass through; columns named like outputs are replaced.
@@ -59,18 +60,24 @@ SYLLABLES = {"latin": "ba ce di fo ga he ki lo ma ne po ra si to vu we".split(),
 
 TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 NAME_PART = r"\p{Lu}[\p{L}'’-]+"
-PATTERN = regex.compile(
+#: Digits with single spaces and hyphens: a card, or several numbers that stand next to each other.
+CARD = r"(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,}(?![\w-]))"
+OTHERS = (
     r"(?P<email>(?<![\w.+-])[\w+-][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
     r"|(?P<secret>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp|gho|ghs)_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b)"
     r"|\b(?i:token|secret|password|passwd|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?(?P<value>[^\s\"'<>,;]{8,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b)"
     r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w))"
-    r"|(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|%s"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|\b(?P<title>" + TITLE + r")\.?\s(?P<name>" + NAME_PART + r"(?: " + NAME_PART + r"){0,2})"
 )
+PATTERN, NO_CARD = regex.compile(OTHERS.replace("%s", CARD)), regex.compile(OTHERS.replace("%s", "(?P<card>(?!))"))
+GROUP = re.compile(r"[0-9]+|\d+")
+#: Digits by group in which cards are written.
+SHAPES = {(n,) for n in range(13, 20)} | {(4, 4, 4, n) for n in range(1, 5)} | {(4, 4, 4, 4, n) for n in range(1, 4)} | {(4, 6, 5), (4, 6, 4)}
 #: A cheap look at what every entity needs, so that most texts are read once only.
 HINT = re.compile(r"[\d@=:]")
 
@@ -123,21 +130,82 @@ def canonical(kind: str, found: str) -> str:
     return found.lower() if kind in ("email", "ip6") else found
 
 
+def is_card(digits: str) -> bool:
+    plain = len(digits) == 16 and digits[0] in "3456"
+    return 13 <= len(digits) <= 19 and (plain or luhn(digits[:-1]) == int(digits[-1]))
+
+
+def alone(text: str, groups: list[tuple[int, int]]) -> bool:
+    """Whether groups have one separator, and are not tied to others by a hyphen if theirs is a space."""
+    between = {text[i[1] : j[0]] for i, j in zip(groups, groups[1:])}
+    tied = "-" in (text[groups[0][0] - 1 : groups[0][0]], text[groups[-1][1] : groups[-1][1] + 1])
+    return not between or len(between) == 1 and (between == {"-"} or not tied)
+
+
+def card_runs(text: str, groups: list[tuple[int, int]], shaped: bool) -> list[tuple[int, int]]:
+    """Runs of whole groups of digits that are cards, leftmost and longest first, none over another; shaped: in a card's usual
+    groups, else of any with a right check digit."""
+    out, k = [], 0
+    while k < len(groups):
+        sizes, best = [], 0
+        for e in range(k, len(groups)):
+            sizes.append(groups[e][1] - groups[e][0])
+            if sum(sizes) > 19:
+                break
+            digits = "".join(text[i:j] for i, j in groups[k : e + 1])
+            if (tuple(sizes) in SHAPES and is_card(digits) and alone(text, groups[k : e + 1])) if shaped else len(digits) >= 13 and luhn(digits[:-1]) == int(digits[-1]):
+                best = e + 1
+        if best:
+            out.append((groups[k][0], groups[best - 1][1]))
+        k = best or k + 1
+    return out
+
+
+def side_by_side(text: str, a: int, b: int, end: int) -> tuple[list[tuple[int, int, str, str, str]], int]:
+    """What a chain of digits from a to b holds that is no card as a whole, and where to go on: cards in their usual groups, then
+    all else that is found between them, then cards in other groups in what is left."""
+    groups = [m.span() for m in GROUP.finditer(text, a, b)]
+    taken = [(i, j, "card", text[i:j], "n") for i, j in card_runs(text, groups, True)]
+    go_on, at, others = b, a, []
+    for stop in [*(t[0] for t in taken), None]:
+        for m in NO_CARD.finditer(text, at, end if stop is None else stop):
+            if m.start() >= b:
+                break
+            others.append(mention(m))
+            go_on = max(go_on, m.end())
+        at = next((t[1] for t in taken if t[0] == stop), b)
+    taken = sorted(taken + others)
+    free: list[list[tuple[int, int]]] = [[]]
+    k = 0
+    for g in groups:
+        while k < len(taken) and taken[k][1] <= g[0]:
+            k += 1
+            free.append([])
+        if k == len(taken) or g[1] <= taken[k][0]:
+            free[-1].append(g)
+    taken += [(i, j, "card", text[i:j], "n") for part in free for i, j in card_runs(text, part, False)]
+    return sorted(taken), go_on
+
+
+def mention(m: regex.Match) -> tuple[int, int, str, str, str]:
+    kind = next(k for k in KINDS if m.start(k) >= 0)
+    gender = TITLES.get(m.group("title"), "n") if kind == "name" else "n"
+    return m.start(kind), m.end(kind), "secret" if kind == "value" else kind, m.group(kind), gender
+
+
 def mentions(text: str | None) -> list[tuple[int, int, str, str, str]]:
     """(start, stop, kind, found, gender) of the entities of a text, in order."""
     if not text:
         return []
     out = []
     for a, b in windows(text):
-        for m in PATTERN.finditer(text, a, b):
-            kind = next(k for k in KINDS if m.start(k) >= 0)
-            found, gender = m.group(kind), TITLES.get(m.group("title"), "n") if kind == "name" else "n"
-            if kind == "card":
-                digits = DIGITS.sub("", found)
-                plain = len(digits) == 16 and digits[0] in "3456"
-                if not 13 <= len(digits) <= 19 or not plain and luhn(digits[:-1]) != int(digits[-1]):
-                    continue
-            out.append((m.start(kind), m.end(kind), "secret" if kind == "value" else kind, found, gender))
+        while m := PATTERN.search(text, a, b):
+            found, a = mention(m), m.end()
+            if found[2] == "card" and not is_card(DIGITS.sub("", found[3])):
+                several, a = side_by_side(text, m.start(), a, b)
+                out += several
+            else:
+                out.append(found)
     return out
 
 

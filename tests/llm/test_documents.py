@@ -314,6 +314,27 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("card 4539578763621486 12/27", ["4539578763621486"]),
+        ("on 2024-01-05 555-123-4567", ["555-123-4567"]),
+        ("123-45-6789 555-123-4567", ["123-45-6789", "555-123-4567"]),
+        ("123-45-6789 4539 5787 6362 1486", ["123-45-6789", "4539 5787 6362 1486"]),
+        ("12 34 4539 5787 6362 1486 9 555-123-4567 7", ["4539 5787 6362 1486", "555-123-4567"]),
+        ("12-4539-5787-6362-1486-27", ["4539-5787-6362-1486"]),
+        ("4539578763621486 4418452524842581", ["4539578763621486", "4418452524842581"]),
+        ("45 39 57 87 63 62 14 86 12 27 555-123-4567", ["45 39 57 87 63 62 14 86", "555-123-4567"]),
+        ("1234567890123 555.123.4567", ["555.123.4567"]),
+        ("1234567890123 10.1.2.3", ["10.1.2.3"]),
+        ("2024-01-05 12345 2024-01-07", []),
+    ],
+)
+def test_numbers_next_to_each_other(text, found):
+    assert [x[3] for x in surrogates.mentions(text)] == found
+    assert [text[a:b] for a, b, *_ in surrogates.mentions(text)] == found
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_surrogates_do_not_coincide(spark, monkeypatch, most):
     """Replacements from a space of ten for eight entities: later attempts settle it, alike in all documents."""
