@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates of the same type and form.
 
 Detected: e-mail addresses, telephone numbers, payment cards (Luhn or in the usual groups), IPv4 and IPv6 addresses, IBANs,
-social security numbers, access keys, tokens and passwords, and personal names after a title or in a greeting.  Each gets a
+social security numbers, access keys, tokens and passwords, and personal names after a title.  Each gets a
 replacement of its own type: digits stay digits in the same places, cards keep their issuer digit and a right check digit,
 telephone numbers keep country code, addresses stay in documentation ranges where one fits, letters keep case, and names keep
 gender (by title or list), script and the number of their parts.
@@ -14,6 +14,8 @@ they are joined to the documents that hold them.
 
 * Numbers next to each other are told apart: a chain of digits that is no card is searched for cards, then for all else.
 * Case, spaces and punctuation of a number do not make another entity; the form of each mention is kept.
+* IPv6 addresses count in full or with ``::``, the latter where addresses are given out (so not ::1), and not the examples of
+  2001:db8::/64.  Both forms are one entity.  Names without a title stay: a word after a greeting is not told from a name.
 * Null texts stay null; texts without entities are returned as they are, byte for byte.  Repeated rows are rewritten alike.
 * Extra columns pass through; columns named like outputs are replaced.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -62,12 +65,17 @@ TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 NAME_PART = r"\p{Lu}[\p{L}'’-]+"
 #: Digits with single spaces and hyphens: a card, or several numbers that stand next to each other.
 CARD = r"(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,}(?![\w-]))"
+HEX = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
+SHORT_IP6 = rf"(?:{HEX}{{0,6}})?::(?:(?:[0-9A-Fa-f]{{1,4}}:){{0,5}}(?:\d{{1,3}}\.){{3}}\d{{1,3}}|{HEX}{{0,6}})?"
+#: Where addresses are given out: global, private, of a link or site, of groups, and those that hold an IPv4 address.
+NETS6 = [ipaddress.ip_network(n) for n in ("2000::/3", "fc00::/7", "fe80::/9", "ff00::/8", "::ffff:0:0/96", "64:ff9b::/96")]
+EXAMPLES6 = ipaddress.ip_network("2001:db8::/64")
 OTHERS = (
     r"(?P<email>(?<![\w.+-])[\w+-][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
     r"|(?P<secret>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp|gho|ghs)_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b)"
     r"|\b(?i:token|secret|password|passwd|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?(?P<value>[^\s\"'<>,;]{8,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b)"
-    r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+    r"|(?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|" + SHORT_IP6 + r")(?!\w|:[\w:]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w))"
     r"|%s"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
@@ -127,7 +135,20 @@ def canonical(kind: str, found: str) -> str:
         return DIGITS.sub("", found)
     if kind == "iban":
         return found.replace(" ", "")
-    return found.lower() if kind in ("email", "ip6") else found
+    if kind == "ip6":
+        return ipaddress.IPv6Address(found).compressed
+    return found.lower() if kind == "email" else found
+
+
+def is_ip6(found: str) -> bool:
+    """A full address, or a short one that can be somebody's: not code like a::b, and not of the documents' first network."""
+    if "::" not in found:
+        return True
+    try:
+        address = ipaddress.IPv6Address(found)
+    except ValueError:
+        return False
+    return address not in EXAMPLES6 and any(address in net for net in NETS6)
 
 
 def is_card(digits: str) -> bool:
@@ -171,6 +192,8 @@ def side_by_side(text: str, a: int, b: int, end: int) -> tuple[list[tuple[int, i
         for m in NO_CARD.finditer(text, at, end if stop is None else stop):
             if m.start() >= b:
                 break
+            if m.start("ip6") >= 0 and not is_ip6(m.group("ip6")):
+                continue
             others.append(mention(m))
             go_on = max(go_on, m.end())
         at = next((t[1] for t in taken if t[0] == stop), b)
@@ -204,6 +227,8 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str, str]]:
             if found[2] == "card" and not is_card(DIGITS.sub("", found[3])):
                 several, a = side_by_side(text, m.start(), a, b)
                 out += several
+            elif found[2] == "ip6" and not is_ip6(found[3]):
+                a = m.start() + 1
             else:
                 out.append(found)
     return out

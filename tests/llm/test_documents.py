@@ -335,6 +335,21 @@ def test_numbers_next_to_each_other(text, found):
     assert [text[a:b] for a, b, *_ in surrogates.mentions(text)] == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("from fe80::1, 2001:db8:85a3::8a2e:370:7334.", ["fe80::1", "2001:db8:85a3::8a2e:370:7334"]),
+        ("[2a00:1450:4001::]:443 fe80::1%eth0 fd12:3456::1: up", ["2a00:1450:4001::", "fe80::1", "fd12:3456::1"]),
+        ("::ffff:93.184.216.34 and 2607:f8b0::1/64", ["::ffff:93.184.216.34", "2607:f8b0::1"]),
+        ("std::vector x[::2] abc::def 12:30::45 ::1 at 12:30:45", []),
+        ("ab::cd@x.org and 1::93.184.216.34", ["cd@x.org", "93.184.216.34"]),
+    ],
+)
+def test_short_ip6(text, found):
+    assert [x[3] for x in surrogates.mentions(text)] == found
+    assert surrogates.canonical("ip6", "2A00:0:0:0:0:0:0:1") == surrogates.canonical("ip6", "2a00::1")
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_surrogates_do_not_coincide(spark, monkeypatch, most):
     """Replacements from a space of ten for eight entities: later attempts settle it, alike in all documents."""
