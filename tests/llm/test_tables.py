@@ -67,6 +67,19 @@ def test_hosts_repeated_runs_are_removed(spark):
     assert pages.extract(df).count() == len(rows) and pages.extract(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    """Equal html under other ids and addresses of a host covers nothing; what a third page shares is still removed."""
+    chrome = "<div>Welcome to our site where everything is about trains and their tracks</div>"
+    body = f"<body>{chrome}<div>{' '.join(f'word{k}' for k in range(30))}</div></body>"
+    other = f"<body>{chrome}<div>{' '.join(f'else{k}' for k in range(30))}</div></body>"
+    rows = [(1, "http://a.example/x", body), (2, "http://a.example/x?utm_source=y", body), (3, "http://a.example/z", other)]
+    rows += [(4, "http://b.example/x", body), (5, "http://b.example/y", body)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = " ".join(f"word{k}" for k in range(30))
+    assert got[1] == got[2] == text and got[3] == " ".join(f"else{k}" for k in range(30))
+    assert got[4] == got[5] == "Welcome to our site where everything is about trains and their tracks\n" + text
+
+
 def test_suffixes_are_the_runs():
     """Equal keys are exactly equal runs of the same host."""
     rng = np.random.default_rng(0)
