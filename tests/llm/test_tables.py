@@ -80,6 +80,26 @@ def test_copies_of_a_page_are_one_page(spark):
     assert got[4] == got[5] == "Welcome to our site where everything is about trains and their tracks\n" + text
 
 
+def test_content_around_articles(spark):
+    """Text in main and named containers stays beside articles; there, too, what a host repeats goes, but not in articles."""
+    notice = "Trains of this line run every hour from early morning until late at night"
+    own = lambda k, n=20: " ".join(f"own{k}x{i}" for i in range(n))
+    rows = [
+        ("<main><h1>T</h1><article><p>one two</article></main>", "T\none two"),
+        (f"<main><p>{own(1)}</main><article><p>teaser</article>", f"{own(1)}\nteaser"),
+        (f"<div class=content><p>{own(2)}</div><article><p>teaser</article><p>open", f"{own(2)}\nteaser"),
+        (f"<main><p>{notice}</p><p>{own(3)}</main>", own(3)),
+        (f"<div class=content><p>{notice}</p><p>{own(4)}</div>", own(4)),
+        (f"<article><p>{notice}</p><p>{own(5)}</article>", f"{notice}\n{own(5)}"),
+        (f"<article><p>{notice}</p><p>{own(6)}</article>", f"{notice}\n{own(6)}"),
+    ]
+    # equal places in the page: a notice in <main> of a second page, one in the container of a third
+    rows += [(f"<main><p>{notice}</p><p>{own(7)}</main>", own(7)), (f"<div class=content><p>{notice}</p><p>{own(8)}</div>", own(8))]
+    df = spark.createDataFrame([(k, f"http://a.example/{k}", h) for k, (h, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert [got[k] for k in range(len(rows))] == [t for _, t in rows]
+
+
 def test_suffixes_are_the_runs():
     """Equal keys are exactly equal runs of the same host."""
     rng = np.random.default_rng(0)
