@@ -5,13 +5,21 @@ transform; the nearest vertex of the cross-polytope, its largest coordinate in s
 such rotations give each row as many codes.  Each query probes, in every table, the ``PROBES`` vertices nearest to its own
 rotation; rows filed under them are candidates, and every candidate is ranked by its exact cosine on the original vectors.
 
-Queries go to the rows in blocks of ``QUERY_BLOCK``; that many vectors are broadcast at once, whatever the data, and the best
-``k`` of each query leave each block of rows.  Rows are filed and searched where they are read; none is left out and nothing
-is capped, so a code with many rows costs its candidates' cosines and no more.
+Rows and queries are hashed once, where they are read, and meet by table and code in a shuffle: a row is sent once for each
+table, a query once for each probe.  A code of many rows or queries is dealt as cells of about ``ROW_BLOCK`` rows by
+``QUERY_BLOCK`` queries, so no cell grows with the data; how many each code needs comes from its counts, of which there are at
+most ``TABLES`` times twice the padded length.  Each cell gives the best ``k`` of each of its queries, by one matrix product
+and exact cosines of what comes near the k-th.  Of equal vectors in a cell only the 2 k rows of least ids are looked at: no
+more than k of them, beside those of the query's own id, can be among the nearest.
+
+A query whose buckets hold fewer than ``k`` rows is answered exactly, by all rows in blocks of the same size; so small and
+one-sided tables give whole results.  Nothing is collected to the driver but the counts of codes.
 
 * Vectors that are null or zero, or hold a null or a value that is not finite, take no part; nor do those whose length is not
   that of most vectors.  Rows without an id take no part.
-* Equal cosines go to the smaller id.  Rows that repeat an id each stand for themselves; a query never meets its own id.
+* Equal cosines go to the smaller id.  Rows that repeat an id each stand for themselves, as queries too; a query never meets its
+  own id.  An empty table, or one without queries, gives an empty result.  There are no texts; other columns, whatever their
+  names, are not looked at.
 """
 
 from __future__ import annotations
@@ -20,14 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import session
+from .util import cut, session
 
-TABLES, PROBES, SEED = 12, 6, 7
+TABLES, PROBES, SEED = 6, 14, 7
 QUERY_BLOCK, ROW_BLOCK = 4096, 16384
-FOUND = "query_id long, vec_id long, score double"
+SLACK = 1e-9  # what a matrix product may be off from the exact cosine
+CELL = ["t", "code", "rows_at", "queries_at"]
+HASHED = "id long, row long, asks boolean, v binary, codes array<int>, probes array<int>"
+FOUND = "query long, query_id long, row long, vec_id long, score double"
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 class Rotations:
@@ -78,69 +90,120 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (y / np.sqrt((y * y).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def sound(frame: DataFrame, vector: str, dim: int) -> DataFrame:
+def usable(vectors: DataFrame, vector: str, dim: int) -> Column:
+    """Whether a vector takes part; never null."""
     v = F.col(vector)
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return frame.filter(v.isNotNull() & (F.size(v) == dim) & good)
-
-
-def search(vectors: DataFrame, is_query, k: int = 5, doc: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+    return F.coalesce(v.isNotNull() & (F.size(v) == dim) & good, F.lit(False))
+
+
+def hashed(base: DataFrame, dim: int, tables: int, probes: int) -> DataFrame:
+    """id, row, asks, v -> HASHED: the vector as bytes of doubles, its codes and, for queries, its probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotations = Rotations(dim, tables)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            u = unit(x)
+            probed: list = [None] * len(x)
+            if asks.any():
+                for i, row in zip(np.flatnonzero(asks), rotations.probes(u[asks], probes).transpose(1, 0, 2).reshape(asks.sum(), -1)):
+                    probed[i] = row.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary()),
+                    pa.array(rotations.codes(u).T.tolist(), pa.list_(pa.int32())), pa.array(probed, pa.list_(pa.int32())),
+                ],
+                names=[c.split()[0] for c in HASHED.split(", ")],
+            )
+
+    return cut(base.mapInArrow(run, HASHED), "hashed")
+
+
+def matched(k: int, dim: int):
+    """The best k rows of a cell for each of its queries, as a function of the two tables."""
+
+    def own(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(-1, dim)
+        return table.column("row").to_numpy(), table.column("id").to_numpy(), v
+
+    def run(asked: pa.Table, filed: pa.Table) -> pa.Table:
+        out: list[list] = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0)]]
+        if asked.num_rows and filed.num_rows:
+            query, query_id, q = own(asked)
+            row, vec_id, x = own(filed)
+            # of equal vectors, at most k rows of an id and 2 k rows in all
+            same = np.unique(x.view(f"V{8 * dim}").ravel(), return_inverse=True)[1]
+            order = np.lexsort((row, vec_id, same))
+            order = order[rank_in_run(same[order], vec_id[order]) < k]
+            order = order[rank_in_run(same[order]) < 2 * k]
+            row, vec_id, x = row[order], vec_id[order], x[order]
+            near = (q / np.sqrt((q * q).sum(axis=1, keepdims=True))) @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T
+            near[query_id[:, None] == vec_id[None, :]] = -np.inf
+            least = np.partition(near, len(row) - k, axis=1)[:, len(row) - k] - SLACK if len(row) > k else np.full(len(q), -2.0)
+            for i in range(len(q)):
+                at = np.flatnonzero((near[i] >= least[i]) & (near[i] > -np.inf))
+                score = cosine(q[i], x[at])
+                top = np.lexsort((row[at], vec_id[at], -score))[:k]
+                for part, c in zip(out, (np.full(len(top), query[i]), np.full(len(top), query_id[i]), row[at[top]], vec_id[at[top]], score[top])):
+                    part.append(c)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    return run
+
+
+def rank_in_run(*keys: np.ndarray) -> np.ndarray:
+    """Of each place in a run of equal keys, how many of the run stand before it."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))
+
+
+def meet(asked: DataFrame, filed: DataFrame, k: int, dim: int) -> DataFrame:
+    """Queries and rows (row, id, v) that share t and code -> FOUND, the best k of each cell.  There are few pairs of t and code."""
+    size = lambda df, n, block: df.groupBy("t", "code").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(n))
+    cells = cut(size(asked, "query_cells", QUERY_BLOCK).join(size(filed, "row_cells", ROW_BLOCK), ["t", "code"]), "cells")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n).cast("long")).cast("int")
+    left = asked.join(F.broadcast(cells), ["t", "code"]).withColumn("queries_at", own("query_cells")).withColumn("rows_at", spread("row_cells"))
+    right = filed.join(F.broadcast(cells), ["t", "code"]).withColumn("rows_at", own("row_cells")).withColumn("queries_at", spread("query_cells"))
+    fields = [F.col(c).alias(c) for c in (*CELL, "row", "id", "v")]  # named anew: both sides come from one table
+    return left.select(*fields).groupBy(*CELL).cogroup(right.select(*fields).groupBy(*CELL)).applyInArrow(matched(k, dim), FOUND)
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, each row once."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    return found.dropDuplicates(["query", "row"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, doc: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row for which the condition is_query holds."""
     spark = session(vectors)
-    base = vectors.select(F.col(doc).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null")
+    base = vectors.select(F.col(doc).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null")
     dims = base.filter("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], RESULT)
     dim = dims["d"]
-    base = sound(base, "v", dim)
-    asked = sound(vectors.filter(is_query).select(F.col(doc).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null"), "v", dim)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = part.collect()  # about QUERY_BLOCK rows
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(-1, dim)))
-
-        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, queries = sent.value
-            rotations = Rotations(dim, tables)
-            probe = rotations.probes(unit(queries), probes) if len(ids) else np.zeros((tables, 0, probes), np.int64)
-
-            def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-                table = pa.Table.from_batches(held).combine_chunks()
-                own = table.column("id").to_numpy().astype(np.int64)
-                x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                codes = rotations.codes(unit(x))
-                order = np.argsort(codes, axis=1, kind="stable")
-                edges = np.stack([np.searchsorted(c[o], np.arange(2 * rotations.size + 1)) for c, o in zip(codes, order)])
-                out_q, out_v, out_s = [], [], []
-                for q in range(len(ids)):
-                    mark = np.zeros(len(own), bool)
-                    for t in range(tables):
-                        for code in probe[t, q]:
-                            mark[order[t, edges[t, code] : edges[t, code + 1]]] = True
-                    at = np.flatnonzero(mark & (own != ids[q]))
-                    score = cosine(queries[q], x[at])
-                    if len(at) > k:  # the k largest and all that tie with them
-                        at, score = at[keep := score >= np.partition(score, len(score) - k)[len(score) - k]], score[keep]
-                    top = np.lexsort((own[at], -score))[:k]
-                    out_q.append(np.full(len(top), ids[q]))
-                    out_v.append(own[at[top]])
-                    out_s.append(score[top])
-                none = [np.zeros(0, np.int64)]
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q or none)), pa.array(np.concatenate(out_v or none)), pa.array(np.concatenate(out_s or [np.zeros(0)]))], names=["query_id", "vec_id", "score"])
-
-            held, n = [], 0
-            for batch in batches:
-                held.append(batch)
-                n += batch.num_rows
-                if n >= ROW_BLOCK:
-                    yield solve(held)
-                    held, n = [], 0
-            if n:
-                yield solve(held)
-
-        got = base.mapInArrow(near, FOUND)
-        found = got if found is None else found.unionByName(got)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    base = base.filter(usable(base, "v", dim)).select("id", F.monotonically_increasing_id().alias("row"), "asks", "v")
+    stored = hashed(base, dim, tables, probes)
+    asks, each = stored.filter("asks"), min(probes, 2 * Rotations(dim, 1).size)
+    asked = asks.select("row", "id", "v", F.posexplode("probes").alias("at", "code")).withColumn("t", F.floor(F.col("at") / each).cast("int"))
+    filed = stored.select("row", "id", "v", F.posexplode("codes").alias("t", "code"))
+    found = cut(best(meet(asked, filed, k, dim), k), "found")
+    some = found.groupBy(F.col("query").alias("row")).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    short = cut(asks.join(some, "row", "left_anti").select("row", "id", "v"), "short")
+    whole = found.select("query_id", "rank", "vec_id", "score")
+    if not short.limit(1).count():
+        return whole
+    # too few in the probed buckets: all rows, in blocks
+    n = -(-stored.count() // ROW_BLOCK)
+    block = stored.select("row", "id", "v", F.lit(-1).alias("t"), F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("code"))
+    everywhere = short.select("row", "id", "v", F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("code"))
+    rest = best(meet(everywhere, block, k, dim), k).select("query_id", "rank", "vec_id", "score")
+    enough = found.join(short.select(F.col("row").alias("query")), "query", "left_anti").select("query_id", "rank", "vec_id", "score")
+    return enough.unionByName(rest)

@@ -150,18 +150,42 @@ def test_nearest_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, 0.0]), (2, [3.0, 0.0, 0.0]), (3, [1.0, 1.0, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [nan, 1.0, 0.0]), (7, [inf, 1.0, 0.0]), (8, [1.0, None, 0.0]), (9, [1.0]), (None, [1.0, 0.0, 0.0]), (50, [0.0, 0.0, 0.0]), (100, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit(1), "v": F.lit(2), "score": F.lit(3)})
-    got = ann.search(df, F.col("vec_id") % 50 == 0, tables=8, probes=8).orderBy("query_id", "rank").collect()
+    got = ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 100), (0, 3), (0, 11), (100, 0), (100, 1), (100, 2), (100, 3), (100, 11)]
     assert [r.score for r in got[:3]] == [1.0, 1.0, 1.0] and got[4].score == -1.0
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
     assert ann.search(df, F.lit(False)).count() == 0
 
 
-def test_query_blocks(spark, monkeypatch):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    one = sorted(map(tuple, ann.search(df, F.col("vec_id") % 50 == 0).collect()))
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
-    assert sorted(map(tuple, ann.search(df, F.col("vec_id") % 50 == 0).collect())) == one
+@pytest.mark.parametrize("rows, asked", [(16384, 4096), (40, 3)])
+def test_cells(spark, monkeypatch, rows, asked):
+    """Codes dealt as many small cells give what one cell a code gives; a third of the rows are one vector, under few ids."""
+    rng = np.random.default_rng(8)
+    x = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(200, 16)).astype(np.float32))] + [(200 + k // 4, [0.5] * 16) for k in range(100)]
+    monkeypatch.setattr(ann, "ROW_BLOCK", rows)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", asked)
+    df = spark.createDataFrame(x, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 50 == 0, tables=4, probes=32).collect())
+    want = []
+    for q, v in x:
+        if q % 50 == 0:
+            found = sorted((-float(ann.cosine(np.array(v), np.array([w]))[0]), i) for i, w in x if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found)]
+    assert got == sorted(want)
+
+
+def test_small_tables_are_whole(spark):
+    """With the production parameters, tables of a few vectors give every query its k nearest, or all there are."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 4, 6, 10, 30):
+        rows = [(50 * k if k < 3 else k, v.tolist()) for k, v in enumerate(rng.normal(size=(n, 64)).astype(np.float32))]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+        for q, v in rows[:3]:
+            mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+            assert len(mine) == min(5, n - 1), n
+            exact = sorted((-float(ann.cosine(np.array(v), np.array([w]))[0]), i) for i, w in rows if i != q)
+            if n <= 6:
+                assert [(i, -s) for s, i in exact[:5]] == [(i, s) for _, i, s in mine]
 
 
 def test_rotation_keeps_lengths():
