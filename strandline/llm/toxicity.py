@@ -13,8 +13,11 @@ window of each document, toxic or clean, and a share of the other clean windows,
 At the end the bias moves so that the threshold lies midway between the
 two kinds of training documents.  Only texts and labels are inputs.  All documents are scored, whole.
 
-* Null or empty texts, and texts without words, get the score of the bias alone.  Labels that are null are no labels.  A
-  document that is labelled more than once is toxic if any of its labels is.
+* Null or empty texts, and texts without words, get the score of the bias alone; very long texts are scored whole.  Labels that
+  are null are no labels.  A document that is labelled more than once is toxic if any of its labels is.
+* Rows of documents that repeat a doc_id train as one, with the least of their texts, so the bound holds; each is scored.  Ties
+  of the hash go to the smaller doc_id; reruns agree.  Rows without a doc_id are scored and never train.
+* Extra columns pass through, and a column named like the score is replaced; an empty table gives an empty result.
 * Without labels of both kinds the model is flat: every score is the share of toxic labels (0 without labels).
 """
 
@@ -200,15 +203,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MAX_TOXIC, most_clean: int = MAX_CLEAN) -> Model:
-    """Learn from the labelled documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MAX_TOXIC, most_clean: int = MAX_CLEAN) -> DataFrame:
+    """doc_id, text, y of the labelled documents that are not held out, each doc_id once and at most most_toxic + most_clean."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     marks = marks.filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id"))
     have = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    ids = have.select("doc_id").join(marks, "doc_id")
-    chosen = ids.filter("y > 0").orderBy("h").limit(most_toxic).unionByName(ids.filter("y = 0").orderBy("h").limit(most_clean))
-    # at most most_toxic + most_clean rows, to one task; only the model, of fixed size, comes to the driver
-    rows = have.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "y")
+    ids = marks.join(have.select("doc_id"), "doc_id", "left_semi")  # each doc_id once
+    chosen = ids.filter("y > 0").orderBy("h", "doc_id").limit(most_toxic).unionByName(ids.filter("y = 0").orderBy("h", "doc_id").limit(most_clean))
+    # at most most_toxic + most_clean ids are broadcast; rows that repeat one become one before they move
+    return have.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, **most: int) -> Model:
+    """Learn from the training rows, in one task; only the model, of fixed size, comes to the driver."""
+    rows = training_rows(docs, labels, **most)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
@@ -218,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MAX_TOXIC, most_cl
         yield pa.RecordBatch.from_arrays([pa.array([model.values.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], names=["model", "bias"])
 
     small_batches(session(docs))
-    found = rows.coalesce(1).mapInArrow(learn, "model binary, bias double").first()
+    found = rows.repartition(1).mapInArrow(learn, "model binary, bias double").first()
     return Model(np.frombuffer(found["model"], np.float32), found["bias"]) if found else train([], [])
 
 

@@ -539,6 +539,105 @@ def test_toxicity_learns_and_meets_new_spellings():
     assert (again.values == model.values).all()
 
 
+def plain_rows(word, buckets):
+    """Table rows of a word by the definition: FNV over the grams of the word between spaces, a polynomial for the whole."""
+    m, b = (1 << 64) - 1, word.encode()
+    padded, out = b" " + b + b" ", []
+    for n in toxicity.GRAMS:
+        for i in range(len(padded) - n + 1):
+            h = 1469598103934665603 + n
+            for c in padded[i : i + n]:
+                h = (h ^ c) * 1099511628211 & m
+            out.append((h ^ h >> 29) % buckets)
+    h = sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(b)) & m
+    h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & m
+    return [*out, (h ^ h >> 29) % buckets]
+
+
+def plain_windows(text):
+    w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+    w = [x for i, x in enumerate(w) if x not in w[max(0, i - 7) : i]]
+    last = max(len(w) - 8, 0)
+    return [w[i : i + 8] for i in sorted({*range(0, last + 1, 4), last})] if w else []
+
+
+def test_toxicity_scores_by_definition():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), -0.3)
+    texts = [None, "", "a", "été İx 漢字 a b a b", LONG[:4000], "x " * 30, *(t for t, _ in toxic_texts(40, random.Random(3)))]
+    for text, got in zip(texts, model.score(pa.array(texts))):
+        value = lambda w: np.mean([model.values[r] for r in plain_rows(w, toxicity.BUCKETS)])
+        z = -0.3 + max((np.mean([value(x) for x in w]) for w in plain_windows(text)), default=0.0)
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_training_by_definition(monkeypatch):
+    """The same draws and rules, window by window and row by row."""
+    monkeypatch.setattr(toxicity, "BUCKETS", 997)
+    monkeypatch.setattr(toxicity, "EPOCHS", 4)
+    monkeypatch.setattr(toxicity, "BATCH", 16)
+    data = toxic_texts(40, random.Random(5))
+    model = toxicity.train([t for t, _ in data], [y for _, y in data])
+    rng = np.random.default_rng(toxicity.SEED)
+    windows, doc = [], []
+    for i, (t, _) in enumerate(data):
+        for w in plain_windows(t):
+            windows.append([plain_rows(x, 997) for x in w])
+            doc.append(i)
+    y = np.array([y for _, y in data])
+    label = y[np.array(doc)]
+    table, axis, bias = rng.normal(0, 0.1, (997, toxicity.DIM)), rng.normal(0, 0.5, toxicity.DIM), math.log(0.1)
+    sq_t, sq_a, sq_b = np.full(997, 1e-6), np.full(toxicity.DIM, 1e-6), 1e-6
+    mean = lambda w, of: np.mean([np.mean([of[r] for r in rows], axis=0) for rows in w], axis=0)
+    clean, bad = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
+
+    def tops():
+        value = [float(mean(w, table @ axis)) for w in windows]
+        return np.array([max((k for k in range(len(doc)) if doc[k] == i), key=lambda k: round(value[k], 12)) for i in sorted(set(doc))]), value
+
+    for epoch in range(4):
+        some = rng.permutation(clean)[: len(clean) // toxicity.SHARE + 1]
+        if epoch < toxicity.NOISY:
+            pos, neg = rng.permutation(bad)[: len(bad) // 2 + 1], some
+        else:
+            top, _ = tops()
+            pos, neg = np.repeat(top[label[top] == 1], 3), np.concatenate([np.repeat(top[label[top] == 0], 2), some])
+        pick = rng.permutation(np.concatenate([pos, neg]))
+        for at in range(0, len(pick), 16):
+            part = pick[at : at + 16]
+            grad_t, grad_a, grad_b = np.zeros(997), np.zeros(toxicity.DIM), 0.0
+            for k in part:
+                hidden = mean(windows[k], table)
+                error = 1 / (1 + math.exp(-(hidden @ axis + bias))) - label[k]
+                grad_a += error * hidden / len(part)
+                grad_b += error / len(part)
+                for rows in windows[k]:
+                    for r in rows:
+                        grad_t[r] += error / len(windows[k]) / len(rows)
+            sq_t += grad_t**2
+            sq_a += grad_a**2
+            sq_b += grad_b**2
+            table -= (toxicity.RATE * grad_t / np.sqrt(sq_t))[:, None] * axis[None, :]
+            axis = axis - 0.1 * toxicity.RATE * grad_a / np.sqrt(sq_a)
+            bias -= 0.1 * toxicity.RATE * grad_b / math.sqrt(sq_b)
+    assert np.allclose(model.values, table @ axis, rtol=1e-6, atol=1e-8)
+    top, value = tops()
+    z = np.array([value[k] for k in top])
+    assert abs(model.bias - (math.log(0.3 / 0.7) - toxicity.best_cut(z, label[top], -bias))) < 1e-6
+
+
+def test_toxicity_bound_holds_for_repeated_ids(spark):
+    """Rows that repeat a doc_id train as one, so no more documents than the bound are learnt from."""
+    rows = [(k, f"text {k} of many {j}") for k in range(40) for j in range(6)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] * 3, "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.training_rows(docs, labels, most_toxic=5, most_clean=7).collect()
+    assert sorted(r.y for r in got) == [0] * 7 + [1] * 5 and len({r.doc_id for r in got}) == 12
+    assert all(r.text.endswith(" 0") and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in got)
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (1, None), (None, 1), (77, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd(spark), labels)
