@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret from the session's settings; the synthetic tables make do with one that is none."""
+    return spark.conf.get("spark.strandline.surrogateKey", "synthetic tables only").encode()
+
+
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
@@ -55,7 +60,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
     return docs.select("doc_id", "text", F.size("pii_kinds").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds"))
 
 

@@ -1,23 +1,30 @@
 """Personal data replaced by keyed surrogates of the same type and form.
 
-Detected: e-mail addresses, telephone numbers, payment cards (Luhn or in the usual groups), IPv4 and IPv6 addresses, IBANs,
+Detected: e-mail addresses, telephone numbers, payment cards (with a right check digit), IPv4 and IPv6 addresses, IBANs,
 social security numbers, access keys, tokens and passwords, and personal names after a title.  Each gets a
 replacement of its own type: digits stay digits in the same places, cards keep their issuer digit and a right check digit,
 telephone numbers keep country code, addresses stay in documentation ranges where one fits, letters keep case, and names keep
-gender (by title or list), script and the number of their parts.
+gender, script, case and the number of their parts.
 
-The replacement follows from a secret key and the entity alone, so an entity has one replacement in every document
-(coreference).  The collision check finds, over the whole table, entities whose replacements coincide with each other's or
-with an entity that really occurs; all but the first by hash are given the next attempt, and again until none is left.  The few
-that needed one are counted: up to ``MAX_SENT`` are broadcast and texts are rewritten where they are read; if there are more,
-they are joined to the documents that hold them.
+The replacement follows from a secret key and the entity alone, whatever the form of a mention, so an entity has one replacement
+in every document (coreference).  The key has no default.  The collision check finds, over the whole table, entities whose
+replacements coincide with each other's or with an entity that really occurs; all but the first by hash are given the next
+attempt, and again until none is left.  The few that needed one are counted: up to ``MAX_SENT`` are broadcast and texts are
+rewritten where they are read; if there are more, they are joined to the documents that hold them.
+
+A name is two entities.  Its last part is a family name, which has one replacement with or without given names before it, under
+every title; the given parts have one for each whole name, so people of one family stay apart.  The gender of given names is
+that of the list or of the titles found with the name anywhere in the table; where titles of both kinds are, it is female.
 
 * Numbers next to each other are told apart: a chain of digits that is no card is searched for cards, then for all else.
-* Case, spaces and punctuation of a number do not make another entity; the form of each mention is kept.
+* Case, spaces and punctuation of a number or name do not make another entity, nor does a genitive 's or the feminine ending of
+  a Cyrillic family name; the form of each mention is kept.
+* What follows "secret:" and the like counts if it does not read as a word: with a digit, a symbol inside, or long and in mixed case.
 * IPv6 addresses count in full or with ``::``, the latter where addresses are given out (so not ::1), and not the examples of
   2001:db8::/64.  Both forms are one entity.  Names without a title stay: a word after a greeting is not told from a name.
-* Null texts stay null; texts without entities are returned as they are, byte for byte.  Repeated rows are rewritten alike.
-* Extra columns pass through; columns named like outputs are replaced.
+* Null texts stay null; empty texts and texts without entities are returned as they are, byte for byte; very long texts are
+  searched whole.  Repeated rows are rewritten alike; no ties arise.  An empty table gives an empty result.
+* Extra columns pass through, whatever their names; a column named like the output ``pii_kinds`` is replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +42,6 @@ from pyspark.sql import functions as F
 
 from .util import cut, fresh, session, small_batches
 
-KEY = b"strandline-surrogates-1"
 MAX_ATTEMPTS = 40
 MAX_SENT = 200_000
 
@@ -83,6 +89,7 @@ OTHERS = (
     r"|\b(?P<title>" + TITLE + r")\.?\s(?P<name>" + NAME_PART + r"(?: " + NAME_PART + r"){0,2})"
 )
 PATTERN, NO_CARD = regex.compile(OTHERS.replace("%s", CARD)), regex.compile(OTHERS.replace("%s", "(?P<card>(?!))"))
+GENITIVE = re.compile(r"(?:['’]s|['’-])$")
 GROUP = re.compile(r"[0-9]+|\d+")
 #: Digits by group in which cards are written.
 SHAPES = {(n,) for n in range(13, 20)} | {(4, 4, 4, n) for n in range(1, 5)} | {(4, 4, 4, 4, n) for n in range(1, 4)} | {(4, 6, 5), (4, 6, 4)}
@@ -93,18 +100,21 @@ HINT = re.compile(r"[\d@=:]")
 RARE = (*TITLES, "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-")
 HINT_RARE = re.compile(r"\b(?:" + TITLE + r")\b|AKIA|ASIA|gh[pos]_|sk-")
 MARGIN = 128
+#: From a title, what can be a name of three parts, however long they are.
+NAMED = re.compile(r"\S*(?:\s\S*){0,3}")
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Where entities can be: around each hint, out to white space; what has white space inside is shorter than the margin."""
-    spots = [m.start() for m in HINT.finditer(text)]
+    """Where entities can be: around each hint, out to white space.  Of what has white space inside, chains of digits are all
+    hints, names go on for three parts, and the rest is shorter than the margin."""
+    spots = [(m.start(), m.start() + MARGIN) for m in HINT.finditer(text)]
     if any(t in text for t in RARE):
-        spots = sorted(spots + [m.start() for m in HINT_RARE.finditer(text)])
+        spots = sorted(spots + [(m.start(), max(m.start() + MARGIN, NAMED.match(text, m.start()).end())) for m in HINT_RARE.finditer(text)])
     out: list[tuple[int, int]] = []
-    for p in spots:
-        if out and p + MARGIN <= out[-1][1]:
+    for p, far in spots:
+        if out and far <= out[-1][1]:
             continue
-        a, b = max(0, p - MARGIN), min(len(text), p + MARGIN)
+        a, b = max(0, p - MARGIN), min(len(text), far)
         while a > 0 and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
@@ -116,6 +126,13 @@ def windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Endings of Cyrillic family names that women bear; fixed values.
+FEMININE = re.compile(r"(?:ова|ева|ёва|ина|ына)$")
+#: Country codes of one and of two digits; all others have three.  Fixed values.
+CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+SYMBOL = re.compile(r"[!$%&*+/@^~=#](?=.)")
 KINDS = ("email", "secret", "value", "iban", "ip6", "ip", "card", "phone", "ssn", "name")
 DIGITS = regex.compile(r"\D")
 
@@ -132,7 +149,13 @@ def luhn(digits: str) -> int:
 def canonical(kind: str, found: str) -> str:
     """What makes two mentions one entity."""
     if kind in ("card", "phone", "ssn"):
-        return DIGITS.sub("", found)
+        return "+" * (kind == "phone" and found.startswith("+")) + DIGITS.sub("", found)
+    if kind == "family":
+        low = found.casefold()
+        return low[:-1] if FEMININE.search(low) else low
+    if kind == "name":
+        *given, family = found.casefold().split(" ")
+        return " ".join([*given, canonical("family", family)])
     if kind == "iban":
         return found.replace(" ", "")
     if kind == "ip6":
@@ -152,8 +175,14 @@ def is_ip6(found: str) -> bool:
 
 
 def is_card(digits: str) -> bool:
-    plain = len(digits) == 16 and digits[0] in "3456"
-    return 13 <= len(digits) <= 19 and (plain or luhn(digits[:-1]) == int(digits[-1]))
+    return 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits[:-1]) == int(digits[-1])
+
+
+def is_secret(value: str) -> bool:
+    """Whether a value reads as no word."""
+    core = value.rstrip(".!?:)]}")
+    mixed = len(core) >= 16 and any(c.isupper() for c in core[1:]) and any(c.islower() for c in core)
+    return any(c.isdigit() for c in core) or mixed or bool(SYMBOL.search(core))
 
 
 def alone(text: str, groups: list[tuple[int, int]]) -> bool:
@@ -174,7 +203,7 @@ def card_runs(text: str, groups: list[tuple[int, int]], shaped: bool) -> list[tu
             if sum(sizes) > 19:
                 break
             digits = "".join(text[i:j] for i, j in groups[k : e + 1])
-            if (tuple(sizes) in SHAPES and is_card(digits) and alone(text, groups[k : e + 1])) if shaped else len(digits) >= 13 and luhn(digits[:-1]) == int(digits[-1]):
+            if is_card(digits) and (not shaped or tuple(sizes) in SHAPES and alone(text, groups[k : e + 1])):
                 best = e + 1
         if best:
             out.append((groups[k][0], groups[best - 1][1]))
@@ -192,7 +221,7 @@ def side_by_side(text: str, a: int, b: int, end: int) -> tuple[list[tuple[int, i
         for m in NO_CARD.finditer(text, at, end if stop is None else stop):
             if m.start() >= b:
                 break
-            if m.start("ip6") >= 0 and not is_ip6(m.group("ip6")):
+            if m.start("ip6") >= 0 and not is_ip6(m.group("ip6")) or m.start("value") >= 0 and not is_secret(m.group("value")):
                 continue
             others.append(mention(m))
             go_on = max(go_on, m.end())
@@ -212,8 +241,11 @@ def side_by_side(text: str, a: int, b: int, end: int) -> tuple[list[tuple[int, i
 
 def mention(m: regex.Match) -> tuple[int, int, str, str, str]:
     kind = next(k for k in KINDS if m.start(k) >= 0)
-    gender = TITLES.get(m.group("title"), "n") if kind == "name" else "n"
-    return m.start(kind), m.end(kind), "secret" if kind == "value" else kind, m.group(kind), gender
+    found, gender = m.group(kind), "n"
+    if kind == "name":
+        gender = TITLES.get(m.group("title"), "n")
+        found = GENITIVE.sub("", found)
+    return m.start(kind), m.start(kind) + len(found), "secret" if kind == "value" else kind, found, gender
 
 
 def mentions(text: str | None) -> list[tuple[int, int, str, str, str]]:
@@ -229,6 +261,8 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str, str]]:
                 out += several
             elif found[2] == "ip6" and not is_ip6(found[3]):
                 a = m.start() + 1
+            elif m.start("value") >= 0 and not is_secret(found[3]):
+                a = m.start("value")
             else:
                 out.append(found)
     return out
@@ -278,8 +312,8 @@ def scrambled(r: Stream, s: str, hexadecimal: bool) -> str:
     return "".join(out)
 
 
-def surrogate(kind: str, found: str, gender: str = "n", attempt: int = 0, key: bytes = KEY) -> str:
-    """The replacement of a mention."""
+def surrogate(kind: str, found: str, gender: str, attempt: int, key: bytes) -> str:
+    """The replacement of a mention; that of a name is its given parts'."""
     entity = canonical(kind, found)
     r = Stream(key, kind, entity, attempt)
     if kind == "email":
@@ -290,12 +324,12 @@ def surrogate(kind: str, found: str, gender: str = "n", attempt: int = 0, key: b
         body = entity[0] + "".join(str(r.below(10)) for _ in entity[2:])
         return like(found, body + str(luhn(body)))
     if kind == "phone":
-        plus = found.startswith("+")
-        code = len(regex.match(r"\+?(\d{1,3})", found).group(1)) if plus and regex.match(r"\+\d{1,3}[ .(-]", found) else 1 if plus else 0
-        rest = len(entity) - code
-        if plus and entity[:code] == "1" and rest == 10 or not plus and rest == 10:  # area, 555, line
-            return like(found, entity[:code] + str(2 + r.below(8)) + f"{r.below(100):02d}" + (str(200 + r.below(800)) if attempt > 2 else "555") + f"{r.below(10000):04d}")
-        return like(found, entity[:code] + "".join(str(1 + r.below(9) if i == 0 else r.below(10)) for i in range(rest)))
+        digits = entity.lstrip("+")
+        code = next((n for n in (1, 2) if digits[:n] in CODES), 3) if entity[0] == "+" else 0
+        rest = len(digits) - code
+        if rest == 10 and digits[:code] in ("", "1"):  # area, 555, line
+            return like(found, digits[:code] + str(2 + r.below(8)) + f"{r.below(100):02d}" + (str(200 + r.below(800)) if attempt > 2 else "555") + f"{r.below(10000):04d}")
+        return like(found, digits[:code] + "".join(str(1 + r.below(9) if i == 0 else r.below(10)) for i in range(rest)))
     if kind == "ssn":
         return like(found, f"9{r.below(100):02d}{1 + r.below(99):02d}{1 + r.below(9999):04d}")
     if kind == "ip":
@@ -312,99 +346,128 @@ def surrogate(kind: str, found: str, gender: str = "n", attempt: int = 0, key: b
         body = body[:2] + f"{98 - int(turned) % 97:02d}" + body[4:]
         it = iter(body)
         return "".join(c if c == " " else next(it) for c in found)
+    if kind == "family":
+        return family_like(r, found, 2 + attempt // 2)
     if kind == "name":
-        return name_like(r, found.split(" "), gender, 2 + attempt // 2)
+        return " ".join(given_like(r, part, gender, attempt // 3) for part in found.split(" ")[:-1])
     prefix = regex.match(r"AKIA|ASIA|gh[pos]_|sk-|", found).group()
     rest = found[len(prefix) :]
     return prefix + scrambled(r, rest, bool(regex.fullmatch(r"[0-9a-f]+", rest)))
 
 
-def name_like(r: Stream, parts: list[str], gender: str, syllables: int = 2) -> str:
-    """As many parts, of the same script; a single part after a title is a family name, with syllables of its own so that
-    the lists do not bound how many people can be told apart; later attempts have more syllables."""
-    script = script_of(parts[0])
-    known = {n: g for (s, g), names in GIVEN.items() if s == script for n in names}
-    gender = known.get(parts[0], gender)
-    out = []
-    for i, part in enumerate(parts):
-        if i < len(parts) - 1:
-            names = GIVEN[script, gender] if gender in "mf" else GIVEN[script, "m"] + GIVEN[script, "f"]
-            new = names[r.below(len(names))]
-        else:
-            family, s = FAMILY[script], SYLLABLES[script]
-            new = family[r.below(len(family))] + "".join(s[r.below(len(s))] for _ in range(syllables))
-            if script == "cyrillic" and gender == "f":
-                new += "а"
-        out.append(new.upper() if part.isupper() and len(part) > 1 else new)
-    return " ".join(out)
+def cased(new: str, form: str) -> str:
+    return new.upper() if form.isupper() and len(form) > 1 else new[0].upper() + new[1:]
+
+
+def syllables(r: Stream, script: str, n: int) -> str:
+    return "".join(SYLLABLES[script][r.below(len(SYLLABLES[script]))] for _ in range(n))
+
+
+def family_like(r: Stream, form: str, n: int) -> str:
+    """Of the same script, with syllables of its own so that the list does not bound how many people can be told apart; a
+    Cyrillic one keeps its feminine ending."""
+    script = script_of(form)
+    name, more = FAMILY[script][r.below(len(FAMILY[script]))], syllables(r, script, n)
+    new = more + name.lower() if script == "cyrillic" else name + more
+    return cased(new + "а" * bool(script == "cyrillic" and FEMININE.search(form.casefold())), form)
+
 
+KNOWN = {n.casefold(): g for (_, g), names in GIVEN.items() for n in names}
 
-def rewritten(text: str, attempts: dict, key: bytes, make: Callable = surrogate) -> tuple[str, list[str]]:
-    """attempts: (kind, entity) -> attempt, of those that are not 0."""
+
+def given_like(r: Stream, form: str, gender: str, n: int) -> str:
+    """Of the same script and gender; the given name's own, if the lists have it."""
+    script, gender = script_of(form), KNOWN.get(form.casefold(), gender)
+    names = GIVEN[script, gender] if gender in "mf" else GIVEN[script, "m"] + GIVEN[script, "f"]
+    return cased(names[r.below(len(names))] + syllables(r, script, n), form)
+
+
+def entities_of(kind: str, found: str, gender: str) -> list[tuple[str, str, str]]:
+    """(kind, entity, gender) of all that a mention tells of."""
+    if kind != "name":
+        return [(kind, canonical(kind, found), "n")]
+    family = found.rpartition(" ")[2]
+    return [("family", canonical("family", family), "n"), *([("name", canonical("name", found), gender)] if family != found else [])]
+
+
+def replacement(kind: str, found: str, gender: str, known: dict, key: bytes, make: Callable) -> str:
+    """known: (kind, entity) -> (attempt, gender), of those that are not at their first attempt or have several genders."""
+
+    def made(kind: str, found: str, gender: str = "n") -> str:
+        attempt, own = known.get((kind, canonical(kind, found)), (0, gender)) if known else (0, gender)
+        return make(kind, found, own, attempt, key)
+
+    if kind != "name":
+        return made(kind, found)
+    family = found.rpartition(" ")[2]
+    return " ".join([*([made("name", found, gender)] if family != found else []), made("family", family)])
+
+
+def rewritten(text: str, known: dict, key: bytes, make: Callable = surrogate) -> tuple[str, list[str]]:
+    """The text with replacements, and the kinds of its mentions; known as in replacement."""
     out, last, kinds = [], 0, []
     for a, b, kind, found, gender in mentions(text):
-        out += [text[last:a], make(kind, found, gender, attempts.get((kind, canonical(kind, found)), 0) if attempts else 0, key)]
+        out += [text[last:a], replacement(kind, found, gender, known, key, make)]
         last = b
         kinds.append(kind)
     return ("".join([*out, text[last:]]), kinds) if kinds else (text, kinds)
 
 
-ENTITY = "kind string, entity string, found string, gender string"
-
-
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct entities of the whole table; of a mention's forms the least stands for all."""
+    """kind, entity, gender of the distinct entities of the whole table, and whether mentions differ in gender (mixed)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {}
-            for t in batch.column(0).to_pylist():
-                for _, _, kind, found, gender in mentions(t):
-                    k = (kind, canonical(kind, found))
-                    seen[k] = min(seen.get(k, (found, gender)), (found, gender))
-            rows = [(k[0], k[1], *v) for k, v in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["kind", "entity", "found", "gender"])
+            seen = {e for t in batch.column(0).to_pylist() for _, _, *m in mentions(t) for e in entities_of(*m)}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in seen], pa.string()) for i in range(3)], names=["kind", "entity", "gender"])
 
     small_batches(session(docs))
-    found = docs.select(text).mapInArrow(find, ENTITY)
-    return found.groupBy("kind", "entity").agg(F.min(F.struct("found", "gender")).alias("m")).select("kind", "entity", "m.found", "m.gender")
+    found = docs.select(text).mapInArrow(find, "kind string, entity string, gender string")
+    # f before m before n
+    return found.groupBy("kind", "entity").agg(F.min("gender").alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed"))
 
 
 def replaced(key: bytes, make: Callable):
+    """What must not coincide: the replacement, and of a name its given parts with the family that it has."""
+
     @F.arrow_udf("string")
-    def run(kind: pa.Array, found: pa.Array, gender: pa.Array, attempt: pa.Array) -> pa.Array:
-        cols = [c.to_pylist() for c in (kind, found, gender, attempt)]
-        return pa.array([canonical(k, make(k, f, g, a, key)) for k, f, g, a in zip(*cols)], pa.string())
+    def run(kind: pa.Array, entity: pa.Array, gender: pa.Array, attempt: pa.Array) -> pa.Array:
+        out = []
+        for k, e, g, n in zip(*(c.to_pylist() for c in (kind, entity, gender, attempt))):
+            new = canonical("email" if k == "name" else k, make(k, e, g, n, key))
+            out.append(f"{new} {e.rpartition(' ')[2]}" if k == "name" else new)
+        return pa.array(out, pa.string())
 
     return run
 
 
-def later_attempts(docs: DataFrame, text: str = "text", key: bytes = KEY, make: Callable = surrogate) -> DataFrame:
-    """kind, entity, attempt of the entities whose first replacement is taken: by another entity, or by a real one."""
+def later_attempts(docs: DataFrame, key: bytes, text: str = "text", make: Callable = surrogate) -> DataFrame:
+    """kind, entity, attempt, gender of the entities whose first replacement is taken, by another entity or by a real one, and of
+    those whose mentions differ in gender."""
     state = cut(entities(docs, text).withColumn("attempt", F.lit(0)), "entities")
     real = state.select(F.col("kind").alias("_k"), F.col("entity").alias("_e"))
     new = replaced(key, make)
     for _ in range(MAX_ATTEMPTS):
-        state = state.withColumn("new", new(F.col("kind"), F.col("found"), F.col("gender"), F.col("attempt")))
+        state = state.withColumn("new", new(F.col("kind"), F.col("entity"), F.col("gender"), F.col("attempt")))
         clash = state.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("attempt")).alias("a"), F.xxhash64("entity").alias("h"), "entity")).alias("first"))
         clash = clash.join(real, (F.col("kind") == F.col("_k")) & (F.col("new") == F.col("_e")), "left").filter("n > 1 or _e is not null")
         clash = clash.select(F.col("kind").alias("_k"), F.col("new").alias("_n"), F.when(F.col("_e").isNull(), F.col("first.entity")).alias("keeps"))
         clash = cut(clash, "clashes")
         if not clash.limit(1).count():
-            return state.filter("attempt > 0").select("kind", "entity", "attempt")
+            return state.filter("attempt > 0 or mixed").select("kind", "entity", "attempt", "gender")
         moved = state.join(clash, (F.col("kind") == F.col("_k")) & (F.col("new") == F.col("_n")), "left")
         again = F.col("_n").isNotNull() & ~F.col("entity").eqNullSafe(F.col("keeps"))
-        state = cut(moved.select("kind", "entity", "found", "gender", (F.col("attempt") + again.cast("int")).alias("attempt")), "entities")
+        state = cut(moved.select("kind", "entity", "gender", "mixed", (F.col("attempt") + again.cast("int")).alias("attempt")), "entities")
     raise RuntimeError("replacements still coincide")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, kinds: str | None = "pii_kinds", make: Callable = surrogate) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", kinds: str | None = "pii_kinds", make: Callable = surrogate) -> DataFrame:
     """docs with the text rewritten and, unless it is None, a column of the kinds of its entities, in order; ``make`` takes a
     mention's kind, form, gender, attempt and key and gives its replacement."""
     small_batches(session(docs))
     if kinds:
         docs = docs.drop(kinds)
-    later = cut(later_attempts(docs, text, key, make), "attempts")
+    later = cut(later_attempts(docs, key, text, make), "attempts")
     few = later.limit(MAX_SENT + 1).count() <= MAX_SENT
     (row,) = fresh(docs, "rewritten")
     wanted = pa.struct([("text", pa.string()), ("kinds", pa.list_(pa.string()))])
@@ -413,7 +476,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, kinds: s
         return pa.array([{"text": t, "kinds": k} for t, k in rewrites], wanted)
 
     if few:
-        sent = session(docs).sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in later.collect()})
+        sent = session(docs).sparkContext.broadcast({(r["kind"], r["entity"]): (r["attempt"], r["gender"]) for r in later.collect()})
 
         @F.arrow_udf("text string, kinds array<string>")
         def plain(texts: pa.Array) -> pa.Array:
@@ -425,17 +488,17 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, kinds: s
 
         @F.arrow_udf("array<struct<kind: string, entity: string>>")
         def listed(texts: pa.Array) -> pa.Array:
-            pairs = [sorted({(k, canonical(k, f)) for _, _, k, f, _ in mentions(t)}) for t in texts.to_pylist()]
+            pairs = [sorted({e[:2] for _, _, *m in mentions(t) for e in entities_of(*m)}) for t in texts.to_pylist()]
             return pa.array([[{"kind": k, "entity": e} for k, e in p] for p in pairs], pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string())])))
 
         @F.arrow_udf("text string, kinds array<string>")
         def again(texts: pa.Array, found: pa.Array) -> pa.Array:
-            known = [{(x["kind"], x["entity"]): x["attempt"] for x in f or []} for f in found.to_pylist()]
+            known = [{(x["kind"], x["entity"]): (x["attempt"], x["gender"]) for x in f or []} for f in found.to_pylist()]
             return column(rewritten(t, k, key, make) if t is not None else (None, []) for t, k in zip(texts.to_pylist(), known))
 
         marked = docs.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit("")), F.length(text)))
         each = marked.select(mark, F.explode(listed(F.col(text))).alias("x")).select(mark, "x.*").distinct()
-        need = each.join(later, ["kind", "entity"]).groupBy(mark).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(held))
+        need = each.join(later, ["kind", "entity"]).groupBy(mark).agg(F.collect_list(F.struct("kind", "entity", "attempt", "gender")).alias(held))
         out = marked.join(need, mark, "left").withColumn(row, again(F.col(text), F.col(held))).drop(mark, held)
     out = out.withColumn(text, F.col(f"{row}.text"))
     if kinds:
