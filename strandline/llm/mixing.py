@@ -4,19 +4,21 @@ Targets: the sources, by code point and null last, take the weights in turn and
 stops at ``cap`` times its source's words and the excess is shared again by weight, until none is above.  A document of a
 source with target T and words S is due T / S copies: the whole part is certain, the fraction is its inclusion probability.
 
-The cube method turns the fractions into zeros and ones.  Each step takes three units of a source, moves their probabilities
-along the direction that changes neither the expected words nor the expected documents, in one of its two senses with the
-chances that keep each expectation, until one of them is settled.  Blocks of at most ``BLOCK`` units each leave two or fewer
-unsettled; these go to the next round's blocks, and so on, so a hot source is spread over many tasks and no task grows.  In a
-source's last block ``LANDING`` units, spread over all sizes, are kept out of the flight; with the two still held they are the
-landing problem: of their subsets with a document total less than one off, one is drawn from those whose words come nearest
-to what is expected.
-
-* The unit is a (doc_id, source) pair; rows that repeat one are taken alike.  Null texts have size 0 and are never short of
-  their target; a null source is a source, a null doc_id an id.
-* Blocks run from the longest document to the shortest.
-* All draws come from ``seed``, source, round and block, and blocks are ordered by size and doc_id: reruns agree.
-* An empty table gives an empty result.
+The cube method turns the fractions into zeros and ones.  Each step moves the probabilities of up to ``WINDOW`` units of a
+source along a direction that changes neither the expected words nor the expected documents, in one of its two senses with the
+chances that keep each expectation, until one of them is settled.  The direction is the longest document's own, projected on
+the constraints' null-space, so long documents are settled while there are others to make up for them.  Blocks of at most
+``BLOCK`` units each leave at most ``LANDING`` short ones unsettled; these go to the next round's blocks, and so on, so a hot
+source is spread over many tasks and no task grows.  What a source's last block leaves is the landing problem.  It is solved by
+linear programming: of all ways to draw subsets of these units that give each unit its probability, the one with the least
+expected distance from the expected words and documents.  So every document's chance of the further copy is its fraction, exactly.
+
+* The unit is a (doc_id, source) pair, and where doc_id is null a text of a source; rows that repeat one are taken alike.  Null,
+  empty and blank texts have size 0 and are never short of their target; very long texts count whole; a null source is a source.
+* Blocks run from the longest document to the shortest, ties by id.
+* All draws come from ``seed``, source, round and block: reruns agree.
+* An empty table gives an empty result.  ``mix`` reads three columns, whatever the others are named; ``sample`` passes all
+  through, and a column named ``copy`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import cut, fresh
 
-WEIGHTS, CAP, BLOCK, LANDING, SEED = (5, 2, 1), 3, 2048, 12, 20240307
+WEIGHTS, CAP, BLOCK, WINDOW, LANDING, SEED = (5, 2, 1), 3, 2048, 128, 12, 20240307
 WORD = "[^\\x20\\x09-\\x0D]+"
 EPS = 1e-9
-UNITS = "id long, source string, size long, p double, taken int, open boolean"
+LP_STEPS = 2000
+UNITS = "id long, text long, source string, size long, p double, taken int, open boolean"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -53,66 +56,96 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return per.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("w") * F.col("fill")).alias("target"))
 
 
+def direction(size: np.ndarray) -> np.ndarray:
+    """Of the first unit, or the next that can move, within the null-space of words and documents; zeros if none can."""
+    off = size - size.mean()
+    spread = off @ off
+    for k in range(len(size)):
+        u = -off * (off[k] / spread) - 1 / len(size) if spread > 0 else np.full(len(size), -1 / len(size))
+        u[k] += 1
+        if (big := np.abs(u).max()) > 1e-6:
+            return np.where(np.abs(u) < 1e-12 * big, 0, u / big)
+    return np.zeros(len(size))
+
+
 def settle(size: list[float], p: list[float], land: bool, rng: random.Random) -> list[float]:
-    """The flight over these units, in order; with land, until all are zero or one."""
-
-    def move(units: list[int], u: list[float]) -> None:
-        up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(units, u) if x)
-        down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(units, u) if x)
-        step = up if rng.random() * (up + down) < down else -down
-        for i, x in zip(units, u):
-            p[i] += step * x
-            if p[i] < EPS:
-                p[i] = 0.0
-            elif p[i] > 1 - EPS:
-                p[i] = 1.0
-
-    held: list[int] = []
-    live = [k for k in range(len(p)) if 0 < p[k] < 1]
-    last = sorted({live[i * len(live) // LANDING] for i in range(LANDING)}) if land and live else []
-    for k in sorted({*live} - {*last}):
-        held.append(k)
-        while len(held) == 3:
-            a, b, c = (size[i] for i in held)
-            u = [b - c, c - a, a - b]
-            big = max(map(abs, u))
-            move(held, [x / big for x in u] if big else [1.0, -1.0, 0.0])
-            held = [i for i in held if 0 < p[i] < 1]
-    if last:
-        held += last
-        bits = (np.arange(1 << len(held))[:, None] >> np.arange(len(held))) & 1
-        off = bits - np.array([p[i] for i in held])
-        words, docs = np.abs(off @ np.array([size[i] for i in held])), np.abs(off.sum(axis=1))
-        best = np.lexsort((words, docs >= 1))[: max(1, len(bits) // 500)]
-        for i, bit in zip(held, bits[best[rng.randrange(len(best))]]):
-            p[i] = float(bit)
-    return p
+    """The flight over these units, longest first, until LANDING or fewer are open; with land, until all are zero or one."""
+    size, p = np.array(size, float), np.array(p, float)
+    live = np.flatnonzero((p > 0) & (p < 1))
+    while len(live) > LANDING:
+        w = live[:WINDOW]
+        u, q = direction(size[w]), p[w]
+        if not u.any():
+            break
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min()
+            down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min()
+        q = q + (up if rng.random() * (up + down) < down else -down) * u
+        p[w] = np.where(q < EPS, 0.0, np.where(q > 1 - EPS, 1.0, q))
+        live = live[(p[live] > 0) & (p[live] < 1)]
+    if land and len(live):
+        p[live] = landed(size[live], p[live], rng.random())
+    return p.tolist()
+
+
+def landed(size: np.ndarray, p: np.ndarray, at: float) -> np.ndarray:
+    """A subset of a few units, drawn so that each is in with its probability and the expected distance is least; at: the draw.
+
+    The simplex method over all subsets, from the distribution that adds units in the order of their probabilities.  Every step
+    keeps the probabilities, so it may stop at any.
+    """
+    n = len(p)
+    bits = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(np.float64)
+    off = bits - p
+    cost = np.abs(off @ size) / max(size.mean(), 1) + np.abs(off.sum(axis=1))
+    rows = np.vstack([np.ones(1 << n), bits.T])
+    order = np.argsort(-p, kind="stable")
+    basis = np.concatenate([[0], np.cumsum(1 << order)])
+    weight = np.append(1.0, p[order]) - np.append(p[order], 0.0)
+    inverse = np.linalg.inv(rows[:, basis])
+    for _ in range(LP_STEPS):
+        reduced = cost - (cost[basis] @ inverse) @ rows
+        new = int(reduced.argmin())
+        if reduced[new] > -EPS:
+            break
+        move = inverse @ rows[:, new]
+        up = np.flatnonzero(move > EPS)
+        ratio = np.maximum(weight[up], 0) / move[up]
+        out = up[ratio.argmin()]
+        step = max(weight[out], 0) / move[out]
+        weight = weight - step * move
+        weight[out], basis[out] = step, new
+        pivot = inverse[out] / move[out]
+        inverse = inverse - np.outer(move, pivot)
+        inverse[out] = pivot
+    weight = np.maximum(weight, 0)
+    return bits[basis[min(int(np.searchsorted(np.cumsum(weight), at * weight.sum(), side="right")), n)]]
 
 
 def flight(seed: int, level: int):
     """The flight over one block, as a function of its rows."""
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["size", "id"], ascending=[False, True], na_position="last", kind="stable")
+        df = df.sort_values(["size", "id", "text"], ascending=[False, True, True], na_position="last", kind="stable")
         first = df.iloc[0]
         rng = random.Random(zlib.crc32(repr((seed, level, first["source"], int(first["block"]))).encode("utf-8", "replace")))
         p = settle(df["size"].astype(float).tolist(), df["p"].tolist(), first["blocks"] == 1, rng)
-        return pd.DataFrame({"id": df["id"], "source": df["source"], "size": df["size"], "p": p, "taken": [int(x == 1) for x in p], "open": [0 < x < 1 for x in p]})
+        return pd.DataFrame({"id": df["id"], "text": df["text"], "source": df["source"], "size": df["size"], "p": p, "taken": [int(x == 1) for x in p], "open": [0 < x < 1 for x in p]})
 
     return one
 
 
 def fly(units: DataFrame, seed: int, block: int) -> DataFrame:
-    """id, source, size, p -> id, source, drawn (0 or 1)."""
+    """id, text, source, size, p -> id, text, source, drawn (0 or 1)."""
     done = None
-    units = units.select("id", "source", "size", "p")
+    units = units.select("id", "text", "source", "size", "p")
     for level in range(64):
         counts = units.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks"))
         blocked = units.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        blocked = blocked.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "id", "size"), "blocks"))
+        blocked = blocked.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "id", "text", "size"), "blocks"))
 
         out = cut(blocked.groupBy("source", "block").applyInPandas(flight(seed, level), UNITS))
-        settled = out.filter("not open").select("id", "source", F.col("taken").alias("drawn"))
+        settled = out.filter("not open").select("id", "text", "source", F.col("taken").alias("drawn"))
         done = settled if done is None else done.unionByName(settled)
         units = out.filter("open")
         if not units.limit(1).count():
@@ -120,33 +153,45 @@ def fly(units: DataFrame, seed: int, block: int) -> DataFrame:
     raise RuntimeError("units stayed open")
 
 
+def same_unit(a: str, b: str) -> Column:
+    """Whether the columns id, text and source with these prefixes tell of one unit."""
+    return F.col(f"{a}id").eqNullSafe(F.col(f"{b}id")) & (F.col(f"{a}text") == F.col(f"{b}text")) & F.col(f"{a}source").eqNullSafe(F.col(f"{b}source"))
+
+
+def unit_columns(doc: str, text: str, source: str) -> list[Column]:
+    """id, text (the hash of a text without an id, else 0) and source."""
+    marked = F.when(F.col(doc).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    return [F.col(doc).cast("long").alias("id"), marked.alias("text"), F.col(source).cast("string").alias("source")]
+
+
 def plan(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows, units): rows of docs as id, source, size; units with source_size, target and copies."""
+    """(rows, units): rows of docs as id, text, source, size; units with source_size, target and copies."""
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col(doc).cast("long").alias("id"), F.col(source).cast("string").alias("source"), size.alias("size")))
+    rows = cut(docs.select(*unit_columns(doc, text, source), size.alias("size")))
     due = targets(rows).withColumnRenamed("source", "_s")
-    units = rows.groupBy("id", "source").agg(F.sum("size").alias("size"))
+    units = rows.groupBy("id", "text", "source").agg(F.sum("size").alias("size"))
     units = units.join(due, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = units.withColumn("whole", F.floor(rate + EPS).cast("int")).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
     units = cut(units)
-    drawn = fly(units.filter(F.col("p") > EPS), seed, block).select(F.col("id").alias("_id"), F.col("source").alias("_s"), "drawn")
-    units = units.join(drawn, F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    return rows, units.select("id", "source", "source_size", "target", (F.col("whole") + F.coalesce("drawn", F.lit(0))).alias("copies"))
+    drawn = fly(units.filter(F.col("p") > EPS), seed, block).select(F.col("id").alias("_id"), F.col("text").alias("_text"), F.col("source").alias("_source"), "drawn")
+    units = units.join(drawn, same_unit("", "_"), "left")
+    return rows, units.select("id", "text", "source", "source_size", "target", (F.col("whole") + F.coalesce("drawn", F.lit(0))).alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (words), a row for each row of docs."""
     rows, units = plan(docs, **how)
-    units = units.withColumnsRenamed({"id": "_id", "source": "_s"})
-    joined = rows.join(units, F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")))
+    units = units.withColumnsRenamed({"id": "_id", "text": "_text", "source": "_source"})
+    joined = rows.join(units, same_unit("", "_"))
     return joined.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def sample(docs: DataFrame, doc: str = "doc_id", source: str = "source", **how) -> DataFrame:
+def sample(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its columns and ``copy`` from 1."""
-    _, units = plan(docs, doc=doc, source=source, **how)
-    a, b, c = fresh(docs, "id", "src", "copies")
-    units = units.select(F.col("id").alias(a), F.col("source").alias(b), F.col("copies").alias(c)).filter(F.col(c) > 0)
-    joined = docs.join(units, F.col(doc).eqNullSafe(F.col(a)) & F.col(source).eqNullSafe(F.col(b)))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(c)))).drop(a, b, c)
+    _, units = plan(docs, doc=doc, text=text, source=source, **how)
+    own, unit = fresh(docs, "own", "unit")
+    keyed = docs.drop("copy").withColumn(own, F.struct(*unit_columns(doc, text, source)))
+    units = units.filter("copies > 0").select(F.struct("id", "text", "source", "copies").alias(unit))
+    joined = keyed.join(units, same_unit(f"{own}.", f"{unit}."))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(f"{unit}.copies")))).drop(own, unit)

@@ -525,21 +525,44 @@ def test_targets_stop(spark):
 def test_settle_keeps_totals_and_chances():
     rng = random.Random(4)
     size = sorted((float(rng.randrange(1, 500)) for _ in range(60)), reverse=True)
-    counts = np.zeros(60)
-    for t in range(600):
+    counts, runs = np.zeros(60), 600
+    for t in range(runs):
         p = mixing.settle(list(size), [0.3] * 60, True, random.Random(t))
         assert all(x in (0.0, 1.0) for x in p)
         assert abs(np.dot(p, size) - 0.3 * sum(size)) < 30 and abs(sum(p) - 18) < 1.01
         counts += p
-    assert 0.15 < (counts / 600).min() and (counts / 600).max() < 0.45
+    z = (counts - 0.3 * runs) / math.sqrt(runs * 0.3 * 0.7)
+    assert np.abs(z).max() < 4
+
+
+def test_landing_keeps_each_chance():
+    """The distribution drawn from has exactly the given probabilities, and is no worse than drawing in order."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 10):
+        size, p = rng.integers(1, 300, n).astype(float), rng.random(n)
+        steps = (np.arange(200_000) + 0.5) / 200_000 if n < 6 else rng.random(3000)
+        got = np.array([mixing.landed(size, p, at) for at in (steps[:: max(1, len(steps) // 2000)])])
+        assert np.abs(got.mean(axis=0) - p).max() < (0.002 if n < 6 else 0.05)
+        order = np.argsort(-p)
+        plain = np.array([np.isin(np.arange(n), order[: (p > at).sum()]) for at in rng.random(2000)])
+        cost = lambda x: np.mean(np.abs((x - p) @ size))
+        assert cost(got) <= cost(plain) * 1.05 + 1
 
 
 def test_mix_odd(spark):
     got = mixing.mix(odd(spark)).collect()
     assert len(got) == len(ODD) and all(r.taken == 0 for r in got if r["size"] == 0)
     assert mixing.mix(empty(spark)).count() == 0
-    out = mixing.sample(odd(spark).drop("copies", "id"))
-    assert set(odd(spark).drop("copies", "id").columns) < set(out.columns) and mixing.sample(empty(spark)).count() == 0
+    out = mixing.sample(odd(spark).withColumn("copy", F.lit(7)))
+    assert set(out.columns) == {*odd(spark).columns, "copy"} and mixing.sample(empty(spark)).count() == 0
+    taken = {(r.doc_id, r.source, r["size"]): r.copies for r in got}
+    assert collections.Counter((r.doc_id, r.source) for r in out.collect())[5, "s2"] == taken[5, "s2", 60_000]
+    # texts without an id are units of their own
+    rows = [(None, f"word {k}", "s") for k in range(300)] + [(k, "x y z", "t") for k in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 600 and len({r.copies for r in got if r.source == "s"}) == 2
+    for s in ("s", "t"):
+        assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) < 4
 
 
 # ---- toxicity
