@@ -53,5 +53,17 @@ FROM (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> '')
 """
 
 
+#: rollup_of_words: what is left after the three batches, counted at once.
+OP5 = r"""
+WITH l AS (SELECT doc_id, bool_or(toxic = 1) AS toxic, bool_or(quality = 0) AS poor FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (
+  SELECT d.source, CASE WHEN coalesce(l.toxic, false) THEN 'toxic' ELSE d.lang END AS lang,
+         len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) * CASE WHEN coalesce(l.toxic, false) THEN 2 ELSE 1 END AS n
+  FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id
+  WHERE d.doc_id IS NOT NULL AND NOT coalesce(l.poor, false))
+SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM d GROUP BY source, lang
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_main_text": OP1, "op4_decontamination": OP4, "op9_url_rules": OP9}
+    return {"op1_main_text": OP1, "op4_decontamination": OP4, "rollup_of_words": OP5, "op9_url_rules": OP9}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, lm, mixing, pages, rollups, simhash, surrogates, toxicity, url_rules
-from .util import shared_dir
+from .util import cut, shared_dir
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -47,18 +47,36 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.find_hits(docs, table(spark, sf_dir, "benchmark")))
 
 
-def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted under two tokenizer versions, each version's batch committed twice; totals."""
+def roll_up(spark: SparkSession, sf_dir: str, versions: tuple[str, ...]) -> DataFrame:
+    """Totals after three batches a tokenizer version, each committed twice: all documents inserted; those that a label calls toxic
+    revised, into the language "toxic" and to twice their tokens; those that a label calls poor deleted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels")
     rollup = rollups.Rollup(spark, f"{shared_dir(spark)}/strandline/rollup-{uuid.uuid4().hex}")
-    for version in ("byte_bpe_50k", rollups.WORDS_VERSION):
-        counted = rollups.count_tokens(docs, version).drop("text")
-        batch = counted.withColumns({"op": F.lit("insert"), "tokenizer_version": F.lit(version)})
-        rollup.commit(f"insert-{version}", batch)
-        rollup.commit(f"insert-{version}", batch)
+    for version in versions:
+        counted = cut(rollups.count_tokens(docs, version).drop("text").withColumn("tokenizer_version", F.lit(version)), "counted")
+        toxic = counted.join(labels.filter("toxic = 1"), "doc_id", "left_semi")
+        poor = counted.join(labels.filter("quality = 0"), "doc_id", "left_semi")
+        for op, batch in (
+            ("insert", counted),
+            ("revise", toxic.withColumns({"lang": F.lit("toxic"), "n_tokens": 2 * F.col("n_tokens")})),
+            ("delete", poor),
+        ):
+            for _ in range(2):
+                rollup.commit(f"{op}-{version}", batch.withColumn("op", F.lit(op)))
     return rollup.totals()
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under a byte-level vocabulary and by words."""
+    return roll_up(spark, sf_dir, ("byte_bpe_50k", rollups.WORDS_VERSION))
+
+
+def rollup_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by words alone, which SQL can count too."""
+    return roll_up(spark, sf_dir, (rollups.WORDS_VERSION,))
+
+
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
     return docs.select("doc_id", "text", F.size("pii_kinds").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds"))
@@ -96,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_nearest": op3_nearest,
         "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
+        "rollup_of_words": rollup_of_words,
         "op6_surrogates": op6_surrogates,
         "op7_deleted_interpolation": op7_deleted_interpolation,
         "op8_cube_mix": op8_cube_mix,

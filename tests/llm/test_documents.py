@@ -275,11 +275,37 @@ def test_token_counts(spark):
         assert r.n_tokens == len(own.encode_ordinary(r.text or ""))
         assert r.text is None or own.decode(own.encode_ordinary(r.text)) == r.text
     got = {(x.source, x.lang, x.tokenizer_version): (x.n_docs, x.n_tokens) for x in queries.op5_token_counts(spark, SF).collect()}
-    want = collections.Counter()
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    toxic, poor = {r.doc_id for r in labels if r.toxic == 1}, {r.doc_id for r in labels if r.quality == 0}
+    assert toxic - poor and poor - toxic
+    want = collections.defaultdict(lambda: [0, 0])
     for r in documents(spark).collect():
-        want[r.source, r.lang, "byte_bpe_50k"] += len(own.encode_ordinary(r.text or ""))
-        want[r.source, r.lang, "words-1"] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
-    assert {k: v[1] for k, v in got.items()} == dict(want)
+        if r.doc_id not in poor:
+            lang, times = ("toxic", 2) if r.doc_id in toxic else (r.lang, 1)
+            for version, n in (("byte_bpe_50k", len(own.encode_ordinary(r.text or ""))), ("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))):
+                want[r.source, lang, version][0] += 1
+                want[r.source, lang, version][1] += n * times
+    assert got == {k: tuple(v) for k, v in want.items()}
+    words = {(x.source, x.lang, x.tokenizer_version): (x.n_docs, x.n_tokens) for x in queries.rollup_of_words(spark, SF).collect()}
+    assert words == {k: v for k, v in got.items() if k[2] == "words-1"}
+
+
+def test_rollup_compacts(spark, monkeypatch):
+    """Random inserts, revisions and deletes over many commits, with snapshots in between, against a plain ledger."""
+    monkeypatch.setattr(rollups, "COMPACT", 3)
+    r, rng, held = rollups.Rollup(spark, f"{shared_dir(spark)}/rollup-compact"), random.Random(8), {}
+    for k in range(8):
+        rows = [(rng.choice(["insert", "revise", "delete"]), d, rng.choice("ab"), "en", "v", rng.randrange(9)) for d in rng.sample(range(20), 7)]
+        assert r.commit(f"b{k}", spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, tokenizer_version string, n_tokens long"))
+        for op, d, s, _, _, n in rows:
+            held.pop(d, None) if op == "delete" else held.update({d: (s, n)})
+        want = collections.defaultdict(lambda: [0, 0])
+        for s, n in held.values():
+            want[s][0] += 1
+            want[s][1] += n
+        assert {x.source: [x.n_docs, x.n_tokens] for x in r.totals().collect()} == dict(want)
+        assert not r.commit(f"b{rng.randrange(k + 1)}", spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, tokenizer_version string, n_tokens long"))
+    assert r.names("snapshots") == ["000000000003", "000000000006"]
 
 
 # ---- surrogates
