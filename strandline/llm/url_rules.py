@@ -9,7 +9,9 @@ rules that are open at its place, innermost first, and the first whose path begi
 * Of equal rules the one that blocks wins.  Without a fitting rule the verdict is ``default``.
 * A host's path rules travel in its stack, so memory follows the rules above one host, not the rule set; the rule set is
   never broadcast.  URLs on a hot host are spread over ranges by a salt, and each range is handed the stack open at its start.
-* Extra columns pass through; a column named like an output is replaced.  Repeated rows are judged alike.
+* A rule without a path covers its hosts whole; without a host or verdict it is no rule.  An empty table of either kind is fine.
+* Extra columns pass through, whatever their names; a column named like an output is replaced.  Repeated rows and ties are judged
+  alike; very long URLs are judged whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from .util import ascii_lower, cut, session
 
 HOST_PATH = "://([^/?#]*)([^?#]*)"
+MAX_SENT = 100_000  # rules in the stacks of all ranges that are broadcast
 OPEN, CLOSE = "\x01", "\x02"
 OUTPUTS = ("host", "path", "rule", "verdict")
 
@@ -48,6 +51,7 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 
 def boundaries(rules: DataFrame) -> DataFrame:
     """Where the set of open rules changes: key and the stack open from there on, innermost first."""
+    rules = rules.filter("host is not null and verdict is not null").withColumn("path", F.coalesce("path", F.lit("")))
     rules = rules.select(
         host_key(ascii_lower("host")).alias("k"),
         F.size(labels(F.col("host"))).alias("depth"),
@@ -96,9 +100,12 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
         .agg(F.max_by("stack", F.when(F.col("o") == 0, F.col("k"))).alias("tail"))
         .select("part", F.last("tail", ignorenulls=True).over(order).alias("carry"))
     )
+    carried = cut(carried, "carried")
+    held = carried.agg(F.sum(F.greatest(F.size("carry"), F.lit(0)))).first()[0] or 0
+    carried = F.broadcast(carried) if held <= MAX_SENT else carried  # else the sweep's own partitions are joined
     sweep = Window.partitionBy("part").orderBy("k", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("o = 1")
-    swept = swept.join(F.broadcast(carried), "part")
+    swept = swept.join(carried, "part")
     fits = F.filter(F.coalesce("stack", "carry"), lambda r: F.startswith(F.col("row.path"), r["path"]))
     hit = F.get(fits, F.lit(0))
     return swept.select("row.*", hit.alias("hit")).select(

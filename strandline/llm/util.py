@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BATCH_ROWS = 256
+BATCH_BYTES = 1 << 20
+HOT = 1000
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -20,9 +22,12 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``.  Where that is unset, a local session makes do with a
+    temporary folder; on a cluster, where executors don't share one, it is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -37,16 +42,39 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = session(df)
     path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
 stored = cut
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Whole texts go to Python: keep the Arrow batches small, so that a few very long ones fit in memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files of a cut that nothing needs any more."""
+    path = session(df).sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(session(df).sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with the one row of table for their key; both are stored tables.
+
+    Keys that hold over a thousandth of the rows, of which there are at most a thousand, are broadcast; only the others'
+    rows are shuffled, so no task gets a hot key.
+    """
+    most = rows.count() / HOT
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(max(most, 1.0))).select(key)
+    hot = cut(table.join(F.broadcast(hot), key), "hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(table, key))
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Whole texts go to Python: bound the Arrow batches by bytes, so that very long ones fit in memory.  Rows that are short fill
+    batches as before, so nothing else that runs in the session becomes slower."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB"))
+    if now > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def ascii_lower(c: Column) -> Column:

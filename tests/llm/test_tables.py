@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import ann, graph, pages, queries, url_rules
+from strandline.llm import ann, graph, oracles, pages, queries, url_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,6 +111,51 @@ def test_suffixes_are_the_runs():
     assert keys[0] != pages.suffixes(t, "g", 8)[0] and len(pages.suffixes(t[:7], "h", 8)) == 0
 
 
+def test_covered_runs_are_those_of_a_suffix_array(spark):
+    """Against whole suffix arrays: sorted suffixes of a host's pages, neighbours of another page, common prefixes of any length."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(5)]
+    shared = [" ".join(rng.choices(words, k=n)) for n in (9, 14, 40)]
+    rows = []
+    for k in range(30):
+        parts = [" ".join(rng.choices(words, k=rng.randrange(3, 30))) for _ in range(3)] + rng.sample(shared, 2)
+        rng.shuffle(parts)
+        rows.append((k, f"http://h{k % 3}.example/{k}", "".join(f"<div>{p}</div>" for p in parts)))
+    rows += [(30, rows[0][1], rows[0][2]), (31, "http://h1.example/z", "<article>" + rows[1][2] + "</article>" + rows[1][2])]
+    got = {r.page_id: r.n_repeated for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), report=True).collect()}
+    for host in range(3):
+        own = {k: pages.stream(pages.blocks(h)).tolist() for k, u, h in rows if f"//h{host}." in u and k != 30}
+        array = sorted((t[i:], k, i) for k, t in own.items() for i in range(len(t)))
+        covered = {k: set() for k in own}
+        for x in range(len(array)):
+            for step in (1, -1):  # outward until the common prefix is too short
+                y, least = x + step, 10**9
+                while 0 <= y < len(array) and least >= 8:
+                    a, b = array[y - step][0], array[y][0]
+                    least = min(least, next((n for n, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b))))
+                    if least >= 8 and array[y][1] != array[x][1]:
+                        covered[array[x][1]] |= set(range(array[x][2], array[x][2] + least))
+                    y += step
+        assert {k: len(v) for k, v in covered.items()} == {k: got[k] for k in own}
+    assert got[30] == got[0]
+
+
+@pytest.mark.parametrize("name, stays", [("ad-hoc", True), ("related-work", True), ("sharing-economy", True), ("ad-box", False), ("related-posts", False), ("share", False), ("googleAd", False), ("comments_list", False)])
+def test_names_in_articles(name, stays):
+    assert pages.chosen(pages.blocks(f"<article><p>a</p><div class='x {name}'>b</div></article>"), None, 8) == ("a\nb" if stays else "a")
+
+
+def test_deep_pages_take_time_by_length():
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        pages.blocks("<div>" * n + "x</b></i>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 1
+
+
 def test_very_long_page():
     p = "<article>" + "<p>word word</p>" * 50_000 + "<div " * 1000
     assert len(pages.chosen(pages.blocks(p), None, 8)) == 50_000 * 10 - 1
@@ -208,8 +253,9 @@ def slow_judge(url, rules):
     return (host, path, *(max(fit)[3:] if fit else (None, "allow")))
 
 
-@pytest.mark.parametrize("parts", ["1", "5"])
-def test_rules(spark, parts):
+@pytest.mark.parametrize("parts, most", [("1", 100_000), ("5", 100_000), ("5", -1)])
+def test_rules(spark, monkeypatch, parts, most):
+    monkeypatch.setattr(url_rules, "MAX_SENT", most)
     rules = [*queries.URL_RULES, ("org", "/", "block"), ("a.org", "/", "allow"), ("a.org", "/b/", "block"), ("a.org", "/b/c/", "allow"), ("a.org", "/b/", "block")]
     rng = random.Random(3)
     urls = URLS + [f"http://{rng.choice(['', 'x.', 'www.', 'a.', 'b.a.'])}{rng.choice(['a.org', 'org', 'example.com', 'net', 'b.net'])}{rng.choice(['/b/', '/b/c/d', '/', '/en/', '/es/', ''])}" for _ in range(300)]
@@ -231,6 +277,8 @@ def test_rules_odd(spark):
     none = url_rules.rules_frame(spark, queries.URL_RULES).limit(0)
     assert url_rules.judge(df, none, default="block").first()["verdict"] == "block"
     assert url_rules.judge(df.limit(0), url_rules.rules_frame(spark, queries.URL_RULES)).count() == 0
+    loose = url_rules.rules_frame(spark, [("a.com", None, "block"), (None, "/", "block"), ("com", "/", None)])
+    assert tuple(url_rules.judge(df, loose).select("rule", "verdict").first()) == ("a.com", "block")
 
 
 # ---- components
@@ -279,3 +327,19 @@ def test_pipeline_on_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+# ---- SQL
+
+
+@pytest.mark.parametrize("name", list(oracles.oracle_sql()))
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    cur = con.execute(f"SELECT {', '.join(columns)} FROM ({oracles.oracle_sql()[name]})")
+    assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, cur.fetchall()))
