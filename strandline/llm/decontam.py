@@ -7,9 +7,9 @@ window, looked up in the sorted hashes of the set, and each match is verified on
 
 * What is broadcast is the benchmark's text in blocks of at most ``MAX_BLOCK_WORDS`` words (one item at least), counted
   before.  More blocks mean more scans whose hits are joined; no window is left out.
-* Null and empty texts have no words and no hits.  Items without words, and null items, have no windows.  Equal items each
-  count; rows that repeat an item id count once; an item without an id marks words but is not listed.
-* Extra columns pass through; columns named like outputs are replaced.
+* Null and empty texts have no words and no hits; very long texts are scanned whole; empty tables of either kind are fine.  Items without words, and null items, have no windows.  Equal items each
+  count; rows that repeat an item id count once; an item without an id marks words but is neither listed nor counted (n_items).
+* Repeated rows are judged alike; there are no ties.  Extra columns pass through; columns named like outputs are replaced.
 """
 
 from __future__ import annotations

@@ -18,7 +18,12 @@ No table of words or pairs is ever broadcast or joined row by row.  Documents ar
 Counts are exact, over all whole training texts.  A word is known by its 64-bit hash, a pair by 56 bits of one; of a billion words
 0.03 pairs are expected to coincide.  A frequent word is one entry in a chunk, so no word is hot; buckets hold words, not tokens.
 
-* Null and empty texts are one end token.  Documents without an id train and are not held out.  Rows that repeat each count.
+Buckets and tasks are as many as a quarter of the chunks, at least the session's shuffle partitions, so what one of them holds
+stays the same as the corpus grows: about four chunks' words, pairs or answers.
+
+* Null and empty texts are one end token; very long ones are one chunk's and scored whole.  Documents without an id train and are
+  not held out.  Rows that repeat each count.  Ties do not arise.  An empty table gives an empty result; other columns, whatever
+  their names, are not looked at.
 * Without training tokens all counts are zero and every token has the unknown token's probability, 1.
 """
 
@@ -41,6 +46,7 @@ from pyspark.sql import functions as F
 from .util import cut, encode_words, session, small_batches
 
 CHUNK = 1_000_000
+SHARE = 4  # chunks to a bucket or task
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 0))  # no word holds a space or is led by a zero byte alone
 CONTEXTS = 40  # buckets of c(h): 0, 1, 2-3, 4-7, ...
 STEPS = 8  # histogram bins for a factor of two
@@ -184,12 +190,12 @@ def add_up(group: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def answered(asked: DataFrame) -> DataFrame:
-    return asked.groupBy("part").applyInPandas(add_up, ANSWER)
+def answered(asked: DataFrame, parts: int) -> DataFrame:
+    return asked.repartition(parts, "part").groupBy("part").applyInPandas(add_up, ANSWER)
 
 
-def gathered(answers: DataFrame, name: str) -> DataFrame:
-    return answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "totals"))).alias(name))
+def gathered(answers: DataFrame, name: str, parts: int) -> DataFrame:
+    return answers.repartition(parts, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "totals"))).alias(name))
 
 
 def joined(answer, order: np.ndarray) -> np.ndarray:
@@ -326,11 +332,12 @@ def score_all(docs: DataFrame, held: Callable[[Column], Column] = held_out, doc:
     """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = session(docs)
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(doc).cast("long").alias("id"), held(F.col(doc)).alias("held"), F.col(text).alias("text"))
     chunks = cut(plain.mapInArrow(chunked, CHUNKS), "chunks")
-    if not chunks.limit(1).count():
+    count_of = chunks.count()
+    if not count_of:
         return spark.createDataFrame([], SCORES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count_of // SHARE))
 
     def send(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "keys", "counts"])
@@ -346,11 +353,11 @@ def score_all(docs: DataFrame, held: Callable[[Column], Column] = held_out, doc:
         if len(which):
             yield send(deal(row.chunk, keys, counts[which], parts, 56)[0])
 
-    words = cut(answered(chunks.mapInArrow(each_row(ask_words), ASKED)), "words")
+    words = cut(answered(chunks.mapInArrow(each_row(ask_words), ASKED), parts), "words")
     n, v = words.agg(F.sum("n"), F.sum("v")).first()
-    with_words = chunks.join(gathered(words, "words_total"), "chunk")
-    pairs = cut(answered(with_words.mapInArrow(each_row(ask_pairs), ASKED)), "pairs")
-    whole = with_words.join(gathered(pairs, "pairs_total"), "chunk", "left")
+    with_words = chunks.repartition(parts, "chunk").join(gathered(words, "words_total", parts), "chunk")
+    pairs = cut(answered(with_words.mapInArrow(each_row(ask_pairs), ASKED), parts), "pairs")
+    whole = with_words.join(gathered(pairs, "pairs_total", parts), "chunk", "left")
 
     def count(row) -> Iterator[pa.RecordBatch]:
         h = histogram(row, n, v)
