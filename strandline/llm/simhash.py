@@ -16,8 +16,11 @@ those under one word are all within four bits of each other, and words two apart
 the least one under each word gives the same components, with work in proportion to the members.
 
 * Null texts and texts without words have fingerprint zero and are linked like any other.  Equal texts have one fingerprint;
-  copies only meet as one row, so hot groups cost nothing.  Repeated rows are kept, each with its component.
-* A component's id is the least doc_id in it; documents without a doc_id take it from the others, or null.
+  copies only meet as one row.  Repeated rows are kept, each with its component.
+* A component's id is the least doc_id in it; documents without a doc_id take it from the others, or null.  Ties do not arise.
+* Very long texts are hashed whole, in blocks of shingles; an empty table gives an empty result.  Extra columns pass through,
+  whatever their names; those named like outputs are replaced.
+* Rows are joined to fingerprints, and fingerprints to components, with hot keys apart (``join_hot``), so none meets in one task.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .util import cut, fresh, session, small_batches
+from .util import cut, fresh, join_hot, session, small_batches
 
 SHINGLE, SEED, REACH = 4, 42, 4
 MAX_BUCKET = 4096
@@ -280,11 +283,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
     linked = links(ids.select(name))
     found = components(linked.select("a", "b"))
     # the least id over the fingerprints of a component
-    grouped = ids.join(found.withColumnRenamed("node", name), name, "left").withColumn("root", F.coalesce("root", name))
-    tops = grouped.filter(F.col("root") != F.col(name)).select("root", "least")
-    tops = tops.unionByName(grouped.filter(F.col("root") == F.col(name)).select("root", "least")).groupBy("root").agg(F.min("least").alias("component_id"))
-    resolved = grouped.join(tops, "root").select(name, "component_id")
-    return printed.join(resolved, name).select(*kept, F.lower(F.lpad(F.hex(name), 16, "0")).alias("fingerprint"), "component_id")
+    grouped = cut(ids.join(found.withColumnRenamed("node", name), name, "left").withColumn("root", F.coalesce("root", name)), "rooted")
+    tops = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
+    resolved = cut(join_hot(grouped, tops, "root").select(name, "component_id"), "resolved")
+    joined = join_hot(printed, resolved, name)
+    return joined.select(*kept, F.lower(F.lpad(F.hex(name), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -292,10 +295,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFr
     share it, that of the least text hash); same columns."""
     from .jaccard import groups
 
-    key, row, pick = fresh(docs, "text_key", "row", "pick")
-    light = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias(key))
+    key, no, row, pick = fresh(docs, "text_key", "no_doc", "row", "pick")
+    light = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias(key))
     best = groups(light, "text", key).groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("no"), F.col("doc").alias("id"), F.col(key).alias("h"))).alias(pick))
-    best = best.select(F.col(f"{pick}.id").alias(row), F.col(f"{pick}.h").alias(key))
-    keyed = docs.withColumn(key, F.xxhash64(text))
-    joined = keyed.alias("d").join(best.alias("b"), F.col(f"d.{doc}").eqNullSafe(F.col(f"b.{row}")) & (F.col(f"d.{key}") == F.col(f"b.{key}")), "left_semi")
-    return joined.dropDuplicates([doc, key]).select(*docs.columns)
+    # plain keys that are never null, so that the rows that repeat one are dropped where the join has put them
+    keys = lambda doc, h: [doc.isNull().alias(no), F.coalesce(doc.cast("string"), F.lit("")).alias(row), h.alias(key)]
+    best = best.select(*keys(F.col(f"{pick}.id"), F.col(f"{pick}.h")))
+    keyed = docs.select("*", *keys(F.col(doc), F.coalesce(F.xxhash64(text), F.lit(0))))
+    return keyed.join(best, [no, row, key], "left_semi").dropDuplicates([no, row, key]).select(*docs.columns)
