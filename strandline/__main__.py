@@ -93,9 +93,10 @@ def main(args: list[str]) -> int:
     if a.z:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(a.z))
     if o.bam:
-        run_bam(spark, o, a.input, o.outfile)
+        text = run_bam(spark, o, a.input, o.outfile, log=a.log)
     else:
-        print(run_fastq(spark, o, a.fq1, a.fq2, out=out, interleaved=a.fqt, log=a.log), file=sys.stderr, end="")
+        text = run_fastq(spark, o, a.fq1, a.fq2, out=out, interleaved=a.fqt, log=a.log)
+    print(text, file=sys.stderr, end="")
     return 0
 
 

@@ -1,21 +1,26 @@
 """BAM records: guards, mates, and the effects of trimming on flags and tags.
 
-A record is rec_idx, qname, flag, pos, mapq, mpos, seq, qual and tags, a map from a tag's name to (type, value) as text.
+A record is rec_idx, qname, flag, pos, mapq, mpos, seq, qual and tags, a map from a tag's name to (type, value) as text, and for
+aligned records ref, cigar, mref and tlen, which are carried through and may be missing.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MIN_LENGTH, Options
+from .tally import outcome as tally_name
 from ..functions.sequence import distinct_sorted, fill_quality, reverse_complement
 from .trim import merged, trimmed
 from .umi import head, tags, tail, unknown, without
 
 PAIRED, UNMAPPED, FIRST, SECOND, FAIL, DUPLICATE = 1, 4, 64, 128, 512, 1024
 EQUAL_TAGS = ("RG", "XI", "YI", "XJ", "YJ")
-FIELDS = ("qname", "flag", "pos", "mapq", "mpos", "seq", "qual", "tags")
+FIELDS = ("qname", "flag", "pos", "mapq", "mpos", "seq", "qual", "tags", "ref", "cigar", "mref", "tlen")
+NOWHERE = {"ref": -1, "cigar": "", "mref": -1, "tlen": 0}  # of a record that is not aligned
 
 
 def has(bit: int, flag="flag") -> Column:
@@ -28,18 +33,22 @@ def guard_aligned(records: DataFrame) -> DataFrame:
     return records.withColumn("flag", F.when(bad, F.raise_error(F.concat(F.lit("aligned record: "), "qname")).cast("int")).otherwise(F.col("flag")))
 
 
+def complete(records: DataFrame) -> DataFrame:
+    """records with all FIELDS."""
+    return records.withColumns({n: F.lit(v) for n, v in NOWHERE.items() if n not in records.columns})
+
+
 def pair_mates(records: DataFrame) -> DataFrame:
-    """a, b: first and second mates of a name as structs, in either order in the file; a name without both is an error."""
-    whole = F.struct("rec_idx", *FIELDS)
-    both = records.filter(has(PAIRED)).groupBy("qname").agg(
-        F.max(F.when(has(FIRST), F.col("rec_idx"))).alias("_1"), F.max(F.when(has(SECOND), F.col("rec_idx"))).alias("_2"), F.count("*").alias("n")
-    )
-    ok = F.col("_1").isNotNull() & F.col("_2").isNotNull() & (F.col("n") == 2)
-    wrong = F.raise_error(F.concat(F.lit("not one first and one second mate: "), "qname")).cast("long")
-    both = both.select("qname", *[F.when(ok, F.col(c)).otherwise(wrong).alias(c) for c in ("_1", "_2")])
-    rows = records.filter(has(PAIRED)).select(F.col("rec_idx").alias("_r"), whole.alias("m"))
-    left = both.join(rows.withColumnsRenamed({"_r": "_1", "m": "a"}), "_1")
-    return left.join(rows.withColumnsRenamed({"_r": "_2", "m": "b"}), "_2").select("a", "b")
+    """a, b: first and second mates of a name as structs, in either order in the file; a name without both is an error.
+
+    One shuffle by name brings both together.
+    """
+    fields = [c for c in ("rec_idx", *FIELDS) if c in records.columns]
+    mate = lambda bit: F.max_by(F.struct(*fields), F.when(has(bit), F.col("rec_idx")))
+    both = records.filter(has(PAIRED)).groupBy("qname").agg(mate(FIRST).alias("a"), mate(SECOND).alias("b"), F.count("*").alias("n"))
+    ok = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("n") == 2)
+    wrong = F.raise_error(F.concat(F.lit("not one first and one second mate: "), "qname"))
+    return both.withColumn("n", F.when(ok, F.col("n")).otherwise(wrong.cast("long"))).filter("n = 2").select("a", "b")
 
 
 def next_in_name(records: DataFrame) -> DataFrame:
@@ -74,8 +83,16 @@ def same_tags(a: Column, b: Column) -> Column:
     return ok
 
 
-def record(rec: Column, sub: int, **fields: Column) -> Column:
-    return F.struct(rec.alias("rec_idx"), F.lit(sub).alias("sub"), *[fields[n].alias(n) for n in FIELDS])
+def record(rec: Column, sub: int, outcome: Column | None = None, **fields: Column) -> Column:
+    """outcome: what became of the pair or read, told with one of its records."""
+    told = F.lit(None).cast("string") if outcome is None else outcome
+    return F.struct(rec.alias("rec_idx"), F.lit(sub).alias("sub"), *[fields[n].alias(n) for n in FIELDS], told.alias("outcome"))
+
+
+def told(o: Options, paired: bool, problem: Column) -> Column:
+    """The tally's name for a result that still has its barcodes."""
+    whole = replace(o, umi_f=0, umi_r=0, umi_trim_f=0, umi_trim_r=0)
+    return F.when((F.col("r.code") == " ") & problem, "umi_problem").otherwise(tally_name(whole, "r", paired))
 
 
 def with_barcode(m: Column, rx: Column, qx: Column) -> Column:
@@ -92,7 +109,7 @@ def on(cond, then, other):
 
 def process_pairs(records: DataFrame, o: Options) -> DataFrame:
     """rec_idx, sub and the fields of what becomes of each pair: one merged record, or both, changed or not."""
-    df = pair_mates(records)
+    df = pair_mates(complete(records))
     a, b = F.col("a"), F.col("b")
     df = df.withColumn("qa", fill_quality(a["seq"], a["qual"])).withColumn("qb", fill_quality(b["seq"], b["qual"]))
     df = df.withColumn("r", merged(a["rec_idx"], a["seq"], F.col("qa"), b["seq"], F.col("qb"), o))
@@ -113,8 +130,10 @@ def process_pairs(records: DataFrame, o: Options) -> DataFrame:
         seq, qual = on(enough, without(seq, cf, cr), seq), on(enough, without(qual, cf, cr), qual)
     ok_tags = on(same_tags(a["tags"], b["tags"]), m, F.raise_error(F.lit("mates differ in a tag they must share")).cast("map<string,struct<type:string,value:string>>"))
     minus, zero = F.lit(-1), F.lit(0)
+    problem = new & ~(F.length("r.seq") > cf + cr) if o.umi else F.lit(False)
+    tallied = told(o, True, problem)
     name = F.concat(a["qname"], F.lit("_M")) if o.keep_original else a["qname"]
-    one = record(F.least(a["rec_idx"], b["rec_idx"]), 0, qname=name, flag=flag, pos=minus, mapq=zero, mpos=minus, seq=seq, qual=qual, tags=ok_tags)
+    one = record(F.least(a["rec_idx"], b["rec_idx"]), 0, tallied, qname=name, flag=flag, pos=minus, mapq=zero, mpos=minus, seq=seq, qual=qual, tags=ok_tags, **{n: F.lit(v) for n, v in NOWHERE.items()})
     failed = code != " "
 
     def kept(x: Column, q: Column, s_new: str, q_new: str, mate: int, sub: int) -> Column:
@@ -127,7 +146,7 @@ def process_pairs(records: DataFrame, o: Options) -> DataFrame:
             n = cf if mate == 1 else cr
             fl = on(able, fl, F.raise_error(F.lit("a read is shorter than its barcode")).cast("int"))
             tg, s, ql = with_barcode(tg, rx, qx), without(s, n, 0), without(ql, n, 0)
-        return record(x["rec_idx"], sub, **same(x, seq=s, qual=ql, tags=tg, flag=fl))
+        return record(x["rec_idx"], sub, tallied if mate == 1 else None, **same(x, seq=s, qual=ql, tags=tg, flag=fl))
 
     pair = [kept(a, F.col("qa"), "s1", "q1", 1, 1), kept(b, F.col("qb"), "s2", "q2", 2, 2)]
     originals = [record(x["rec_idx"], k, **same(x, flag=x["flag"].bitwiseOR(F.lit(DUPLICATE)))) for k, x in ((1, a), (2, b))] if o.keep_original else []
@@ -136,7 +155,7 @@ def process_pairs(records: DataFrame, o: Options) -> DataFrame:
 
 def process_singles(records: DataFrame, o: Options) -> DataFrame:
     """The same for records without a mate."""
-    df = records.filter(~has(PAIRED)).withColumn("qa", fill_quality("seq", "qual"))
+    df = complete(records).filter(~has(PAIRED)).withColumn("qa", fill_quality("seq", "qual"))
     df = df.withColumn("r", trimmed(F.col("seq"), F.col("qa"), o)).withColumn("a", F.struct(*FIELDS))
     a, code = F.col("a"), F.col("r.code")
     new, failed = F.length("r.seq") > 0, code != " "
@@ -153,14 +172,14 @@ def process_singles(records: DataFrame, o: Options) -> DataFrame:
         cut = lambda c: F.substring(c, F.lit(cf + 1), F.greatest(F.length(c) - cf - last, F.lit(0)))
         seq, qual = on(able, cut(seq), seq), on(able, cut(qual), qual)
     name = on(new, F.concat(a["qname"], F.lit("_M")), a["qname"]) if o.keep_original else a["qname"]
-    one = record(F.col("rec_idx"), 0, **same(a, qname=name, flag=flag, seq=seq, qual=qual, tags=m))
+    one = record(F.col("rec_idx"), 0, told(o, False, ~able if o.umi else F.lit(False)), **same(a, qname=name, flag=flag, seq=seq, qual=qual, tags=m))
     old = record(F.col("rec_idx"), 1, **same(a, flag=a["flag"].bitwiseOR(F.lit(DUPLICATE))))
     rows = F.when(new, F.array(one, old)).otherwise(F.array(one)) if o.keep_original else F.array(one)
     return df.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def process(records: DataFrame, o: Options) -> DataFrame:
-    """All records of a BAM file, in its order by rec_idx and sub."""
+    """All records of a BAM file, in its order by rec_idx and sub; outcome, where it is not null, is for the tally."""
     if not o.aligned:
         records = guard_aligned(records)
     return process_pairs(records, o).unionByName(process_singles(records, o))

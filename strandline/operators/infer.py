@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMPARED, OptionError, Options
-from ..functions.sequence import LAMBDA, log10_match, log10_mismatch
+from ..functions.sequence import LAMBDA, fill_quality, log10_match, log10_mismatch
+from . import alignments as B
 from .trim import candidates_pairs
 
 FIRST = 50_000
@@ -26,12 +27,10 @@ def candidates(pairs: DataFrame, o: Options) -> DataFrame:
 def overhangs(found: DataFrame) -> DataFrame:
     """side (F or S), seq, qual of the overhangs of accepted pairs."""
     x = F.col("c.best")
-
-    def side(name: str, s: str, q: str) -> DataFrame:
-        rest = lambda c: F.substring(F.col(c), x + 1, F.length(c))
-        return found.filter(F.col("accepted") & (x < F.length(s))).select(F.lit(name).alias("side"), rest(s).alias("seq"), rest(q).alias("qual"))
-
-    return side("F", "s1", "q1").unionByName(side("S", "s2", "q2"))
+    rest = lambda c: F.substring(F.col(c), x + 1, F.length(c))
+    side = lambda name, s, q: F.struct(F.lit(name).alias("side"), rest(s).alias("seq"), rest(q).alias("qual"))
+    both = F.array(side("F", "s1", "q1"), side("S", "s2", "q2"))
+    return found.filter("accepted").select(F.explode(both).alias("o")).select("o.*").filter("length(seq) > 0")
 
 
 def consensus(observed: DataFrame, o: Options) -> DataFrame:
@@ -47,9 +46,19 @@ def consensus(observed: DataFrame, o: Options) -> DataFrame:
     return sums.select("side", "position", F.when((mass - 1) / mass < ERROR_MASS, best).otherwise("I").alias("base"))
 
 
+def first_pairs(records: DataFrame, first: int = FIRST) -> DataFrame:
+    """rec_idx, s1, q1, s2, q2 of the mates among the first records of a BAM file; a mate whose other one comes later is left."""
+    head = records.orderBy("rec_idx").limit(first).filter(B.has(B.PAIRED))
+    mate = lambda bit: F.max_by(F.struct("seq", fill_quality("seq", "qual").alias("qual")), F.when(B.has(bit), F.col("rec_idx")))
+    both = head.groupBy("qname").agg(F.min("rec_idx").alias("rec_idx"), mate(B.FIRST).alias("a"), mate(B.SECOND).alias("b"))
+    both = both.filter("a is not null and b is not null")
+    return both.select("rec_idx", F.col("a.seq").alias("s1"), F.col("a.qual").alias("q1"), F.col("b.seq").alias("s2"), F.col("b.qual").alias("q2"))
+
+
 def infer_adapters(pairs: DataFrame, o: Options, first: int = FIRST, order: str = "rec_idx") -> Options:
     """Options with the adapters found in the first pairs; an error if a fifth or more of either is ambiguous."""
-    head = pairs.orderBy(order).limit(first)
+    # the first pairs come from a top-k of each partition; they are spread again for the kernel
+    head = pairs.orderBy(order).limit(first).repartition(pairs.sparkSession.sparkContext.defaultParallelism)
     rows = consensus(overhangs(candidates(head, o)), o).collect()  # at most 62 rows
     found = {(r["side"], r["position"]): r["base"] for r in rows}
     adapters = ["".join(found.get((side, k), "I") for k in range(COMPARED + 1)) for side in "FS"]

@@ -14,6 +14,7 @@ from . import kernel as K
 
 RESULT = "code string, seq string, qual string, cut int, s1 string, q1 string, s2 string, q2 string"
 RESULT_TYPE = pa.struct([("code", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("cut", pa.int32()), *((n, pa.string()) for n in ("s1", "q1", "s2", "q2"))])
+CELLS = 1 << 23  # bases of a batch's matrices
 CANDIDATES = "best int, second int, best_ll double, second_ll double, matches int"
 CANDIDATES_TYPE = pa.struct([("best", pa.int32()), ("second", pa.int32()), ("best_ll", pa.float64()), ("second_ll", pa.float64()), ("matches", pa.int32())])
 
@@ -73,6 +74,32 @@ def columns(rows: list[Outcome]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(parts, RESULT_TYPE)], Outcome._fields)
 
 
+def by_length(f, *cols: list) -> list:
+    """f over rows of similar length at a time, so that one long read does not widen the matrices of all; f takes the columns and
+    gives as many results, the first column's strings tell the lengths."""
+    size = np.array([len(x) for x in cols[0]], np.int64)
+    if not len(size) or len(size) * int(size.max()) <= CELLS:
+        return f(*cols)
+    order = np.argsort(size, kind="stable")
+    out: list = [None] * len(size)
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * int(size[order[end]]) <= CELLS:
+            end += 1
+        part = order[at:end].tolist()
+        for k, r in zip(part, f(*[[c[k] for k in part] for c in cols])):
+            out[k] = r
+        at = end
+    return out
+
+
+def spread(reads: DataFrame) -> DataFrame:
+    """A small input that Spark reads in fewer tasks than there are cores, dealt to all of them before the kernel."""
+    cores = reads.sparkSession.sparkContext.defaultParallelism
+    return reads if reads.isStreaming or reads.rdd.getNumPartitions() >= cores else reads.repartition(cores)
+
+
 def run_single(seqs: list[str], quals: list[str], o: Options) -> list[Outcome]:
     key, out, live = o.key_pair[0], [], []
     cut_s, cut_q = [], []
@@ -135,7 +162,7 @@ def trimmed(seq: Column | str, qual: Column | str, o: Options) -> Column:
 
     @F.arrow_udf(RESULT)
     def run(s: pa.Array, q: pa.Array) -> pa.Array:
-        return columns(run_single(texts(s), texts(q), o))
+        return columns(by_length(lambda a, b: run_single(a, b, o), texts(s), texts(q)))
 
     return run(seq, qual)
 
@@ -145,15 +172,20 @@ def merged(record, s1, q1, s2, q2, o: Options) -> Column:
 
     @F.arrow_udf(RESULT)
     def run(r: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        return columns(run_pairs(r.to_pylist(), *map(texts, (a, b, c, d)), o))
+        one, q1, two, q2 = map(texts, (a, b, c, d))
+        longest = [x if len(x) > len(y) else y for x, y in zip(one, two)]
+        return columns(by_length(lambda _, *five: run_pairs(*five, o), longest, r.to_pylist(), one, q1, two, q2))
 
     return run(record, s1, q1, s2, q2)
 
 
-def pack(best: K.Best) -> pa.Array:
-    names = ("best", "second", "best_ll", "second_ll", "matches")
-    cols = (best.x.astype(np.int32), best.second_x.astype(np.int32), best.ll, best.second, best.matches.astype(np.int32))
-    return pa.StructArray.from_arrays([pa.array(c) for c in cols], names)
+def unpacked(best: K.Best) -> list[tuple]:
+    return list(zip(*(c.tolist() for c in (best.x, best.second_x, best.ll, best.second, best.matches))))
+
+
+def pack(rows: list[tuple]) -> pa.Array:
+    """Candidates of a batch."""
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 5, CANDIDATES_TYPE)], [f.name for f in CANDIDATES_TYPE])
 
 
 def candidates_single(seq, qual, o: Options) -> Column:
@@ -161,7 +193,7 @@ def candidates_single(seq, qual, o: Options) -> Column:
 
     @F.arrow_udf(CANDIDATES)
     def run(s: pa.Array, q: pa.Array) -> pa.Array:
-        return pack(K.scan_single(K.Reads(texts(s), texts(q), o.offset), o))
+        return pack(by_length(lambda a, b: unpacked(K.scan_single(K.Reads(a, b, o.offset), o)), texts(s), texts(q)))
 
     return run(seq, qual)
 
@@ -171,8 +203,10 @@ def candidates_pairs(s1, q1, s2, q2, o: Options, overhang: bool = False) -> Colu
 
     @F.arrow_udf(CANDIDATES)
     def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        one, two = K.Reads(texts(a), texts(b), o.offset), K.Reads(texts(c), texts(d), o.offset)
-        return pack((K.scan_overhang if overhang else K.scan_pairs)(one, two, o))
+        scan = K.scan_overhang if overhang else K.scan_pairs
+        one, q1, two, q2 = map(texts, (a, b, c, d))
+        longest = [x if len(x) > len(y) else y for x, y in zip(one, two)]
+        return pack(by_length(lambda _, *four: unpacked(scan(K.Reads(*four[:2], o.offset), K.Reads(*four[2:], o.offset), o)), longest, one, q1, two, q2))
 
     return run(s1, q1, s2, q2)
 
@@ -180,14 +214,14 @@ def candidates_pairs(s1, q1, s2, q2, o: Options, overhang: bool = False) -> Colu
 def is_chimera(seq, qual, o: Options) -> Column:
     @F.arrow_udf("boolean")
     def run(s: pa.Array, q: pa.Array) -> pa.Array:
-        return pa.array(K.chimeric(K.Reads(texts(s), texts(q), o.offset), o))
+        return pa.array(by_length(lambda a, b: K.chimeric(K.Reads(a, b, o.offset), o).tolist(), texts(s), texts(q)), pa.bool_())
 
     return run(seq, qual)
 
 
 def trim_single(reads: DataFrame, o: Options, seq: str = "s1", qual: str = "q1", to: str = "result") -> DataFrame:
-    return reads.withColumn(to, trimmed(F.col(seq), F.col(qual), o))
+    return spread(reads).withColumn(to, trimmed(F.col(seq), F.col(qual), o))
 
 
 def merge_pairs(pairs: DataFrame, o: Options, to: str = "result", record: str = "rec_idx") -> DataFrame:
-    return pairs.withColumn(to, merged(F.col(record), F.col("s1"), F.col("q1"), F.col("s2"), F.col("q2"), o))
+    return spread(pairs).withColumn(to, merged(F.col(record), F.col("s1"), F.col("q1"), F.col("s2"), F.col("q2"), o))

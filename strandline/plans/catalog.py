@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -18,8 +19,11 @@ from ..operators import prior as P
 from ..operators import tally as R
 from ..operators import trim as T
 from ..operators import umi as U
+from ..sources import bam, fastq
 from ..sources.fastq import numbered, zip_pairs
 from . import oracles as O
+from .run import process as run_reads
+from .run import run_fastq
 from .synthetic import CLEAR_PAIRS, PAIRS, SINGLE
 
 LOC, SCALE = 4.0, 0.6
@@ -75,9 +79,9 @@ def key_edit_distance(spark, sf):
     return singles(spark, sf).select("read_id", S.edits(F.substring("seq", 1, 6), F.lit(KEY2)).alias("edits"))
 
 
-@query(over("SELECT read_id, coalesce(list_aggregate(list_sort(list_distinct(string_split(substr(qual, 1, 12), ''))), 'string_agg', ''), '') AS flags FROM reads"))
+@query(over("SELECT read_id, coalesce(list_aggregate(list_sort(list_distinct(string_split(qual, ''))), 'string_agg', ''), '') AS flags FROM reads"))
 def distinct_sorted_flags(spark, sf):
-    return singles(spark, sf).select("read_id", S.distinct_sorted(F.substring("qual", 1, 12)).alias("flags"))
+    return singles(spark, sf).select("read_id", S.distinct_sorted("qual").alias("flags"))
 
 
 @query("SELECT o_orderkey, CAST(coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 8 END, 0) | (o_orderkey % 4) AS INT) AS ff FROM orders")
@@ -405,6 +409,110 @@ def keep_original(spark, sf):
     return out.select("qname", "sub", "flag", F.length("seq").alias("bases"), B.tag(F.col("tags"), "FF").alias("ff"), B.tag(F.col("tags"), "ZQ").alias("zq"))
 
 
+@query(O.tally_sql())
+def bam_tally(spark, sf):
+    """The tally of a BAM run, whose outcomes come with the records."""
+    return R.tally(B.process(records(spark, sf), Options(bam=True)).filter("outcome is not null").select("outcome"))
+
+
+def single_records(spark, sf) -> DataFrame:
+    df = singles(spark, sf).select(F.col("read_id").alias("rec_idx"), F.concat(F.lit("s"), F.col("read_id").cast("string")).alias("qname"), "seq", "qual")
+    tags = F.lit(None).cast("map<string,struct<type:string,value:string>>")
+    empty = F.coalesce(tags, F.from_json(F.lit("{}"), "map<string,struct<type:string,value:string>>"))
+    return df.select("rec_idx", "qname", F.lit(4).alias("flag"), F.lit(-1).alias("pos"), F.lit(0).alias("mapq"), F.lit(-1).alias("mpos"), "seq", "qual", empty.alias("tags"))
+
+
+BAM_SINGLE = f"WITH t AS ({O.trim_sql()}), r AS ({SINGLE}), x AS (SELECT r.read_id, code, t.seq <> '' AS new, CASE WHEN t.seq <> '' THEN t.seq ELSE r.seq END AS seq FROM t JOIN r ON r.read_id = t.read_id)"
+
+
+@query(f"{BAM_SINGLE} SELECT 's' || CAST(read_id AS STRING) AS qname, CAST(CASE WHEN code <> ' ' THEN 516 ELSE 4 END AS INT) AS flag, seq, CASE WHEN new THEN '1' END AS ff, CASE WHEN code <> ' ' THEN code END AS zq FROM x")
+def bam_single(spark, sf):
+    out = B.process(single_records(spark, sf), Options(bam=True))
+    return out.select("qname", "flag", "seq", B.tag(F.col("tags"), "FF").alias("ff"), B.tag(F.col("tags"), "ZQ").alias("zq"))
+
+
+@query(
+    f"""{BAM_SINGLE}, y AS (SELECT *, length(seq) > CASE WHEN new THEN 7 ELSE 4 END AS able FROM x)
+      SELECT 's' || CAST(read_id AS STRING) AS qname, CAST(4 + CASE WHEN code <> ' ' THEN 512 ELSE 0 END + CASE WHEN able THEN 0 ELSE 1024 END AS INT) AS flag,
+        CASE WHEN able THEN substr(seq, 1, 4) || '-' || CASE WHEN new THEN substr(seq, CAST(length(seq) - 2 AS INT), 3) ELSE 'NNN' END END AS rx,
+        CASE WHEN able THEN substr(seq, 5, CAST(length(seq) - CASE WHEN new THEN 7 ELSE 4 END AS INT)) ELSE seq END AS seq FROM y"""
+)
+def bam_barcodes_single(spark, sf):
+    out = B.process(single_records(spark, sf), Options(bam=True, umi_f=4, umi_r=3))
+    return out.select("qname", "flag", B.tag(F.col("tags"), "RX").alias("rx"), "seq")
+
+
+BAM_CODED = f"WITH c AS ({O.consensus_sql()}), p AS ({PAIRS}), m AS (SELECT p.pair_id, 'p' || CAST(p.pair_id AS STRING) AS qname, c.seq, s1, s2, substr(s1, 1, 4) || '-' || reverse(translate(substr(s2, 1, 3), 'ACGTN', 'TGCAN')) AS rx FROM p LEFT JOIN c ON c.pair_id = p.pair_id)"
+
+
+@query(
+    f"""{BAM_CODED} SELECT qname, CAST(0 AS INT) AS sub, length(seq) <= 7 AS duplicate, CASE WHEN length(seq) > 7 THEN substr(seq, 1, 4) || '-' || substr(seq, CAST(length(seq) - 2 AS INT), 3) END AS rx,
+      CASE WHEN length(seq) > 7 THEN substr(seq, 5, CAST(length(seq) - 7 AS INT)) ELSE seq END AS seq FROM m WHERE seq IS NOT NULL
+    UNION ALL SELECT qname, 1, false, rx, substr(s1, 5) FROM m WHERE seq IS NULL UNION ALL SELECT qname, 2, false, rx, substr(s2, 4) FROM m WHERE seq IS NULL"""
+)
+def bam_barcodes_pair(spark, sf):
+    out = B.process(records(spark, sf), Options(bam=True, umi_f=4, umi_r=3))
+    return out.select("qname", "sub", B.has(B.DUPLICATE).alias("duplicate"), B.tag(F.col("tags"), "RX").alias("rx"), "seq")
+
+
+# ---- files
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{found.rstrip('/')}/strandline-{uuid.uuid4().hex}"
+
+
+@query(over("SELECT qname, flag, seq, qual FROM r", RECORDS, "r"))
+def bam_round_trip(spark, sf):
+    """Written as one BAM file and read in splits."""
+    path = f"{scratch(spark)}.bam"
+    bam.write_bam(records(spark, sf), path)
+    return bam.read_bam(spark, path).select("qname", "flag", "seq", "qual")
+
+
+def written(df: DataFrame, path: str, mate: int) -> str:
+    text = F.concat(F.lit("@p"), F.col("pair_id").cast("string"), F.lit(f"/{mate} x"), *[x for c in (f"s{mate}", f"q{mate}") for x in (F.lit("\n" if c[0] == "s" else "\n+\n"), F.col(c))])
+    df.repartitionByRange("pair_id").sortWithinPartitions("pair_id").select(text).write.option("compression", "gzip").text(path)
+    return path
+
+
+@query(over("SELECT '@p' || CAST(pair_id AS STRING) AS name, s1, q1, s2, q2 FROM p", PAIRS, "p"))
+def fastq_round_trip(spark, sf):
+    """Pairs written as two folders of compressed FASTQ and read together."""
+    df, path = pairs(spark, sf), scratch(spark)
+    both = fastq.read_paired(spark, written(df, f"{path}-1", 1), written(df, f"{path}-2", 2))
+    return both.select(F.concat(F.lit("@"), F.regexp_replace("name", "^@", "")).alias("name"), "s1", "q1", "s2", "q2")
+
+
+ROUTE_COUNTS = f"""{O.paired()}, d AS (SELECT chimera, sure AND best > 0 AS new FROM dec)
+  SELECT route, count(*) AS n FROM (SELECT 'merged' AS route FROM d WHERE new UNION ALL SELECT 'r1' FROM d WHERE NOT new AND NOT chimera UNION ALL SELECT 'r2' FROM d WHERE NOT new AND NOT chimera
+    UNION ALL SELECT 'r1_fail' FROM d WHERE chimera UNION ALL SELECT 'r2_fail' FROM d WHERE chimera) GROUP BY route"""
+
+
+@query(ROUTE_COUNTS)
+def fastq_run(spark, sf):
+    """A whole run from files to the six routes, which are read again."""
+    df, path = pairs(spark, sf), scratch(spark)
+    run_fastq(spark, Options(), written(df, f"{path}-1", 1), written(df, f"{path}-2", 2), out=f"{path}-out")
+    out = None
+    for route, file in fastq.prefix_paths(f"{path}-out").items():
+        part = fastq.read_fastq(spark, file).select(F.lit(route).alias("route"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query(over(f"SELECT read_id, failed, CASE WHEN failed THEN seq WHEN e <= 1 THEN substr(seq, 7) ELSE substr(seq, 6) END AS keyless, seq AS keyed FROM (SELECT *, NOT (e <= 1 OR substr(seq, 1, 5) = '{KEY[1:]}') AS failed FROM (SELECT *, {O.edits('substr(seq, 1, 6)', repr(KEY))} AS e FROM reads))", KEYED))
+def trim_key_reads(spark, sf):
+    """Reads with keys that nothing else happens to: written without their key, or with it."""
+    df = made(spark, sf, KEYED).select("read_id", F.col("seq").alias("s1"), F.col("qual").alias("q1"))
+    of = lambda trim: Options(keys=KEY, allow_missing=True, trim_key=trim, trim_cutoff=1000, chimeras="A" * 31)
+    one = run_reads(df, of(True), False).select("read_id", (F.col("result.code") == "K").alias("failed"), F.col("result.s1").alias("keyless"))
+    two = run_reads(df, of(False), False).select("read_id", F.col("result.s1").alias("keyed"))
+    return one.join(two, "read_id")
+
+
 # ---- inference
 
 
@@ -418,6 +526,20 @@ def infer_consensus(spark, sf):
     return I.consensus(I.overhangs(I.candidates(made(spark, sf, CLEAR_PAIRS), Options())), Options())
 
 
+@query(
+    f"""WITH b AS ({O.INFER_CONSENSUS}), s AS (SELECT side, i AS position FROM (VALUES ('F'), ('S')) t(side), range(0, 31) r(i)),
+      a AS (SELECT s.side, string_agg(coalesce(base, 'I'), '' ORDER BY s.position) AS adapter FROM s LEFT JOIN b ON b.side = s.side AND b.position = s.position GROUP BY s.side)
+      SELECT max(adapter) FILTER (side = 'F') AS forward, max(adapter) FILTER (side = 'S') AS reverse FROM a"""
+)
+def infer_adapters(spark, sf):
+    """From the mates among the first records of a BAM file."""
+    df = made(spark, sf, CLEAR_PAIRS)
+    mate = lambda n, flag: F.struct((2 * F.col("pair_id") + n - 1).alias("rec_idx"), F.lit(flag).alias("flag"), F.col(f"s{n}").alias("seq"), F.col(f"q{n}").alias("qual"))
+    rows = df.select(F.col("pair_id").cast("string").alias("qname"), F.explode(F.array(mate(1, 77), mate(2, 141))).alias("m")).select("qname", "m.*")
+    found = I.infer_adapters(I.first_pairs(rows), Options(auto=True, bam=True))
+    return spark.createDataFrame([found.adapters], "forward string, reverse string")
+
+
 def queries() -> dict[str, Callable]:
     return {name: f for name, (f, _) in QUERIES.items()}
 

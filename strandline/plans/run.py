@@ -51,10 +51,21 @@ def run_fastq(spark: SparkSession, o: Options, fq1: str, fq2: str | None = None,
     return text
 
 
-def run_bam(spark: SparkSession, o: Options, path: str, out: str) -> None:
+def run_bam(spark: SparkSession, o: Options, path: str, out: str, log: str | None = None) -> str:
+    """Reads BAM, writes BAM; returns the report.  With ``auto``, under the adapters inferred from the mates among the first records."""
     records = bam.read_bam(spark, path)
+    if o.auto:
+        o = I.infer_adapters(I.first_pairs(records), o)
     header, references = bam.read_header(spark, path)
-    bam.write_bam(B.process(records, o), out, bam.add_program(header), references, o.uncompressed)
+    done = B.process(records, o).persist()
+    try:
+        bam.write_bam(done, out, bam.add_program(header), references, o.uncompressed)
+        text = R.report(R.tally(done.filter("outcome is not null").select("outcome")))
+    finally:
+        done.unpersist()
+    if log:
+        write_text(spark, log, text)
+    return text
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "rec_idx long, qname string, flag int, pos int, mapq int, mpos int, seq string, qual string, tags map<string,struct<type:string,value:string>>"
+SCHEMA = "rec_idx long, qname string, flag int, pos int, mapq int, mpos int, seq string, qual string, tags map<string,struct<type:string,value:string>>, ref int, cigar string, mref int, tlen int"
 TAG = pa.struct([("type", pa.string()), ("value", pa.string())])
 ARROW = pa.schema(
-    [("rec_idx", pa.int64()), ("qname", pa.string()), *((n, pa.int32()) for n in ("flag", "pos", "mapq", "mpos")), ("seq", pa.string()), ("qual", pa.string()), ("tags", pa.map_(pa.string(), TAG))]
+    [("rec_idx", pa.int64()), ("qname", pa.string()), *((n, pa.int32()) for n in ("flag", "pos", "mapq", "mpos")), ("seq", pa.string()), ("qual", pa.string()), ("tags", pa.map_(pa.string(), TAG)), ("ref", pa.int32()), ("cigar", pa.string()), ("mref", pa.int32()), ("tlen", pa.int32())]
 )
 BASES = "=ACMGRSVTWYHKDBN"  # fixed by the format
+CIGAR = "MIDNSHP=X"  # fixed by the format
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")  # fixed by the format
+MAGIC = EOF[:16]  # every block begins so
 BLOCK = 60_000
 ROWS = 2048
+PART = 1 << 22  # bytes that a split is parsed in
+CHAIN = 40  # records that must follow each other where a split is entered
 
 
 def inflate(raw: bytes) -> bytes:
+    """Blocks one after another, each by the size that its header tells."""
     out, at = [], 0
     while at < len(raw):
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(raw[at:]))
-        used = len(raw) - at - len(d.unused_data)
-        if not used:
-            break
-        at += used
+        if raw[at : at + 16] == MAGIC:
+            size = struct.unpack_from("<H", raw, at + 16)[0] + 1
+            out.append(zlib.decompress(raw[at + 18 : at + size - 8], -15))
+        else:  # another header: as any gzip member
+            d = zlib.decompressobj(31)
+            out.append(d.decompress(raw[at:]))
+            size = len(raw) - at - len(d.unused_data)
+            if not size:
+                break
+        at += size
     return b"".join(out)
 
 
@@ -42,7 +52,7 @@ def deflate(data: bytes, level: int = 6) -> bytes:
         c = zlib.compressobj(level, zlib.DEFLATED, -15)
         body = c.compress(part) + c.flush()
         size = len(body) + 25
-        out.append(bytes.fromhex("1f8b08040000000000ff0600424302 00".replace(" ", "")) + struct.pack("<H", size) + body + struct.pack("<II", zlib.crc32(part), len(part)))
+        out.append(MAGIC + struct.pack("<H", size) + body + struct.pack("<II", zlib.crc32(part), len(part)))
     return b"".join(out)
 
 
@@ -107,60 +117,226 @@ def parse(data: bytes, at: int) -> Iterator[dict]:
     """Records of an inflated file; qualities as text at offset 33, * if they are missing."""
     while at < len(data):
         size = struct.unpack_from("<i", data, at)[0]
-        _, pos, name_len, mapq, _, cigars, flag, bases, _, mpos, _ = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
+        ref, pos, name_len, mapq, _, cigars, flag, bases, mref, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
         p = at + 36
         name = data[p : p + name_len - 1].decode()
-        p += name_len + 4 * cigars
+        p += name_len
+        cigar = "".join(f"{c >> 4}{CIGAR[c & 15]}" for c in struct.unpack_from(f"<{cigars}I", data, p))
+        p += 4 * cigars
         half = (bases + 1) // 2
         seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in data[p : p + half])[:bases]
         p += half
         q = data[p : p + bases]
         qual = "*" if bases and q[0] == 255 else "".join(chr(x + 33) for x in q)
         p += bases
-        yield {"qname": name, "flag": flag, "pos": pos, "mapq": mapq, "mpos": mpos, "seq": seq, "qual": qual, "tags": read_tags(data[p : at + 4 + size])}
+        yield {"qname": name, "flag": flag, "pos": pos, "mapq": mapq, "mpos": mpos, "seq": seq, "qual": qual, "tags": read_tags(data[p : at + 4 + size]), "ref": ref, "cigar": cigar, "mref": mref, "tlen": tlen}
         at += 4 + size
 
 
 def encode(r: dict) -> bytes:
-    """An unmapped or kept record, without a CIGAR."""
+    """A record with its alignment, if it has one."""
     seq, name = r["seq"], r["qname"].encode() + b"\0"
     codes = [BASES.index(b) for b in seq] + [0] * (len(seq) % 2)
     packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
     qual = b"\xff" * len(seq) if r["qual"] == "*" else bytes(ord(c) - 33 for c in r["qual"])
+    steps = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", r.get("cigar") or "")]
     pos = r["pos"]
-    bin_ = 4680 if pos < 0 else 4681 + (pos >> 14)
-    body = struct.pack("<iiBBHHHiiii", -1, pos, len(name), r["mapq"], bin_, 0, r["flag"], len(seq), -1, r["mpos"], 0)
-    body += name + packed + qual + write_tags(r["tags"] or {})
+    ref, mref, tlen = (r.get(k, d) for k, d in (("ref", -1), ("mref", -1), ("tlen", 0)))
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), r["mapq"], index_bin(pos, sum(n for n, op in steps if op in "MDN=X")), len(steps), r["flag"], len(seq), mref, r["mpos"], tlen)
+    body += name + struct.pack(f"<{len(steps)}I", *(n << 4 | CIGAR.index(op) for n, op in steps)) + packed + qual + write_tags(r["tags"] or {})
     return struct.pack("<i", len(body)) + body
 
 
+def index_bin(pos: int, length: int) -> int:
+    """The smallest bin of the format's index (16 kb, and five times eightfold) that holds an alignment."""
+    begin, end = pos, pos + max(length, 1) - 1
+    for bits, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if begin >> bits == end >> bits:
+            return first + (begin >> bits)
+    return 0
+
+
+def blocks(spark: SparkSession, path: str) -> DataFrame:
+    """file, start, value, id: the blocks of BAM files without their first bytes, in the order of id within each split.
+
+    Every block begins with the same 16 bytes; they part the lines of a text, so Spark's reader cuts files of any size into splits
+    at block bounds.
+    """
+    text = spark.read.format("text").option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).load(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+
+
+def opened(value: bytes) -> bytes:
+    """The content of a block without its first bytes."""
+    if len(value) < 10 or struct.unpack_from("<H", value)[0] + 1 != len(value) + len(MAGIC):
+        raise ValueError("not a block of a BAM file")
+    return zlib.decompress(value[2:-8], -15)
+
+
+def plausible(data: bytes, at: int) -> int:
+    """Where the next record begins, if there can be one here; len(data) or more if it is not all there, else -1."""
+    if at + 36 > len(data):
+        return len(data)
+    size, ref, pos, name_len, _, _, cigars, _, bases, mref, mpos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if min(ref, pos, mref, mpos) < -1 or name_len < 1 or bases < 0 or size < 32 + name_len + 4 * cigars + (bases + 1) // 2 + bases or size > 1 << 28:
+        return -1
+    name = data[at + 36 : at + 36 + name_len]
+    if len(name) == name_len and (name[-1] != 0 or any(c < 33 or c > 126 for c in name[:-1])):
+        return -1
+    return at + 4 + size
+
+
+def first_record(data: bytes, last: bool) -> int:
+    """Where the first record begins in a split that may begin inside one: the first place from which CHAIN records, or all there
+    are, follow each other; -1 if more data are wanted (if last, all of the split is inside of one record)."""
+    for at in range(len(data) - 35):
+        p = at
+        for _ in range(CHAIN):
+            p = plausible(data, p)
+            if p < 0 or p >= len(data):
+                break
+        if p >= len(data) and not last:
+            return -1
+        if p >= 0:
+            return at
+    return len(data) if last else -1
+
+
+def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(number, head, records, rest) of the splits of a task, in parts: head is what stands before a split's first record, rest what is
+    left after its last.  The lowest bit of an incoming number tells that the split begins a file, whose header is skipped."""
+    number, held, synced = -1, b"", False
+
+    def cut_up(last: bool) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        nonlocal held, synced
+        head = b""
+        if not synced:
+            at = first_record(held, last) if number & 1 == 0 else header_end(held, last)
+            if at < 0:
+                return
+            head, held, synced = (held[:at] if number & 1 == 0 else b""), held[at:], True
+        end = 0
+        while end + 4 <= len(held) and (n := end + 4 + struct.unpack_from("<i", held, end)[0]) <= len(held):
+            end = n
+        yield number >> 1, head, held[:end], held[end:] if last else b""
+        held = held[end:]
+
+    for batch in batches:
+        for n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if n != number:
+                if number >= 0:
+                    yield from cut_up(True)
+                number, held, synced = n, b"", False
+            held += opened(value)
+            if len(held) >= PART:
+                yield from cut_up(False)
+    if number >= 0:
+        yield from cut_up(True)
+
+
+def header_end(data: bytes, last: bool) -> int:
+    try:
+        return split_header(data)[2]
+    except (struct.error, IndexError):
+        if last:
+            raise ValueError("the header is longer than a split") from None
+        return -1
+
+
+def rows_of(number: int, at: int, data: bytes) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    for r in parse(data, 0):
+        rows.append({"rec_idx": (number << 32) + at, **r, "tags": list(r["tags"].items())})
+        at += 1
+        if len(rows) == ROWS:
+            yield pa.RecordBatch.from_pylist(rows, ARROW)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, ARROW)
+
+
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one file or of many in a folder; each file is one task's, so large inputs want many files."""
+    """Records of one file or of all in a folder, by name; rec_idx is the split's number and the place in it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each split finds its first record by the form of records, parses what is whole, and hands on what its bounds cut; those few
+    are put together by file, where it is an error if they do not fit exactly.
+    """
+    at = blocks(spark, path)
+    found = at.select("file", "start").distinct()  # one row for each split
+    order = F.row_number().over(Window.orderBy("file", "start")) - 1
+    found = found.select("file", "start", (2 * order + (F.col("start") == 0).cast("int")).cast("long").alias("number"))
+    data = at.filter("length(value) > 0").join(F.broadcast(found), ["file", "start"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, place = -1, 0
+        for n, _, part, _ in splits(batches):
+            if n != number:
+                number, place = n, 0
+            for batch in rows_of(n, place, part):
+                place += batch.num_rows
+                yield batch
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, head, any_ = -1, b"", False
+        out: list[tuple[int, bytes, bytes, bool]] = []
+        for n, start, part, rest in splits(batches):
+            if n != number:
+                number, head, any_ = n, start, False
+            any_ |= bool(part)
+            out = [x for x in out if x[0] != n] + [(n, head, rest, any_)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.bool_()))], names=["number", "head", "tail", "some"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_, since = None, b"", 0
         for batch in batches:
-            for number, content in zip(*(c.to_pylist() for c in batch.columns)):
-                data = inflate(content)
-                rows: list[dict] = []
-                for n, r in enumerate(parse(data, split_header(data)[2])):
-                    rows.append({"rec_idx": (number << 40) + n, **r, "tags": list(r["tags"].items())})
-                    if len(rows) == ROWS:
-                        yield pa.RecordBatch.from_pylist(rows, ARROW)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, ARROW)
-
-    files = spark.read.format("binaryFile").load(path)
-    names = files.select("path").sort("path")
-    order = {r["path"]: i for i, r in enumerate(names.collect())}  # one entry a file
-    number = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("path")).cast("long")
-    return files.select(number.alias("number"), "content").mapInArrow(run, SCHEMA)
+            for f, n, head, tail, some in zip(*(c.to_pylist() for c in batch.columns)):
+                if f != file:
+                    if open_:
+                        raise ValueError(f"{file} is cut off")
+                    file, open_, since = f, b"", n
+                else:
+                    open_ += head
+                if some or tail:
+                    yield from rows_of(since, 1 << 31, complete(open_, file))
+                    open_, since = tail, n
+        if open_:
+            yield from rows_of(since, 1 << 31, complete(open_, file))
+
+    def complete(data: bytes, file: str) -> bytes:
+        end = 0
+        while end + 4 <= len(data):
+            end += 4 + struct.unpack_from("<i", data, end)[0]
+        if end != len(data):
+            raise ValueError(f"records of {file} can't be told apart")
+        return data
+
+    parts = data.select("number", "value")
+    cuts = parts.mapInArrow(ends, "number long, head binary, tail binary, some boolean")
+    names = found.select("file", (F.col("number") / 2).cast("long").alias("number"))
+    cuts = cuts.join(F.broadcast(names), "number").select("file", "number", "head", "tail", "some").repartition("file").sortWithinPartitions("file", "number")
+    return parts.mapInArrow(whole, SCHEMA).unionByName(cuts.mapInArrow(joined, SCHEMA))
 
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, bytes]:
-    """Header text and reference table of the first file."""
-    raw = spark.read.format("binaryFile").load(path).sort("path").select("content").first()["content"]
-    text, table, _ = split_header(inflate(bytes(raw)))
-    return text, table
+    """Header text and reference table of the first file; only its first blocks are read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    first = hadoop.fs.Path(spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0])
+    stream = first.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(first)
+    data, held = b"", b""
+    try:
+        while True:
+            more = bytes(stream.readNBytes(1 << 20))
+            held += more
+            while len(held) >= 18 and len(held) >= (size := struct.unpack_from("<H", held, 16)[0] + 1):
+                data, held = data + inflate(held[:size]), held[size:]
+            try:
+                text, table, _ = split_header(data)
+                return text, table
+            except (struct.error, IndexError):
+                if not more:
+                    raise ValueError("not a BAM file") from None
+    finally:
+        stream.close()
 
 
 def add_program(text: str, name: str = "strandline", command: str = "") -> str:
@@ -173,24 +349,37 @@ def add_program(text: str, name: str = "strandline", command: str = "") -> str:
 
 
 def write_bam(records: DataFrame, path: str, header: str = "", references: bytes = struct.pack("<i", 0), uncompressed: bool = False) -> None:
-    """One file in the order of rec_idx and, if there, sub.  Tasks encode; the driver passes their blocks on, one partition at a time."""
+    """One file in the order of rec_idx and, if there, sub.
+
+    Tasks write the blocks as parts, as the lines of a text that the blocks' first bytes part; the file system joins them behind the
+    header, so no record passes through the driver's Python.
+    """
     spark, level = records.sparkSession, 0 if uncompressed else 6
     by = [c for c in ("rec_idx", "sub") if c in records.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blob = b"".join(encode({**r, "tags": dict(r["tags"] or ())}) for r in batch.to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([deflate(blob, level)], pa.binary())], names=["block"])
+            if batch.num_rows:
+                blob = b"".join(encode({**r, "tags": dict(r["tags"] or ())}) for r in batch.to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([deflate(blob, level)[len(MAGIC) :]], pa.binary())], names=["block"])
 
-    blocks = records.select(*by, "qname", "flag", "pos", "mapq", "mpos", "seq", "qual", "tags").repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, "block binary")
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    fields = [c for c in ("qname", "flag", "pos", "mapq", "mpos", "seq", "qual", "tags", "ref", "cigar", "mref", "tlen") if c in records.columns]
+    made = records.select(*by, *fields).repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, "block binary")
+    parts = f"{path}.parts"
+    made.select(F.col("block").cast("string")).write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(parts)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    target, folder = hadoop.fs.Path(path), hadoop.fs.Path(parts)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(target, True)
     try:
         text = header.encode()
-        out.write(bytearray(deflate(b"BAM\1" + struct.pack("<i", len(text)) + text + references, level)))
-        for row in blocks.toLocalIterator():
-            out.write(bytearray(row["block"]))
-        out.write(bytearray(EOF))
+        out.write(bytearray(deflate(b"BAM\1" + struct.pack("<i", len(text)) + text + references, level) + MAGIC))
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(folder)):
+            if name.startswith("part-"):
+                part = fs.open(hadoop.fs.Path(folder, name))
+                hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                part.close()
+        out.write(bytearray(EOF[len(MAGIC) :]))
     finally:
         out.close()
+    fs.delete(folder, True)

@@ -28,6 +28,11 @@ def numbered(df: DataFrame, by: list[str], to: str) -> DataFrame:
     return part.join(F.broadcast(offsets(part, "_part")), "_part").withColumn(to, F.col("before") + local + 1).drop("_part", "_id", "before")
 
 
+def loose(first: int, lines: list[str]) -> list[tuple]:
+    """Lines of records that are not whole, numbered from first."""
+    return [((first + k) // 4, False, (first + k) % 4, None, None, None, None, x) for k, x in enumerate(lines)]
+
+
 def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line, number) rows in order: whole records, and the lines of those cut by the partition's ends."""
     held: list[str] = []
@@ -42,6 +47,9 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, numbers = (c.to_pylist() for c in batch.columns)
         rows = []
         for line, n in zip(lines, numbers):
+            if held and n != first + len(held):  # another split of this task
+                rows += loose(first, held)
+                held = []
             if not held:
                 first = n
             held.append(line)
@@ -49,22 +57,30 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if first % 4 == 0:
                     rows.append((n // 4, True, None, *held, None))
                 else:
-                    rows += [((first + k) // 4, False, (first + k) % 4, None, None, None, None, x) for k, x in enumerate(held)]
+                    rows += loose(first, held)
                 held = []
         yield pack(rows)
     if held:
-        yield pack([((first + k) // 4, False, (first + k) % 4, None, None, None, None, x) for k, x in enumerate(held)])
+        yield pack(loose(first, held))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """rec_idx, header, seq, qual of a FASTQ file, plain or gz, in any storage that Spark reads.
 
-    Lines are numbered over the file's splits; records are put together where they are read, and only those that a split cuts
-    are moved.  A file that is cut off, or whose third lines lack the +, is an error.
+    Lines are numbered within each file over its splits; of a folder, files follow each other by name, each from a new record.
+    Records are put together where they are read, and only those that a split cuts are moved.  A file that is cut off, or whose
+    third lines lack the +, is an error.
     """
-    lines = spark.read.text(path).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    local = F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33)
-    pieces = lines.join(F.broadcast(offsets(lines, "_part")), "_part").select("value", (F.col("before") + local).alias("n")).mapInArrow(assemble, PIECES)
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")
+    )
+    splits = lines.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_id").alias("first"))  # one row for each split
+    within = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("_file").agg((4 * F.ceil(F.sum("n") / 4)).alias("m")).select("_file", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("at"))
+    at = splits.withColumn("lines", F.coalesce(F.sum("n").over(within), F.lit(0))).join(files, "_file")
+    at = at.select("_file", "_start", (F.col("at") + F.col("lines") - F.col("first")).alias("_shift"))
+    pieces = lines.join(F.broadcast(at), ["_file", "_start"]).select("value", (F.col("_id") + F.col("_shift")).alias("n")).mapInArrow(assemble, PIECES)
     whole = pieces.filter("whole").select("rec_idx", "header", "seq", "plus", "qual")
     at = lambda k: F.max(F.when(F.col("place") == k, F.col("line")))
     cut = pieces.filter("not whole and not (place = 0 and line = '')").groupBy("rec_idx").agg(at(0).alias("header"), at(1).alias("seq"), at(2).alias("plus"), at(3).alias("qual"))
@@ -108,11 +124,11 @@ def write_routes(routed: DataFrame, paths: dict[str, str], paired: bool = True)
     wanted = ROUTES_PAIRED if paired else ROUTES_SINGLE
     if set(paths) != set(wanted):
         raise ValueError(f"paths are wanted for {', '.join(wanted)}")
-    lines = lines_of(routed).persist()
+    # sorted once; each route is then a filter of what is stored, in order and without another shuffle
+    lines = lines_of(routed).repartitionByRange("rec_idx").sortWithinPartitions("rec_idx", "mate").persist()
     try:
         for route, path in paths.items():
-            part = lines.filter(F.col("route") == route)
-            part.repartitionByRange("rec_idx").sortWithinPartitions("rec_idx", "mate").select("value").write.option("compression", "gzip").mode("overwrite").text(path)
+            lines.filter(F.col("route") == route).select("value").write.option("compression", "gzip").mode("overwrite").text(path)
     finally:
         lines.unpersist()
 

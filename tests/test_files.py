@@ -3,8 +3,10 @@
 import glob
 import gzip
 import random
+import struct
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strandline.config import OptionError, Options
@@ -59,6 +61,30 @@ def test_read_fastq_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_fastq_folder_over_splits(spark, tmp_path):
+    """Several files, each cut into splits that end within records, one without a last line feed and one with an empty last line."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    rows = []
+    for f, n in enumerate((120, 7, 260, 33)):
+        own = [(f"@f{f}r{k}", INSERT[: (k * 7) % 50], "@" * ((k * 7) % 50)) for k in range(n)]
+        write_fastq(folder / f"{f}.fq", own)
+        rows += own
+    text = (folder / "1.fq").read_text()
+    (folder / "1.fq").write_text(text.rstrip("\n"))
+    (folder / "2.fq").write_text((folder / "2.fq").read_text() + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("700", "2111", "4096", "20000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10")
+            got = fastq.read_fastq(spark, str(folder)).orderBy("rec_idx").collect()
+            assert [(r.header, r.seq, r.qual) for r in got] == rows
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_broken_fastq(spark, tmp_path):
     (tmp_path / "b.fq").write_text("@a\nAC\n+\nII\n@b\nAC\n")
     with pytest.raises(Exception, match="not a FASTQ record"):
@@ -125,13 +151,14 @@ def test_options(wrong):
 
 def records():
     tags = {"RG": {"type": "Z", "value": "g"}, "NH": {"type": "i", "value": "-7"}, "XA": {"type": "A", "value": "q"}, "XB": {"type": "B", "value": "s,1,-2"}}
+    away = (-1, "", -1, 0)
     out = []
     for k in range(6):
         ins = INSERT[: 20 + k]
         for mate, s in ((77, (ins + FWD)[:50]), (141, (turned(ins) + REV)[:50])):
-            out.append((len(out), f"p{k}", mate, -1, 0, -1, s, "*" if k == 5 else "I" * 50, tags))
-    out.append((len(out), "s", 4, -1, 0, -1, (INSERT[:30] + FWD)[:50], "I" * 50, {"FF": {"type": "i", "value": "4"}, "ZQ": {"type": "Z", "value": "B"}}))
-    out.append((len(out), "odd", 4, -1, 0, -1, "ACGTN", "IIIII", {}))
+            out.append((len(out), f"p{k}", mate, -1, 0, -1, s, "*" if k == 5 else "I" * 50, tags, *away))
+    out.append((len(out), "s", 4, -1, 0, -1, (INSERT[:30] + FWD)[:50], "I" * 50, {"FF": {"type": "i", "value": "4"}, "ZQ": {"type": "Z", "value": "B"}}, *away))
+    out.append((len(out), "odd", 4, -1, 0, -1, "ACGTN", "IIIII", {}, *away))
     return out
 
 
@@ -149,6 +176,96 @@ def test_bam_round_trip(spark, tmp_path):
     assert "@PG\tID:strandline" in bam.read_header(spark, str(tmp_path / "b.bam"))[0]
 
 
+def aligned_records(n=900):
+    rng, out = random.Random(5), []
+    for k in range(n):
+        s = "".join(rng.choices("ACGTN", k=rng.randrange(1, 200)))
+        tags = {"NM": Row(type="C", value=str(k % 5)), "XT": Row(type="Z", value="x" * (k % 90))}
+        out.append((k, f"r{k}", 0, 1000 * k, k % 60, 7 * k, s, "*" if k % 9 == 0 else "".join(rng.choices("#5AFI", k=len(s))), tags, k % 3, f"{len(s)}M" if k % 2 else f"1S{len(s)}M2D3N", k % 3, -k))
+    return out
+
+
+def test_bam_over_splits(spark, tmp_path):
+    """Aligned records come back whole from files whose blocks cut records, read in splits of any size, also of a folder."""
+    rows, folder = aligned_records(), tmp_path / "bams"
+    folder.mkdir()
+    table = struct.pack("<i", 3) + b"".join(struct.pack("<i", 3) + b"c%d\0" % k + struct.pack("<i", 10**7) for k in range(3))
+    head = b"BAM\1" + struct.pack("<i", 4) + b"@CO\n" + table
+    names = ("rec_idx", "qname", "flag", "pos", "mapq", "mpos", "seq", "qual", "tags", "ref", "cigar", "mref", "tlen")
+    for name, part in (("a.bam", rows[:500]), ("b.bam", rows[500:])):
+        data = head + b"".join(bam.encode({**dict(zip(names, r)), "tags": {k: t.asDict() for k, t in r[8].items()}}) for r in part)
+        cut = [data[i : i + 1777] for i in range(0, len(data), 1777)]
+        (folder / name).write_bytes(b"".join(bam.deflate(c) for c in cut) + bam.EOF)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("5000", "17001", "100000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10")
+            back = bam.read_bam(spark, str(folder)).orderBy("rec_idx").collect()
+            assert [tuple(r)[1:] for r in back] == [r[1:] for r in rows]
+            assert len({r.rec_idx for r in back}) == len(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert bam.read_header(spark, str(folder)) == ("@CO\n", table)
+    bam.write_bam(bam.read_bam(spark, str(folder)), str(tmp_path / "c.bam"), "@CO\n", table)
+    assert [tuple(r)[1:] for r in bam.read_bam(spark, str(tmp_path / "c.bam")).orderBy("rec_idx").collect()] == [r[1:] for r in rows]
+    # carried through a run of aligned records
+    run.run_bam(spark, Options(bam=True, aligned=True, trim_cutoff=1000), str(tmp_path / "c.bam"), str(tmp_path / "d.bam"))
+    got = {r.qname: r for r in bam.read_bam(spark, str(tmp_path / "d.bam")).collect()}
+    # reads are single here: not paired, nothing trimmed
+    assert all((got[r[1]].pos, got[r[1]].ref, got[r[1]].cigar, got[r[1]].mref, got[r[1]].tlen) == (r[3], r[9], r[10], r[11], r[12]) for r in rows)
+
+
+def test_index_bins():
+    assert [bam.index_bin(p, n) for p, n in ((-1, 1), (0, 1), (16383, 1), (16383, 2), (1 << 26, 10), ((1 << 26) - 1, 2))] == [4680, 4681, 4681, 585, 4681 + (1 << 12), 0]
+
+
+def test_inflating_takes_time_by_length():
+    import time
+
+    took = []
+    for n in (1, 8):
+        raw = bam.deflate(random.Random(1).randbytes(n << 20))
+        began = time.perf_counter()
+        assert len(bam.inflate(raw)) == n << 20
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_bam_command_infers_and_reports(spark, tmp_path, capsys):
+    from strandline.__main__ import main
+
+    rows = []
+    for k in range(300):
+        ins = "".join(random.Random(k).choices("ACGT", k=75))
+        for mate, s in ((77, (ins + FWD + "ACGT")[:110]), (141, (turned(ins) + REV + "ACGT")[:110])):
+            rows.append((len(rows), f"p{k}", mate, -1, 0, -1, s, "I" * len(s), {}, -1, "", -1, 0))
+    bam.write_bam(spark.createDataFrame(rows, bam.SCHEMA), str(tmp_path / "in.bam"))
+    found = I.infer_adapters(I.first_pairs(bam.read_bam(spark, str(tmp_path / "in.bam"))), Options(auto=True, bam=True))
+    assert found.adapters == (FWD[:31], REV[:31])
+    assert main(["--auto", "--log", str(tmp_path / "log"), "-o", str(tmp_path / "out.bam"), str(tmp_path / "in.bam")]) == 0
+    text = (tmp_path / "log").read_text()
+    assert "Total reads :\t300\n" in text and "merged trim\t300\t100.0000%" in text and text in capsys.readouterr().err
+    assert bam.read_bam(spark, str(tmp_path / "out.bam")).count() == 300
+
+
+def test_bam_tally_counts_each_pair_and_read_once(spark):
+    from strandline.operators import tally as R
+
+    df = spark.createDataFrame(records(), bam.SCHEMA)
+    for o in (Options(bam=True), Options(bam=True, keep_original=True), Options(bam=True, umi_f=3, umi_r=2)):
+        got = R.tally(B.process(df, o).filter("outcome is not null").select("outcome")).first()
+        assert got["total"] == 8 and sum(got[n] for n in R.TALLY[1:]) == 8 and got["merged_trim"] == 6
+
+
+def test_trim_key_keeps_or_drops_the_key(spark):
+    reads = spark.createDataFrame([(0, "ACGTACGATTACAGATTACA", "I" * 20), (1, "TTTTTTGATTACAGATTACA", "I" * 20)], "rec_idx long, s1 string, q1 string")
+    for trim, first in ((True, "GATTACAGATTACA"), (False, "ACGTACGATTACAGATTACA")):
+        got = run.process(reads, Options(keys="ACGTAC", trim_key=trim, trim_cutoff=1000), paired=False).orderBy("rec_idx").collect()
+        assert [(r.result.code, r.result.s1) for r in got] == [(" ", first), ("K", "TTTTTTGATTACAGATTACA")]
+
+
 def test_bam_guards(spark):
     df = spark.createDataFrame(records(), bam.SCHEMA)
     with pytest.raises(Exception, match="aligned record"):

@@ -1,6 +1,7 @@
 """The numpy kernel against literal loops, and anchor values."""
 
 import math
+import random
 
 import numpy as np
 from hypothesis import given, settings
@@ -122,3 +123,15 @@ def test_phred64():
 def test_coin_is_fair():
     k = np.arange(20000)
     assert 0.45 < T.coin(1, k, 3).mean() < 0.55
+
+
+def test_long_reads_do_not_widen_the_rest(monkeypatch):
+    """Rows dealt by length give what they give together."""
+    from strandline.operators import trim as T
+
+    rng = random.Random(3)
+    seqs = ["".join(rng.choices("ACGT", k=n)) for n in (30, 200, 5, 80, 31, 1, 0, 64)]
+    quals = ["I" * len(x) for x in seqs]
+    whole = T.run_single(seqs, quals, Options())
+    monkeypatch.setattr(T, "CELLS", 100)
+    assert T.by_length(lambda a, b: T.run_single(a, b, Options()), seqs, quals) == whole
