@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import ann, graph, oracles, pages, queries, url_rules
+from strandline.llm import ann, graph, oracles, pages, queries, toxicity, url_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -329,6 +329,55 @@ def test_pipeline_on_nothing(spark):
         assert out.count() == 0
 
 
+def test_pipeline_against_plain_rules(spark):
+    """The whole pipeline against each stage's rule applied to plain rows."""
+    import pyarrow as pa
+
+    from .test_documents import jaccard_of, roots, slow_hits, slow_targets, slow_windows
+
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    ids = sorted(rows)
+    ids = [d for d, score in zip(ids, model.score(pa.array([rows[d].text for d in ids]))) if score < 0.3]
+    alike = [(i, j) for i in range(len(ids)) for j in range(i) if jaccard_of(rows[ids[i]].text, rows[ids[j]].text) >= 0.8]
+    ids = [ids[k] for k in sorted(set(roots(len(ids), alike)))]
+    windows = slow_windows([tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()])
+    ids = [d for d in ids if not slow_hits(rows[d].text, windows)[1]]
+    got = corpus_pipeline.run(spark, SF).collect()
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", rows[d].text or "")) for d in ids}
+    total, taken, copies = {}, {}, {}
+    for d in ids:
+        total[rows[d].source] = total.get(rows[d].source, 0) + size[d]
+    want = slow_targets(total)
+    for r in got:
+        assert r.doc_id in size and (r.lang, r.source) == (rows[r.doc_id].lang, rows[r.doc_id].source) and r.n_chars == len(r.text)
+        copies.setdefault(r.doc_id, []).append(r.copy)
+        taken[r.source] = taken.get(r.source, 0) + size[r.doc_id]
+        private = re.findall(r"[\w.]+@[\w.]+|\+1 \(\d{3}\) 555-\d{4}|\b\d+\.\d+\.\d+\.\d+\b|AKIA\w{16}|[0-9a-f]{40}", rows[r.doc_id].text)
+        assert not any(x in r.text for x in private) and (private or re.search(r"\d{13}|[=:]", rows[r.doc_id].text) or r.text == rows[r.doc_id].text)
+    for d in ids:
+        rate, n = want[rows[d].source] / max(total[rows[d].source], 1), sorted(copies.get(d, []))
+        assert n == list(range(1, len(n) + 1)) and (not size[d] or math.floor(rate + 1e-9) <= len(n) <= math.ceil(rate - 1e-9))
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Null ids, texts and sources, blank, very long and repeated rows, and columns with names that stages use themselves."""
+    from .test_documents import ODD, SCHEMA
+
+    names = ("hits", "score", "node", "n", "bands", "root", "doc", "text_key", "own", "unit", "source_size", "target", "rewritten", "later", "key", "row")
+    docs = spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit("x") for c in names}).withColumn("n_chars", F.length("text").cast("long"))
+    left, counts = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, SF)
+        assert left.columns == docs.columns
+        left = spark.createDataFrame(left.collect(), docs.schema)
+        counts.append(left.count())
+    assert counts[0] == len(ODD) and counts[1:] == [6, 6, 6]
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 5, 7, 8] and all(r.score == "x" for r in left.collect())
+    mixed = corpus_pipeline.STAGES[-1][1](spark, left, SF)
+    assert mixed.columns == [*docs.columns, "copy"] and mixed.filter("length(text) > 100000").count() >= 1
+
+
 # ---- SQL
 
 
