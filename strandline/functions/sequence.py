@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMPARED
@@ -73,11 +73,16 @@ def log10_density(x, loc: float, scale: float) -> Column:
     return -F.pow(F.log(v) - loc, F.lit(2)) / (2 * scale * scale) / math.log(10) - F.log10(F.lit(scale * math.sqrt(2 * math.pi)) * v)
 
 
-def log10_sum(ll) -> Column:
-    """Aggregate: log10 of a sum of probabilities given as log10; null without rows."""
-    c = col(ll)
-    top = F.max(c)
-    return top + F.log10(F.aggregate(F.collect_list(c), F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), x), lambda s: s) / F.pow(F.lit(10.0), top))
+def log10_sums(df: DataFrame, key: str, ll: str, to: str) -> DataFrame:
+    """key, and log10 of the sum of probabilities given as log10.
+
+    Sums are taken by power of ten first, combined before the shuffle, so a group's rows never meet; only its powers do.
+    """
+    power = F.floor(ll)
+    parts = df.filter(F.col(ll).isNotNull()).groupBy(key, power.alias("_power")).agg(F.sum(F.pow(F.lit(10.0), F.col(ll) - power)).alias("_part"))
+    tops = parts.groupBy(key).agg(F.max("_power").alias("_top"), F.collect_list(F.struct("_power", "_part")).alias("_parts"))
+    total = F.aggregate("_parts", F.lit(0.0), lambda s, x: s + x["_part"] * F.pow(F.lit(10.0), (x["_power"] - F.col("_top")).cast("double")))
+    return tops.select(key, (F.col("_top") + F.log10(total)).alias(to))
 
 
 def read_name(header) -> Column:

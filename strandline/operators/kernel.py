@@ -127,11 +127,17 @@ class Best:
         return (self.x >= 0) & (self.second - self.ll < np.log10(1 / 20)) & (self.matches >= least_matches)
 
 
+def survival(length: np.ndarray, o: Options) -> np.ndarray:
+    """Of the prior, looked up once for each length."""
+    distinct, back = np.unique(np.maximum(length, 0), return_inverse=True)
+    return np.array([T.log10_survival(int(n), o.loc, o.scale) for n in distinct])[back]
+
+
 def scan_single(reads: Reads, o: Options) -> Best:
     last = reads.len - o.cutoff
     start = reads.len * T.LAMBDA
     if o.prior:
-        start = start + np.array([T.log10_survival(int(n), o.loc, o.scale) for n in np.maximum(last, 0)])
+        start = start + survival(last, o)
     best = Best(start)
     for x in range(int(last.max()) if len(reads) else 0):
         ll, hits = adapter(reads, o.adapters[0], x)
@@ -147,7 +153,7 @@ def scan_pairs(one: Reads, two: Reads, o: Options) -> Best:
     end = 2 * longest - o.min_overlap
     start = (one.len + two.len) * T.LAMBDA
     if o.prior:
-        start = start + np.array([T.log10_survival(int(n), o.loc, o.scale) for n in np.maximum(end, 0)])
+        start = start + survival(end, o)
     best = Best(start)
     able_to = end if o.partial else np.minimum(end, longest + 1)
     able_to = np.minimum(able_to, one.len + two.len + 1)

@@ -111,7 +111,8 @@ def prior_density(spark, sf):
 @query("SELECT pmod AS bucket, round(max(ll) + log10(sum(pow(10.0, ll - top))), 6) AS total FROM (SELECT *, max(ll) OVER (PARTITION BY pmod) AS top FROM (SELECT o_orderkey % 50 AS pmod, -((o_orderkey * 31) % 997) / 100.0 AS ll FROM orders)) GROUP BY pmod")
 def log_sum(spark, sf):
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select((k % 50).alias("bucket"), (-((k * 31) % 997) / 100.0).alias("ll")).groupBy("bucket").agg(F.round(S.log10_sum("ll"), 6).alias("total"))
+    rows = table(spark, sf, "orders").select((k % 50).alias("bucket"), (-((k * 31) % 997) / 100.0).alias("ll"))
+    return S.log10_sums(rows, "bucket", "ll", "total").select("bucket", F.round("total", 6).alias("total"))
 
 
 @query("SELECT o_orderkey, regexp_replace(regexp_replace(split_part('@r' || CAST(o_orderkey AS STRING) || '/' || CAST(1 + o_orderkey % 2 AS STRING) || ' x', ' ', 1), '/[12]$', ''), '^@', '') AS name FROM orders")
