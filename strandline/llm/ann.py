@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .util import cut, session
 
-TABLES, PROBES, SEED = 6, 14, 7
+TABLES, PROBES, SEED = 6, 16, 7
 QUERY_BLOCK, ROW_BLOCK = 4096, 16384
 SLACK = 1e-9  # what a matrix product may be off from the exact cosine
 CELL = ["t", "code", "rows_at", "queries_at"]
