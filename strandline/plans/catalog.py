@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -443,7 +445,9 @@ def bam_barcodes_single(spark, sf):
     return out.select("qname", "flag", B.tag(F.col("tags"), "RX").alias("rx"), "seq")
 
 
-BAM_CODED = f"WITH c AS ({O.consensus_sql()}), p AS ({PAIRS}), m AS (SELECT p.pair_id, 'p' || CAST(p.pair_id AS STRING) AS qname, c.seq, s1, s2, substr(s1, 1, 4) || '-' || reverse(translate(substr(s2, 1, 3), 'ACGTN', 'TGCAN')) AS rx FROM p LEFT JOIN c ON c.pair_id = p.pair_id)"
+#: Ties of bases are settled by the first mate's place in the file.
+OF_RECORDS = O.consensus_sql().replace("(id * 7919", "(2 * id * 7919")
+BAM_CODED = f"WITH c AS ({OF_RECORDS}), p AS ({PAIRS}), m AS (SELECT p.pair_id, 'p' || CAST(p.pair_id AS STRING) AS qname, c.seq, s1, s2, substr(s1, 1, 4) || '-' || reverse(translate(substr(s2, 1, 3), 'ACGTN', 'TGCAN')) AS rx FROM p LEFT JOIN c ON c.pair_id = p.pair_id)"
 
 
 @query(
@@ -460,8 +464,11 @@ def bam_barcodes_pair(spark, sf):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that all executors share; a temporary one will do where they are threads of a local session."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        found = f"file://{tempfile.mkdtemp(prefix='strandline-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{found.rstrip('/')}/strandline-{uuid.uuid4().hex}"
 
 
