@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import cut, fresh
+from .util import cut, fresh, session
 
 WEIGHTS, CAP, BLOCK, WINDOW, LANDING, SEED = (5, 2, 1), 3, 2048, 128, 12, 20240307
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -144,7 +144,9 @@ def fly(units: DataFrame, seed: int, block: int) -> DataFrame:
         blocked = units.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         blocked = blocked.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "id", "text", "size"), "blocks"))
 
-        out = cut(blocked.groupBy("source", "block").applyInPandas(flight(seed, level), UNITS))
+        # in as many tasks as the session's setting says: blocks are small in bytes, but not in work
+        dealt = blocked.repartition(int(session(units).conf.get("spark.sql.shuffle.partitions")), "source", "block")
+        out = cut(dealt.groupBy("source", "block").applyInPandas(flight(seed, level), UNITS))
         settled = out.filter("not open").select("id", "text", "source", F.col("taken").alias("drawn"))
         done = settled if done is None else done.unionByName(settled)
         units = out.filter("open")
