@@ -97,8 +97,8 @@ def usable(vectors: DataFrame, vector: str, dim: int) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) == dim) & good, F.lit(False))
 
 
-def hashed(base: DataFrame, dim: int, tables: int, probes: int) -> DataFrame:
-    """id, row, asks, v -> HASHED: the vector as bytes of doubles, its codes and, for queries, its probes."""
+def hashed(base: DataFrame, dim: int, tables: int, probes: int, kind: str) -> DataFrame:
+    """id, row, asks, v -> HASHED: the vector as bytes of its kind of numbers, its codes and, for queries, its probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotations = Rotations(dim, tables)
@@ -114,7 +114,7 @@ def hashed(base: DataFrame, dim: int, tables: int, probes: int) -> DataFrame:
                     probed[i] = row.tolist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary()),
+                    batch.column(0), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()),
                     pa.array(rotations.codes(u).T.tolist(), pa.list_(pa.int32())), pa.array(probed, pa.list_(pa.int32())),
                 ],
                 names=[c.split()[0] for c in HASHED.split(", ")],
@@ -123,11 +123,11 @@ def hashed(base: DataFrame, dim: int, tables: int, probes: int) -> DataFrame:
     return cut(base.mapInArrow(run, HASHED), "hashed")
 
 
-def matched(k: int, dim: int):
+def matched(k: int, dim: int, kind: str):
     """The best k rows of a cell for each of its queries, as a function of the two tables."""
 
     def own(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        v = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(-1, dim)
+        v = np.frombuffer(b"".join(table.column("v").to_pylist()), kind).reshape(-1, dim).astype(np.float64)
         return table.column("row").to_numpy(), table.column("id").to_numpy(), v
 
     def run(asked: pa.Table, filed: pa.Table) -> pa.Table:
@@ -163,7 +163,7 @@ def rank_in_run(*keys: np.ndarray) -> np.ndarray:
     return np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))
 
 
-def meet(asked: DataFrame, filed: DataFrame, k: int, dim: int) -> DataFrame:
+def meet(asked: DataFrame, filed: DataFrame, k: int, dim: int, kind: str) -> DataFrame:
     """Queries and rows (row, id, v) that share t and code -> FOUND, the best k of each cell.  There are few pairs of t and code."""
     size = lambda df, n, block: df.groupBy("t", "code").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(n))
     cells = cut(size(asked, "query_cells", QUERY_BLOCK).join(size(filed, "row_cells", ROW_BLOCK), ["t", "code"]), "cells")
@@ -172,7 +172,7 @@ def meet(asked: DataFrame, filed: DataFrame, k: int, dim: int) -> DataFrame:
     left = asked.join(F.broadcast(cells), ["t", "code"]).withColumn("queries_at", own("query_cells")).withColumn("rows_at", spread("row_cells"))
     right = filed.join(F.broadcast(cells), ["t", "code"]).withColumn("rows_at", own("row_cells")).withColumn("queries_at", spread("query_cells"))
     fields = [F.col(c).alias(c) for c in (*CELL, "row", "id", "v")]  # named anew: both sides come from one table
-    return left.select(*fields).groupBy(*CELL).cogroup(right.select(*fields).groupBy(*CELL)).applyInArrow(matched(k, dim), FOUND)
+    return left.select(*fields).groupBy(*CELL).cogroup(right.select(*fields).groupBy(*CELL)).applyInArrow(matched(k, dim, kind), FOUND)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -190,11 +190,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, doc: str = "vec_id"
         return spark.createDataFrame([], RESULT)
     dim = dims["d"]
     base = base.filter(usable(base, "v", dim)).select("id", F.monotonically_increasing_id().alias("row"), "asks", "v")
-    stored = hashed(base, dim, tables, probes)
+    kind = "<f4" if vectors.select(vector).dtypes[0][1] == "array<float>" else "<f8"  # as exact as they came
+    stored = hashed(base, dim, tables, probes, kind)
     asks, each = stored.filter("asks"), min(probes, 2 * Rotations(dim, 1).size)
     asked = asks.select("row", "id", "v", F.posexplode("probes").alias("at", "code")).withColumn("t", F.floor(F.col("at") / each).cast("int"))
     filed = stored.select("row", "id", "v", F.posexplode("codes").alias("t", "code"))
-    found = cut(best(meet(asked, filed, k, dim), k), "found")
+    found = cut(best(meet(asked, filed, k, dim, kind), k), "found")
     some = found.groupBy(F.col("query").alias("row")).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
     short = cut(asks.join(some, "row", "left_anti").select("row", "id", "v"), "short")
     whole = found.select("query_id", "rank", "vec_id", "score")
@@ -204,6 +205,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, doc: str = "vec_id"
     n = -(-stored.count() // ROW_BLOCK)
     block = stored.select("row", "id", "v", F.lit(-1).alias("t"), F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("code"))
     everywhere = short.select("row", "id", "v", F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("code"))
-    rest = best(meet(everywhere, block, k, dim), k).select("query_id", "rank", "vec_id", "score")
+    rest = best(meet(everywhere, block, k, dim, kind), k).select("query_id", "rank", "vec_id", "score")
     enough = found.join(short.select(F.col("row").alias("query")), "query", "left_anti").select("query_id", "rank", "vec_id", "score")
     return enough.unionByName(rest)
