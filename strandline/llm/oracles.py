@@ -65,5 +65,45 @@ SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(su
 """
 
 
+OP11 = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM base GROUP BY t),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(base.t, '[^A-Z]', '', 'g')) > 10 * length(base.t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(base.t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN base.doc_id > first_id THEN 16 ELSE 0 END AS fails
+  FROM base JOIN firsts ON base.t = firsts.t LEFT JOIN marks ON marks.doc_id = base.doc_id),
+l(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+  FROM l p, l q, l r, l s, l t
+  WHERE p.b + q.b + r.b + s.b + t.b = 31 AND len(list_distinct([p.b, q.b, r.b, s.b, t.b])) = 5),
+e AS (
+  SELECT part, filter_order, i AS step, bits[i] AS bit, fails, good, toxic, (fails & coalesce(list_sum(bits[1 : i - 1]), 0)::INT) = 0 AS there, (fails & bits[i]) <> 0 AS failing
+  FROM f, o, range(1, 6) AS s(i)),
+sums AS (
+  SELECT part, filter_order, step,
+         count(*) FILTER (there AND NOT failing) AS kept, count(*) FILTER (there AND failing) AS removed,
+         count(*) FILTER (NOT there AND failing) AS redundant, count(*) FILTER (fails = bit) AS unique_fails,
+         count(*) FILTER (there AND failing AND good) AS good_lost, count(*) FILTER (there AND failing AND toxic) AS toxic_lost
+  FROM e GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, CAST(step AS INT), 1)) AS BIGINT) AS shapley
+FROM sums
+"""
+
+OP12 = """
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_main_text": OP1, "op4_decontamination": OP4, "rollup_of_words": OP5, "op9_url_rules": OP9}
+    return {"op1_main_text": OP1, "op4_decontamination": OP4, "rollup_of_words": OP5, "op9_url_rules": OP9, "op11_filter_audit": OP11, "op12_exact_dedup": OP12}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, lm, mixing, pages, rollups, simhash, surrogates, toxicity, url_rules
+from . import ann, audit, decontam, dialogue, exact, lm, mixing, pages, rollups, simhash, surrogates, toxicity, url_rules
 from .util import cut, shared_dir
 
 URL_RULES = [
@@ -107,6 +107,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return audit.interactions(docs, table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -120,4 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_cube_mix": op8_cube_mix,
         "op9_url_rules": op9_url_rules,
         "op10_toxicity": op10_toxicity,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_conversation_repair": op13_conversation_repair,
     }
