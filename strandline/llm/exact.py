@@ -22,7 +22,8 @@ def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
     """At most TRACKED values of key, those held by over 1 / TRACKED of the rows among them, by sketches in two levels."""
     group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part")
     sketches = rows.select(group, key).groupBy("part").agg(F.expr(f"approx_top_k_accumulate(`{key}`, {TRACKED})").alias("sketch"))
-    whole = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    # grouped by a constant, as the sketch of an empty partition cannot be combined
+    whole = sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
     found = whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED})")).alias("t"))
     return found.select(F.col("t.item").alias(key)).filter(F.col(key).isNotNull())
 
