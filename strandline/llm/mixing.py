@@ -11,7 +11,9 @@ the constraints' null-space, so long documents are settled while there are other
 ``BLOCK`` units each leave at most ``LANDING`` short ones unsettled; these go to the next round's blocks, and so on, so a hot
 source is spread over many tasks and no task grows.  What a source's last block leaves is the landing problem.  It is solved by
 linear programming: of all ways to draw subsets of these units that give each unit its probability, the one with the least
-expected distance from the expected words and documents.  So every document's chance of the further copy is its fraction, exactly.
+expected distance from the expected words and documents.  So every document's chance of the further copy is its fraction, exactly,
+but where the draw would miss the source's target by over ``NEAR``: no draw can keep the chances of few documents and the target
+too, and the target goes first, by the subset of these units that comes nearest to it and by single units of the block that mend the rest.
 
 * The unit is a (doc_id, source) pair, and where doc_id is null a text of a source; rows that repeat one are taken alike.  Null,
   empty and blank texts have size 0 and are never short of their target; very long texts count whole; a null source is a source.
@@ -37,7 +39,9 @@ WEIGHTS, CAP, BLOCK, WINDOW, LANDING, SEED = (5, 2, 1), 3, 2048, 128, 12, 202403
 WORD = "[^\\x20\\x09-\\x0D]+"
 EPS = 1e-9
 LP_STEPS = 2000
-UNITS = "id long, text long, source string, size long, p double, taken int, open boolean"
+LONG = 1 / 2  # of the words expected from a block
+NEAR = 0.002  # of a source's target, by which a landing may miss
+UNITS = "id long, text long, source string, size long, target double, p double, taken int, open boolean"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -56,8 +60,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return per.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("w") * F.col("fill")).alias("target"))
 
 
-def direction(size: np.ndarray) -> np.ndarray:
-    """Of the first unit, or the next that can move, within the null-space of words and documents; zeros if none can."""
+def direction(size: np.ndarray, long: float) -> np.ndarray:
+    """Of the first unit, or the next that can move, within the null-space of words and documents; zeros if none can.
+
+    A unit of over ``long`` words moves against all others alike, which keeps the words alone: within both
+    constraints, the next longest would be used up before it is settled."""
+    if size[0] > long and size[1:].any():
+        return np.append(1.0, np.full(len(size) - 1, -size[0] / size[1:].sum()))
     off = size - size.mean()
     spread = off @ off
     for k in range(len(size)):
@@ -68,13 +77,15 @@ def direction(size: np.ndarray) -> np.ndarray:
     return np.zeros(len(size))
 
 
-def settle(size: list[float], p: list[float], land: bool, rng: random.Random) -> list[float]:
-    """The flight over these units, longest first, until LANDING or fewer are open; with land, until all are zero or one."""
+def settle(size: list[float], p: list[float], land: bool, rng: random.Random, near: float = np.inf) -> list[float]:
+    """The flight over these units, longest first, until LANDING or fewer are open; with land, until all are zero or one, and if
+    that misses the words expected by more than near, the open units become the subset that misses least."""
     size, p = np.array(size, float), np.array(p, float)
     live = np.flatnonzero((p > 0) & (p < 1))
+    long = LONG * (size @ p)
     while len(live) > LANDING:
         w = live[:WINDOW]
-        u, q = direction(size[w]), p[w]
+        u, q = direction(size[w], long), p[w]
         if not u.any():
             break
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -84,10 +95,35 @@ def settle(size: list[float], p: list[float], land: bool, rng: random.Random) ->
         p[w] = np.where(q < EPS, 0.0, np.where(q > 1 - EPS, 1.0, q))
         live = live[(p[live] > 0) & (p[live] < 1)]
     if land and len(live):
-        p[live] = landed(size[live], p[live], rng.random())
+        due = p[live] @ size[live]
+        drawn = landed(size[live], p[live], rng.random())
+        p[live] = drawn if abs(drawn @ size[live] - due) <= near else nearest(size[live], p[live])
+        turned(size, p, float(p[live] @ size[live] - due), near)
     return p.tolist()
 
 
+def turned(size: np.ndarray, p: np.ndarray, over: float, near: float) -> None:
+    """While the words are over (or, below zero, under) by more than near, turn the unit, in or out, that mends most."""
+    while abs(over) > near:
+        off = np.abs(over + (1 - 2 * p) * size)
+        k = int(off.argmin())
+        if off[k] >= abs(over):
+            break
+        over += (1 - 2 * p[k]) * size[k]
+        p[k] = 1 - p[k]
+
+
+def subsets(n: int) -> np.ndarray:
+    return ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(np.float64)
+
+
+def nearest(size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The subset of a few units whose words, then documents, are nearest to what is expected."""
+    bits = subsets(len(p))
+    off = bits - p
+    return bits[np.lexsort((np.abs(off.sum(axis=1)), np.round(np.abs(off @ size), 6)))[0]]
+
+
 def landed(size: np.ndarray, p: np.ndarray, at: float) -> np.ndarray:
     """A subset of a few units, drawn so that each is in with its probability and the expected distance is least; at: the draw.
 
@@ -95,7 +131,7 @@ def landed(size: np.ndarray, p: np.ndarray, at: float) -> np.ndarray:
     keeps the probabilities, so it may stop at any.
     """
     n = len(p)
-    bits = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(np.float64)
+    bits = subsets(n)
     off = bits - p
     cost = np.abs(off @ size) / max(size.mean(), 1) + np.abs(off.sum(axis=1))
     rows = np.vstack([np.ones(1 << n), bits.T])
@@ -129,16 +165,16 @@ def flight(seed: int, level: int):
         df = df.sort_values(["size", "id", "text"], ascending=[False, True, True], na_position="last", kind="stable")
         first = df.iloc[0]
         rng = random.Random(zlib.crc32(repr((seed, level, first["source"], int(first["block"]))).encode("utf-8", "replace")))
-        p = settle(df["size"].astype(float).tolist(), df["p"].tolist(), first["blocks"] == 1, rng)
-        return pd.DataFrame({"id": df["id"], "text": df["text"], "source": df["source"], "size": df["size"], "p": p, "taken": [int(x == 1) for x in p], "open": [0 < x < 1 for x in p]})
+        p = settle(df["size"].astype(float).tolist(), df["p"].tolist(), first["blocks"] == 1, rng, NEAR * first["target"])
+        return pd.DataFrame({"id": df["id"], "text": df["text"], "source": df["source"], "size": df["size"], "target": df["target"], "p": p, "taken": [int(x == 1) for x in p], "open": [0 < x < 1 for x in p]})
 
     return one
 
 
 def fly(units: DataFrame, seed: int, block: int) -> DataFrame:
-    """id, text, source, size, p -> id, text, source, drawn (0 or 1)."""
+    """id, text, source, size, target, p -> id, text, source, drawn (0 or 1)."""
     done = None
-    units = units.select("id", "text", "source", "size", "p")
+    units = units.select("id", "text", "source", "size", "target", "p")
     for level in range(64):
         counts = units.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks"))
         blocked = units.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
