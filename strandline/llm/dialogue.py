@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 GRAMMAR = {"C": ((), ("T",)), "T": (("H", "u", "a"), ("T", "u", "a")), "H": ((), ("s",))}
 NAMES = {"u": "user", "a": "assistant"}  # what rows are reroled to or inserted as
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
+# Two inserted rows lead from any item to where any other is, and a row that only the other could keep can be deleted: an item that
+# costs over this more than the cheapest cannot become as cheap again.
+SLACK = 2 * INSERT + DELETE
 SPACE = r"\x20\x09-\x0D"
 SOUND, BLANK, DUPLICATE, CUT_OFF = range(4)
 COLUMNS = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
@@ -83,7 +86,9 @@ class Chart:
                 agenda.append((cost + late, audit + "K", MOVED[k], done, said(role, text, done)))
             elif awaited in NAMES:
                 agenda.append((cost + REROLE + late, audit + "R", MOVED[k], done, said(NAMES[awaited], text, done)))
-        self.column = self.closed(agenda)
+        column = self.closed(agenda)
+        most = min(cost for cost, _, _ in column.values()) + SLACK
+        self.column = {k: item for k, item in column.items() if item[0] <= most}
         if len(next(iter(self.column.values()))[1]) > SETTLE:
             self.settle()
 
@@ -155,7 +160,7 @@ def repair(rows: DataFrame) -> DataFrame:
     row that is repeated).
 
     Rows are taken by turn, nulls first, then by role, text and copy, so rows that tie have a fixed order.  Null is a conv_id like any
-    other, without a turn a row counts for no gap.  A conversation without rows, or whose rows are all deleted, has an empty repair;
+    other, without a turn a row counts for no gap, and an empty role, which has no initial, is never kept as it is.  A conversation without rows, or whose rows are all deleted, has an empty repair;
     an empty table gives no rows; other columns are left out.
 
     One shuffle by conversation; Spark's sorts, which spill, put its rows in order, and they stream through the chart row by row, so
