@@ -69,7 +69,9 @@ def replay(flags: DataFrame, filters: Sequence[str] = FILTERS) -> DataFrame:
     steps = range(1, n + 1)
     failing = lambda k: F.col("fails").bitwiseAND(F.col(f"bit_{k}")) != 0
     first = functools.reduce(lambda w, k: w.when(failing(k), k), steps[1:], F.when(failing(1), 1)).otherwise(n + 1)
-    met = flags.crossJoin(F.broadcast(orders(flags.sparkSession, filters))).withColumn("first_fail", first)
+    # few bytes a row but much work: dealt to all tasks
+    dealt = flags.repartition(int(flags.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = dealt.crossJoin(F.broadcast(orders(flags.sparkSession, filters))).withColumn("first_fail", first)
     each = met.select("part", "filter_order", "fails", "good", "toxic", "first_fail", *[f"bit_{k}" for k in steps], F.explode(F.array(*map(F.lit, steps))).alias("step"))
     bit = functools.reduce(lambda w, k: w.when(F.col("step") == k, F.col(f"bit_{k}")), steps[1:], F.when(F.col("step") == 1, F.col("bit_1")))
     each = each.withColumn("bit", bit)
