@@ -55,10 +55,13 @@ def first_pairs(records: DataFrame, first: int = FIRST) -> DataFrame:
     return both.select("rec_idx", F.col("a.seq").alias("s1"), F.col("a.qual").alias("q1"), F.col("b.seq").alias("s2"), F.col("b.qual").alias("q2"))
 
 
-def infer_adapters(pairs: DataFrame, o: Options, first: int = FIRST, order: str = "rec_idx") -> Options:
-    """Options with the adapters found in the first pairs; an error if a fifth or more of either is ambiguous."""
-    # the first pairs come from a top-k of each partition; they are spread again for the kernel
-    head = pairs.orderBy(order).limit(first).repartition(pairs.sparkSession.sparkContext.defaultParallelism)
+def infer_adapters(pairs: DataFrame, o: Options, first: int | None = FIRST, order: str = "rec_idx") -> Options:
+    """Options with the adapters found in the first pairs; an error if a fifth or more of either is ambiguous.
+
+    Readers of files give the first pairs by reading no more than holds them: ``first`` is None for such, as for all pairs that
+    are given.  Of other tables the first come from a top-k, through one task, and are dealt again for the kernel.
+    """
+    head = pairs if first is None else pairs.orderBy(order).limit(first).repartition(pairs.sparkSession.sparkContext.defaultParallelism)
     rows = consensus(overhangs(candidates(head, o)), o).collect()  # at most 62 rows
     found = {(r["side"], r["position"]): r["base"] for r in rows}
     adapters = ["".join(found.get((side, k), "I") for k in range(COMPARED + 1)) for side in "FS"]

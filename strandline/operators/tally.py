@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +25,31 @@ def outcome(o: Options, result: str = "result", paired: bool = True) -> Column:
     return bad.when(F.length(seq) == 0, "kept").when(F.length(seq) + sum_ > longest, "merged_overlap").otherwise("merged_trim")
 
 
+def counts(outcome: str = "outcome") -> list[Column]:
+    """The tally's aggregates, of a table or observed in a job; rows without an outcome count for nothing."""
+    return [F.count(outcome).alias("total"), *[F.count_if(F.col(outcome) == n).alias(n) for n in TALLY[1:]]]
+
+
 def tally(outcomes: DataFrame, outcome: str = "outcome") -> DataFrame:
     """One row of counts."""
-    return outcomes.agg(F.count("*").alias("total"), *[F.count_if(F.col(outcome) == n).alias(n) for n in TALLY[1:]])
+    return outcomes.agg(*counts(outcome))
 
 
 def percentages(tallied: DataFrame) -> DataFrame:
     return tallied.select("total", *[F.when(F.col("total") > 0, 100.0 * F.col(n) / F.col("total")).alias(f"{n}_percent") for n in TALLY[1:]])
 
 
-def report(tallied: DataFrame) -> str:
+def report_of(row: Mapping[str, int]) -> str:
     """The run's log, a line for each count."""
-    row = tallied.first()
     total = row["total"]
     share = lambda n: f"{100.0 * n / total:.4f}%" if total else "-"
     return f"Total reads :\t{total}\n" + "".join(f"{n.replace('_', ' ')}\t{row[n]}\t{share(row[n])}\n" for n in TALLY[1:])
 
 
+def report(tallied: DataFrame) -> str:
+    return report_of(tallied.first().asDict())
+
+
 def routed(df: DataFrame, result: str = "result", paired: bool = True, name: str = "name", rec: str = "rec_idx") -> DataFrame:
     """rec_idx, mate, route, header, seq, qual: a row for each record to be written.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import OptionError, Options
@@ -30,22 +30,37 @@ def process(reads: DataFrame, o: Options, paired: bool) -> DataFrame:
     return out.withColumn("result", F.struct("result.code", "result.seq", "result.qual", "result.cut", *[c.alias(n) for n, c in fields.items()]))
 
 
-def run_fastq(spark: SparkSession, o: Options, fq1: str, fq2: str | None = None, out: str | dict[str, str] | None = None, interleaved: str | None = None, log: str | None = None) -> str:
-    """Reads one or two files, writes the routes (a prefix, or a path for each) or one interleaved stream; returns the report."""
+def run_fastq(
+    spark: SparkSession,
+    o: Options,
+    fq1: str,
+    fq2: str | None = None,
+    out: str | dict[str, str] | None = None,
+    interleaved: str | None = None,
+    log: str | None = None,
+    single: bool = False,
+) -> str:
+    """Reads one or two files, writes the routes (a prefix, or a path for each) or one interleaved stream; returns the report.
+
+    One job reads, trims, writes all routes and counts the tally; files of which tasks can read ranges are neither shuffled nor
+    sorted.  Before it, pairs' records are counted by range and, with ``auto``, the first pairs are read.  ``single``: one file for
+    each output instead of a folder.
+    """
     paired = fq2 is not None
     if bool(out) == bool(interleaved):
         raise OptionError("either routes or one interleaved output")
+    in_order = fastq.direct(fq1, *([fq2] if paired else []))
+    if o.auto and paired:
+        o = I.infer_adapters(fastq.read_paired(spark, fq1, fq2, head=I.FIRST), o, first=None)
     reads = fastq.read_paired(spark, fq1, fq2) if paired else fastq.read_single(spark, fq1)
-    done = process(reads, o, paired).persist()
-    try:
-        rows = R.routed(done, paired=paired)
-        if interleaved:
-            fastq.write_interleaved(rows, interleaved)
-        else:
-            fastq.write_routes(rows, fastq.prefix_paths(out, paired) if isinstance(out, str) else out, paired)
-        text = R.report(R.tally(done.select(R.outcome(o, paired=paired).alias("outcome"))))
-    finally:
-        done.unpersist()
+    told = Observation("tally")
+    done = process(reads, o, paired).withColumn("outcome", R.outcome(o, paired=paired)).observe(told, *R.counts())
+    rows = R.routed(done, paired=paired)
+    if interleaved:
+        fastq.write_interleaved(rows, interleaved, in_order, single)
+    else:
+        fastq.write_routes(rows, fastq.prefix_paths(out, paired) if isinstance(out, str) else out, paired, in_order, single)
+    text = R.report_of(told.get)
     if log:
         write_text(spark, log, text)
     return text
