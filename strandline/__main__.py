@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import os
+import shutil
 import sys
+import tempfile
 
 from .config import CHIMERAS, FORWARD, REVERSE, OptionError, Options
 
@@ -12,7 +16,7 @@ VERSION = "0.1"
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandline", description=__doc__, allow_abbrev=False)
-    p.add_argument("input", nargs="?", help="BAM file")
+    p.add_argument("input", nargs="?", help="BAM file; - for standard input")
     p.add_argument("--version", action="version", version=VERSION)
     p.add_argument("-v", "--verbose", action="store_true", help="has no effect")
     p.add_argument("-t", type=int, default=0, metavar="N", help="threads of a local session")
@@ -23,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     for flag in ("-fqose", "-fqosef", "-fqope1", "-fqope1f", "-fqope2", "-fqope2f"):
         p.add_argument(flag, metavar="FILE", help="an output by name: new sequences (se) or mates (pe1, pe2), f: failed")
     p.add_argument("--log", metavar="FILE")
-    p.add_argument("-o", "--outfile", default="", metavar="FILE", help="BAM output")
+    p.add_argument("-o", "--outfile", default="", metavar="FILE", help="BAM output; standard output if there is none")
     p.add_argument("-u", action="store_true", dest="uncompressed", help="uncompressed BAM")
     p.add_argument("--aligned", action="store_true", help="aligned records are allowed")
     p.add_argument("--auto", action="store_true", help="infer the adapters")
@@ -63,8 +67,6 @@ def understood(args: list[str]) -> tuple[argparse.Namespace, Options, str | dict
         raise OptionError("either a BAM file or -fq1")
     o = Options(bam=bam, **{n: getattr(a, n) for n in OPTION_NAMES})
     if bam:
-        if not o.outfile:
-            raise OptionError("a BAM output is wanted")
         return a, o, None
     wanted = PAIRED_OUT if a.fq2 else SINGLE_OUT
     named = {route: getattr(a, n) for n, route in PAIRED_OUT.items() if getattr(a, n)}
@@ -75,6 +77,35 @@ def understood(args: list[str]) -> tuple[argparse.Namespace, Options, str | dict
     return a, o, named or a.fqo
 
 
+def scratch(stack: contextlib.ExitStack) -> str:
+    """A folder for what comes from or goes to a standard stream; on a cluster it must be shared."""
+    return stack.enter_context(tempfile.TemporaryDirectory(prefix="strandline-", dir=os.environ.get("STRANDLINE_SHARED")))
+
+
+def received(stack: contextlib.ExitStack, path: str) -> str:
+    """The input's path; standard input is stored first, as it can be read once only."""
+    if path != "-":
+        return path
+    stored = f"{scratch(stack)}/in.bam"
+    with open(stored, "wb") as f:
+        shutil.copyfileobj(sys.stdin.buffer, f)
+    return stored
+
+
+def sent(stack: contextlib.ExitStack) -> str:
+    """A path whose content goes to standard output when it is written."""
+    made = f"{scratch(stack)}/out.bam"
+
+    def copy() -> None:
+        if os.path.exists(made):
+            with open(made, "rb") as f:
+                shutil.copyfileobj(f, sys.stdout.buffer)
+            sys.stdout.flush()
+
+    stack.callback(copy)
+    return made
+
+
 def main(args: list[str]) -> int:
     if not args:
         parser().print_help()
@@ -93,9 +124,10 @@ def main(args: list[str]) -> int:
     if a.z:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(a.z))
     if o.bam:
-        text = run_bam(spark, o, a.input, o.outfile, log=a.log)
+        with contextlib.ExitStack() as stack:
+            text = run_bam(spark, o, received(stack, a.input), o.outfile or sent(stack), log=a.log)
     else:
-        text = run_fastq(spark, o, a.fq1, a.fq2, out=out, interleaved=a.fqt, log=a.log)
+        text = run_fastq(spark, o, a.fq1, a.fq2, out=out, interleaved=a.fqt, log=a.log, single=True)
     print(text, file=sys.stderr, end="")
     return 0
 

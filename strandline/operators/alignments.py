@@ -107,12 +107,24 @@ def on(cond, then, other):
     return F.when(cond, then).otherwise(other)
 
 
+def scored_pairs(df: DataFrame, o: Options) -> DataFrame:
+    """Mates a and b with their qualities qa and qb and the result r, of which rows without b have an empty one."""
+    a, b = F.col("a"), F.col("b")
+    df = df.withColumn("qa", fill_quality(a["seq"], a["qual"])).withColumn("qb", fill_quality(b["seq"], b["qual"]))
+    two = F.col("b").isNotNull()
+    of = lambda c: F.when(two, c)
+    return df.withColumn("r", merged(a["rec_idx"], of(a["seq"]), of(F.col("qa")), b["seq"], F.col("qb"), o))
+
+
 def process_pairs(records: DataFrame, o: Options) -> DataFrame:
     """rec_idx, sub and the fields of what becomes of each pair: one merged record, or both, changed or not."""
-    df = pair_mates(complete(records))
+    df = scored_pairs(pair_mates(complete(records)), o)
+    return df.select(F.explode(pair_rows(o)).alias("x")).select("x.*")
+
+
+def pair_rows(o: Options, turned: Column | None = None) -> Column:
+    """What becomes of a scored pair; turned: where the second mate stands first, it does so in what is made of both too."""
     a, b = F.col("a"), F.col("b")
-    df = df.withColumn("qa", fill_quality(a["seq"], a["qual"])).withColumn("qb", fill_quality(b["seq"], b["qual"]))
-    df = df.withColumn("r", merged(a["rec_idx"], a["seq"], F.col("qa"), b["seq"], F.col("qb"), o))
     code, seq, qual = F.col("r.code"), F.col("r.seq"), F.col("r.qual")
     new = F.length(seq) > 0
     longest = F.greatest(F.length(a["seq"]), F.length(b["seq"]))
@@ -150,13 +162,20 @@ def process_pairs(records: DataFrame, o: Options) -> DataFrame:
 
     pair = [kept(a, F.col("qa"), "s1", "q1", 1, 1), kept(b, F.col("qb"), "s2", "q2", 2, 2)]
     originals = [record(x["rec_idx"], k, **same(x, flag=x["flag"].bitwiseOR(F.lit(DUPLICATE)))) for k, x in ((1, a), (2, b))] if o.keep_original else []
-    return df.select(F.explode(F.when(new, F.array(one, *originals)).otherwise(F.array(*pair))).alias("x")).select("x.*")
+    both = lambda rows: F.array(*rows) if turned is None else F.when(turned, F.reverse(F.array(*rows))).otherwise(F.array(*rows))
+    return F.when(new, F.concat(F.array(one), both(originals)) if originals else F.array(one)).otherwise(both(pair))
 
 
 def process_singles(records: DataFrame, o: Options) -> DataFrame:
     """The same for records without a mate."""
-    df = complete(records).filter(~has(PAIRED)).withColumn("qa", fill_quality("seq", "qual"))
-    df = df.withColumn("r", trimmed(F.col("seq"), F.col("qa"), o)).withColumn("a", F.struct(*FIELDS))
+    df = complete(records).filter(~has(PAIRED)).select(F.struct("rec_idx", *FIELDS).alias("a"))
+    df = df.withColumn("qa", fill_quality("a.seq", "a.qual"))
+    df = df.withColumn("r", trimmed(F.col("a.seq"), F.col("qa"), o))
+    return df.select(F.explode(single_rows(o)).alias("x")).select("x.*")
+
+
+def single_rows(o: Options) -> Column:
+    """What becomes of a scored single record."""
     a, code = F.col("a"), F.col("r.code")
     new, failed = F.length("r.seq") > 0, code != " "
     base_seq, base_q = (F.col("r.s1"), F.col("r.q1")) if o.trim_key and o.keys else (a["seq"], F.col("qa"))
@@ -172,10 +191,35 @@ def process_singles(records: DataFrame, o: Options) -> DataFrame:
         cut = lambda c: F.substring(c, F.lit(cf + 1), F.greatest(F.length(c) - cf - last, F.lit(0)))
         seq, qual = on(able, cut(seq), seq), on(able, cut(qual), qual)
     name = on(new, F.concat(a["qname"], F.lit("_M")), a["qname"]) if o.keep_original else a["qname"]
-    one = record(F.col("rec_idx"), 0, told(o, False, ~able if o.umi else F.lit(False)), **same(a, qname=name, flag=flag, seq=seq, qual=qual, tags=m))
-    old = record(F.col("rec_idx"), 1, **same(a, flag=a["flag"].bitwiseOR(F.lit(DUPLICATE))))
-    rows = F.when(new, F.array(one, old)).otherwise(F.array(one)) if o.keep_original else F.array(one)
-    return df.select(F.explode(rows).alias("x")).select("x.*")
+    one = record(a["rec_idx"], 0, told(o, False, ~able if o.umi else F.lit(False)), **same(a, qname=name, flag=flag, seq=seq, qual=qual, tags=m))
+    old = record(a["rec_idx"], 1, **same(a, flag=a["flag"].bitwiseOR(F.lit(DUPLICATE))))
+    return F.when(new, F.array(one, old)).otherwise(F.array(one)) if o.keep_original else F.array(one)
+
+
+def process_mates(mates: DataFrame, o: Options) -> DataFrame:
+    """The same of mates that are rows already (a, b; b is null for single records), in their order and in one pass; ``stray`` tells
+    a paired record without its mate, which has no other fields."""
+    if not o.aligned:
+        of = lambda c: F.when(F.col(c).isNotNull(), guarded(c))
+        mates = mates.withColumns({"a": of("a"), "b": of("b")})
+    two, stray = F.col("b").isNotNull(), F.col("b").isNull() & has(PAIRED, "a.flag")
+    # mates in either order in the file
+    turned = two & has(SECOND, "a.flag") & has(FIRST, "b.flag")
+    bad = two & ~(turned | (has(FIRST, "a.flag") & has(SECOND, "b.flag")))
+    wrong = F.raise_error(F.concat(F.lit("not one first and one second mate: "), "a.qname")).cast("boolean")
+    df = mates.withColumn("turned", F.when(bad, wrong).otherwise(turned)).withColumn("one", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")))
+    df = df.select(F.col("one").alias("a"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("b"), stray.alias("stray"), "turned")
+    df = scored_pairs(df, o).withColumnRenamed("r", "r2")
+    alone = F.when(~two, F.col("a.seq"))
+    df = df.withColumn("r1", trimmed(alone, F.when(~two, F.col("qa")), o)).withColumn("r", F.when(two, F.col("r2")).otherwise(F.col("r1"))).drop("r1", "r2")
+    rows = F.when(F.col("stray"), F.array(record(F.col("a.rec_idx"), 0, **same(F.col("a"))))).when(two, pair_rows(o, F.col("turned"))).otherwise(single_rows(o))
+    return df.select("stray", F.explode(rows).alias("x")).select("stray", "x.*")
+
+
+def guarded(c: str) -> Column:
+    """A record, or an error if it is aligned."""
+    bad = ~has(UNMAPPED, f"{c}.flag") | F.map_contains_key(f"{c}.tags", "NM") | F.map_contains_key(f"{c}.tags", "MD")
+    return F.col(c).withField("flag", F.when(bad, F.raise_error(F.concat(F.lit("aligned record: "), f"{c}.qname")).cast("int")).otherwise(F.col(f"{c}.flag")))
 
 
 def process(records: DataFrame, o: Options) -> DataFrame:

@@ -46,9 +46,10 @@ def consensus(observed: DataFrame, o: Options) -> DataFrame:
     return sums.select("side", "position", F.when((mass - 1) / mass < ERROR_MASS, best).otherwise("I").alias("base"))
 
 
-def first_pairs(records: DataFrame, first: int = FIRST) -> DataFrame:
-    """rec_idx, s1, q1, s2, q2 of the mates among the first records of a BAM file; a mate whose other one comes later is left."""
-    head = records.orderBy("rec_idx").limit(first).filter(B.has(B.PAIRED))
+def first_pairs(records: DataFrame, first: int | None = FIRST) -> DataFrame:
+    """rec_idx, s1, q1, s2, q2 of the mates among the first records of a BAM file, or among all that are given if ``first`` is None;
+    a mate whose other one comes later is left."""
+    head = (records if first is None else records.orderBy("rec_idx").limit(first)).filter(B.has(B.PAIRED))
     mate = lambda bit: F.max_by(F.struct("seq", fill_quality("seq", "qual").alias("qual")), F.when(B.has(bit), F.col("rec_idx")))
     both = head.groupBy("qname").agg(F.min("rec_idx").alias("rec_idx"), mate(B.FIRST).alias("a"), mate(B.SECOND).alias("b"))
     both = both.filter("a is not null and b is not null")

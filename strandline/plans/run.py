@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,21 @@ def process(reads: DataFrame, o: Options, paired: bool) -> DataFrame:
     return out.withColumn("result", F.struct("result.code", "result.seq", "result.qual", "result.cut", *[c.alias(n) for n, c in fields.items()]))
 
 
+@contextlib.contextmanager
+def tallied(done: DataFrame, in_order: bool) -> Iterator[tuple[DataFrame, Callable[[], Mapping[str, int]]]]:
+    """Rows with an outcome, and what tells their tally when they are written: observed by the job that writes them, or, where a
+    sort looks at rows twice and would count so, from rows that are kept."""
+    if in_order:
+        told = Observation("tally")
+        yield done.observe(told, *R.counts()), lambda: told.get
+        return
+    kept = done.persist()
+    try:
+        yield kept, lambda: R.tally(kept.select("outcome")).first().asDict()
+    finally:
+        kept.unpersist()
+
+
 def run_fastq(
     spark: SparkSession,
     o: Options,
@@ -53,31 +71,40 @@ def run_fastq(
     if o.auto and paired:
         o = I.infer_adapters(fastq.read_paired(spark, fq1, fq2, head=I.FIRST), o, first=None)
     reads = fastq.read_paired(spark, fq1, fq2) if paired else fastq.read_single(spark, fq1)
-    told = Observation("tally")
-    done = process(reads, o, paired).withColumn("outcome", R.outcome(o, paired=paired)).observe(told, *R.counts())
-    rows = R.routed(done, paired=paired)
-    if interleaved:
-        fastq.write_interleaved(rows, interleaved, in_order, single)
-    else:
-        fastq.write_routes(rows, fastq.prefix_paths(out, paired) if isinstance(out, str) else out, paired, in_order, single)
-    text = R.report_of(told.get)
+    with tallied(process(reads, o, paired).withColumn("outcome", R.outcome(o, paired=paired)), in_order) as (done, counts):
+        rows = R.routed(done, paired=paired)
+        if interleaved:
+            fastq.write_interleaved(rows, interleaved, in_order, single)
+        else:
+            fastq.write_routes(rows, fastq.prefix_paths(out, paired) if isinstance(out, str) else out, paired, in_order, single)
+        text = R.report_of(counts())
     if log:
         write_text(spark, log, text)
     return text
 
 
 def run_bam(spark: SparkSession, o: Options, path: str, out: str, log: str | None = None) -> str:
-    """Reads BAM, writes BAM; returns the report.  With ``auto``, under the adapters inferred from the mates among the first records."""
-    records = bam.read_bam(spark, path)
+    """Reads BAM, writes BAM; returns the report.  With ``auto``, under the adapters inferred from the mates among the first records.
+
+    Mates that are neighbours are put together where they are read: one job, no shuffle, in the file's order.  A file that has
+    others is done by name, with a shuffle for the mates and one for the order.
+    """
     if o.auto:
-        o = I.infer_adapters(I.first_pairs(records), o)
+        o = I.infer_adapters(I.first_pairs(bam.read_bam(spark, path, first=I.FIRST), first=None), o)
     header, references = bam.read_header(spark, path)
-    done = B.process(records, o).persist()
-    try:
-        bam.write_bam(done, out, bam.add_program(header), references, o.uncompressed)
-        text = R.report(R.tally(done.filter("outcome is not null").select("outcome")))
-    finally:
-        done.unpersist()
+    header = bam.add_program(header)
+    strays = 1
+    if bam.direct(path):
+        told = Observation("tally")
+        done = B.process_mates(bam.read_mates(spark, path), o).observe(told, F.count_if("stray").alias("strays"), *R.counts())
+        bam.write_bam(done, out, header, references, o.uncompressed, in_order=True)
+        counts = told.get
+        strays = counts["strays"]
+    if strays:
+        with tallied(B.process(bam.read_bam(spark, path), o), False) as (done, by_name):
+            bam.write_bam(done, out, header, references, o.uncompressed)
+            counts = by_name()
+    text = R.report_of(counts)
     if log:
         write_text(spark, log, text)
     return text

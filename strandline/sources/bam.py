@@ -1,28 +1,45 @@
-"""BAM files as tables and back, with zlib and struct alone."""
+"""BAM files as tables and back, with zlib and struct alone.
+
+Files that tasks can open are read through the ``bam`` data source, in ranges of blocks, each inflated once; what only Spark's own
+readers can open comes as text that the blocks' first bytes part.
+"""
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+from . import splits as ranges
 
 SCHEMA = "rec_idx long, qname string, flag int, pos int, mapq int, mpos int, seq string, qual string, tags map<string,struct<type:string,value:string>>, ref int, cigar string, mref int, tlen int"
 TAG = pa.struct([("type", pa.string()), ("value", pa.string())])
 ARROW = pa.schema(
     [("rec_idx", pa.int64()), ("qname", pa.string()), *((n, pa.int32()) for n in ("flag", "pos", "mapq", "mpos")), ("seq", pa.string()), ("qual", pa.string()), ("tags", pa.map_(pa.string(), TAG)), ("ref", pa.int32()), ("cigar", pa.string()), ("mref", pa.int32()), ("tlen", pa.int32())]
 )
+MATES = "a struct<" + SCHEMA.replace("> ", ">").replace(", ", ",").replace(" ", ":") + ">"
+MATES = f"{MATES}, b{MATES[1:]}"
+MATES_ARROW = pa.schema([("a", pa.struct(list(ARROW))), ("b", pa.struct(list(ARROW)))])
 BASES = "=ACMGRSVTWYHKDBN"  # fixed by the format
+TWO_BASES = [a + b for a in BASES for b in BASES]
+SHOWN = bytes((q + 33) & 255 for q in range(256))  # qualities as text
 CIGAR = "MIDNSHP=X"  # fixed by the format
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")  # fixed by the format
 MAGIC = EOF[:16]  # every block begins so
 BLOCK = 60_000
 ROWS = 2048
+LEAST = 1 << 16  # bytes of a task at least
 PART = 1 << 22  # bytes that a split is parsed in
 CHAIN = 40  # records that must follow each other where a split is entered
 
@@ -124,10 +141,10 @@ def parse(data: bytes, at: int) -> Iterator[dict]:
         cigar = "".join(f"{c >> 4}{CIGAR[c & 15]}" for c in struct.unpack_from(f"<{cigars}I", data, p))
         p += 4 * cigars
         half = (bases + 1) // 2
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in data[p : p + half])[:bases]
+        seq = "".join(map(TWO_BASES.__getitem__, data[p : p + half]))[:bases]
         p += half
         q = data[p : p + bases]
-        qual = "*" if bases and q[0] == 255 else "".join(chr(x + 33) for x in q)
+        qual = "*" if bases and q[0] == 255 else q.translate(SHOWN).decode("latin-1")
         p += bases
         yield {"qname": name, "flag": flag, "pos": pos, "mapq": mapq, "mpos": mpos, "seq": seq, "qual": qual, "tags": read_tags(data[p : at + 4 + size]), "ref": ref, "cigar": cigar, "mref": mref, "tlen": tlen}
         at += 4 + size
@@ -187,17 +204,17 @@ def plausible(data: bytes, at: int) -> int:
 
 
 def first_record(data: bytes, last: bool) -> int:
-    """Where the first record begins in a split that may begin inside one: the first place from which CHAIN records, or all there
-    are, follow each other; -1 if more data are wanted (if last, all of the split is inside of one record)."""
+    """Where the first record begins in a split that may begin inside one: the first place from which CHAIN records, or all that
+    there are, follow each other; -1 if more data are wanted (if last, the file ends here: all must fit exactly)."""
     for at in range(len(data) - 35):
         p = at
         for _ in range(CHAIN):
-            p = plausible(data, p)
+            p = plausible(data, p) if not last or p + 36 <= len(data) else len(data) + 1
             if p < 0 or p >= len(data):
                 break
         if p >= len(data) and not last:
             return -1
-        if p >= 0:
+        if 0 <= p <= len(data):
             return at
     return len(data) if last else -1
 
@@ -255,8 +272,224 @@ def rows_of(number: int, at: int, data: bytes) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, ARROW)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one file or of all in a folder, by name; rec_idx is the split's number and the place in it.
+def header_dropped(held: ranges.Buffer) -> tuple[str, bytes]:
+    """Header text and reference table of a file, which goes on with its records."""
+    while len(held.data) < 12 and held.more():
+        pass
+    while True:
+        try:
+            text, table, n = split_header(held.data)
+            break
+        except (struct.error, IndexError):
+            if not held.more():
+                raise ValueError("not a BAM file") from None
+    held.drop(n)
+    return text, table
+
+
+def whole_records(r: ranges.Range) -> Iterator[bytes]:
+    """The records that begin in a range, in parts.
+
+    The range finds its first record by the form of records; the last one may go on behind its end, where what the next range will
+    find must be what is left here, or it is an error.
+    """
+    held = ranges.Buffer(r)
+    if r.start:
+        while (at := first_record(held.data, held.over)) < 0:
+            held.more()
+        held.drop(at)
+    else:
+        header_dropped(held)
+    behind = b""
+    while True:
+        while held.end is None and len(held.data) < PART and held.more():
+            pass
+        data, end = held.data, 0
+        while end + 4 <= len(data) and (held.end is None or held.at + end < held.end) and (n := end + 4 + struct.unpack_from("<i", data, end)[0]) <= len(data):
+            end = n
+        if end:
+            behind = data[max(0, held.end - held.at) : end] if held.end is not None else b""
+            held.drop(end)
+            yield data[:end]
+        if held.end is not None and held.at >= held.end:
+            break
+        if not end and not held.more() and held.data:
+            raise ValueError(f"{r.file} is cut off")
+    if r.end < r.start or r.kind != "blocks":
+        return
+    behind = behind if held.at > held.end else b""
+    if held.at - held.end == len(behind):
+        while (at := first_record(behind + held.data, held.over)) < 0:
+            held.more()
+        if at != len(behind):
+            raise ValueError(f"records of {r.file} can't be told apart")
+
+
+def record_count(r: ranges.Range) -> int:
+    n = 0
+    for data in whole_records(r):
+        at = 0
+        while at < len(data):
+            at += 4 + struct.unpack_from("<i", data, at)[0]
+            n += 1
+    return n
+
+
+def before(r: ranges.Range) -> Iterator[tuple[str, bool]]:
+    """Name of and whether paired: the records before a range, the last first; they are read in ever larger parts of the file."""
+    told, back = 0, 1 << 17
+    while r.start:
+        start = max(0, r.start - back)
+        # up to this range's own first block; a record that it cuts is the last one before
+        found = [(x["qname"], x["flag"] & 1 == 1) for data in whole_records(r._replace(start=start, end=r.start)) for x in parse(data, 0)]
+        yield from found[::-1][told:]
+        told = max(told, len(found))
+        if start == 0:
+            return
+        back *= 4
+
+
+class Bam(DataSource):
+    """Reading: the path that is loaded, or a ``plan`` of ranges with the numbers of their first records; with ``mates``, neighbours of
+    one name come as one row."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam"
+
+    def schema(self) -> str:
+        return MATES if self.options.get("mates") == "true" else SCHEMA
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return BamReader(self.options)
+
+
+@dataclass
+class Part(InputPartition):
+    part: list
+
+
+class BamReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.mates = options.get("mates") == "true"
+        self.plan = json.loads(options["plan"]) if "plan" in options else plan(options["path"], ranges.SPLIT)
+
+    def partitions(self) -> list[Part]:
+        return [Part(p) for p in self.plan] or [Part([0, 0, None])]
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        first, most, where = part.part
+        if where is None:
+            return
+        r = ranges.Range(*where)
+        rows = numbered_records(r, first, most)
+        if self.mates:
+            yield from packed(paired_up(r, rows), MATES_ARROW)
+        else:
+            yield from packed(rows, ARROW)
+
+
+def plan(path: str, size: int) -> list:
+    """[number of the first record, most records, range] for each task; numbers begin anew with each range, in the files' order."""
+    return [[k << 32, -1, r] for k, r in enumerate(ranges.cut(path, size))]
+
+
+def numbered_records(r: ranges.Range, first: int, most: int) -> Iterator[dict]:
+    for data in whole_records(r):
+        for x in parse(data, 0):
+            if most == 0:
+                return
+            most -= 1
+            yield {"rec_idx": first, **x, "tags": list(x["tags"].items())}
+            first += 1
+
+
+def paired_up(r: ranges.Range, rows: Iterator[dict]) -> Iterator[dict]:
+    """a, b: neighbours that are paired and of one name; b is null for other records.
+
+    Mates that a range's end parts belong to the range of the first: it reads on for the second, and the range behind looks
+    back whether its first record is taken.
+    """
+    held: dict | None = None
+    paired = lambda x: x["flag"] & 1 == 1
+    begun = False
+    for row in rows:
+        if not begun:
+            begun = True
+            if paired(row):
+                run = 0
+                for name, is_paired in before(r):
+                    if not is_paired or name != row["qname"]:
+                        break
+                    run += 1
+                if run % 2:  # its mate stands before it
+                    continue
+        if held is not None and paired(row) and row["qname"] == held["qname"]:
+            yield {"a": held, "b": row}
+            held = None
+            continue
+        if held is not None:
+            yield {"a": held, "b": None}
+            held = None
+        if paired(row):
+            held = row
+        else:
+            yield {"a": row, "b": None}
+    if held is not None:
+        mate = next(following(r), None)
+        if mate is not None and paired(mate) and mate["qname"] == held["qname"]:
+            yield {"a": held, "b": {"rec_idx": held["rec_idx"] + 1, **mate, "tags": list(mate["tags"].items())}}
+        else:
+            yield {"a": held, "b": None}
+
+
+def following(r: ranges.Range) -> Iterator[dict]:
+    """Records behind a range, in the same file."""
+    fs, name = ranges.opened(r.file)
+    size = fs.get_file_info(name).size
+    if r.end < size:
+        for data in whole_records(r._replace(start=r.end, end=size)):
+            yield from parse(data, 0)
+
+
+def packed(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, ROWS)):
+        yield pa.RecordBatch.from_pylist(part, schema)
+
+
+def loaded(spark: SparkSession, path: str, mates: bool, first: int | None = None) -> DataFrame:
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    share = sum(n for _, n in ranges.files(path)) // (2 * spark.sparkContext.defaultParallelism)
+    size = min(most, max(share, LEAST))
+    todo = plan(path, size)
+    if first is not None:
+        counted = ranges.count(spark, [r for *_, r in todo], first, record_count)
+        todo = [[k << 32, first - r.first, r] for k, r in enumerate(counted)]
+    spark.dataSource.register(Bam)
+    return spark.read.format("bam").option("plan", json.dumps(todo)).option("mates", str(mates).lower()).load()
+
+
+def direct(path: str) -> bool:
+    """Whether tasks can open the path, so that records come in the file's order without a shuffle."""
+    return ranges.opened(path) is not None
+
+
+def read_mates(spark: SparkSession, path: str) -> DataFrame:
+    """a, b: mates that are neighbours as one row, in the file's order, without a shuffle; b is null for other records."""
+    return loaded(spark, path, True)
+
+
+def read_bam(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """Records of one file or of all in a folder, by name; rec_idx is the range's number and the place in it.  ``first``: only so
+    many records, for which no more ranges are read than hold them."""
+    if direct(path):
+        return loaded(spark, path, False, first)
+    records = read_text(spark, path)
+    return records if first is None else records.orderBy("rec_idx").limit(first)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """The same through Spark's reader of texts, from any storage.
 
     Each split finds its first record by the form of records, parses what is whole, and hands on what its bounds cut; those few
     are put together by file, where it is an error if they do not fit exactly.
@@ -319,6 +552,9 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, bytes]:
     """Header text and reference table of the first file; only its first blocks are read."""
+    if direct(path):
+        file, size = ranges.files(path)[0]
+        return header_dropped(ranges.Buffer(ranges.Range(file, ranges.kind_of(file), 0, size)))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop
     first = hadoop.fs.Path(spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0])
     stream = first.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(first)
@@ -348,8 +584,8 @@ def add_program(text: str, name: str = "strandline", command: str = "") -> str:
     return text + ("" if not text or text.endswith("\n") else "\n") + f"@PG\tID:{own}\tPN:{name}{before}" + (f"\tCL:{command}" if command else "") + "\n"
 
 
-def write_bam(records: DataFrame, path: str, header: str = "", references: bytes = struct.pack("<i", 0), uncompressed: bool = False) -> None:
-    """One file in the order of rec_idx and, if there, sub.
+def write_bam(records: DataFrame, path: str, header: str = "", references: bytes = struct.pack("<i", 0), uncompressed: bool = False, in_order: bool = False) -> None:
+    """One file in the order of rec_idx and, if there, sub; ``in_order``: rows come so, partition after partition.
 
     Tasks write the blocks as parts, as the lines of a text that the blocks' first bytes part; the file system joins them behind the
     header, so no record passes through the driver's Python.
@@ -364,7 +600,8 @@ def write_bam(records: DataFrame, path: str, header: str = "", references: bytes
                 yield pa.RecordBatch.from_arrays([pa.array([deflate(blob, level)[len(MAGIC) :]], pa.binary())], names=["block"])
 
     fields = [c for c in ("qname", "flag", "pos", "mapq", "mpos", "seq", "qual", "tags", "ref", "cigar", "mref", "tlen") if c in records.columns]
-    made = records.select(*by, *fields).repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, "block binary")
+    ordered = records if in_order else records.select(*by, *fields).repartitionByRange(*by).sortWithinPartitions(*by)
+    made = ordered.select(*by, *fields).mapInArrow(run, "block binary")
     parts = f"{path}.parts"
     made.select(F.col("block").cast("string")).write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(parts)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop

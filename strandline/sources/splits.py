@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -137,7 +137,7 @@ def stream(r: Range) -> Iterator[tuple[bytes, bool]]:
                 yield f.read_at(min(PIECE, r.end - at) if inside else PIECE >> 4, at), inside
 
 
-class Lines:
+class Buffer:
     """What is read of a range so far, and where it stands."""
 
     def __init__(self, r: Range):
@@ -164,7 +164,7 @@ class Lines:
         return lines + [last] if self.over and last else lines
 
 
-def synced(lines: Lines) -> bool:
+def synced(lines: Buffer) -> bool:
     """Goes to the first record behind the first line feed; false if there is none."""
     while (n := lines.data.find(b"\n")) < 0:
         if not lines.more():
@@ -183,7 +183,7 @@ def synced(lines: Lines) -> bool:
 
 def records(r: Range) -> Iterator[list[bytes]]:
     """The records that belong to a range, in lists of lines, four a record."""
-    lines = Lines(r)
+    lines = Buffer(r)
     if r.start and not synced(lines):
         return
     while True:
@@ -219,8 +219,13 @@ def check(lines: list[bytes]) -> None:
             raise ValueError(f"not a FASTQ record: {lines[k][:80]!r}")
 
 
-def count(spark: SparkSession, ranges: list[Range], first: int | None = None) -> list[Range]:
-    """The ranges with the numbers of their records; only as many from the start as hold the first records, if that is given.
+def size_of(r: Range) -> int:
+    """Records that belong to a range."""
+    return sum(len(x) // 4 for x in records(r))
+
+
+def count(spark: SparkSession, ranges: list[Range], first: int | None = None, how: Callable[[Range], int] = size_of) -> list[Range]:
+    """The ranges with the numbers of their records, as ``how`` tells; only as many from the start as hold the first records, if that is given.
 
     Each file begins with a record.  The driver gets a number for each range, never a record: at GRAIN bytes each, 25,000 for 100 GB.
     """
@@ -229,21 +234,21 @@ def count(spark: SparkSession, ranges: list[Range], first: int | None = None) ->
     while len(out) < len(ranges) and (first is None or at < first):
         part = ranges[len(out) : len(out) + step]
         step *= 2
-        counts = dict(counted(spark, part)) if len(part) > 1 else {0: sum(len(x) // 4 for x in records(part[0]))}
+        counts = dict(counted(spark, part, how))
         for k, r in enumerate(part):
             out.append(r._replace(first=at, n=counts[k]))
             at += counts[k]
     return out
 
 
-def counted(spark: SparkSession, ranges: list[Range]) -> list[tuple[int, int]]:
+def counted(spark: SparkSession, ranges: list[Range], how: Callable[[Range], int]) -> list[tuple[int, int]]:
     rows = [(k, *r[:4]) for k, r in enumerate(ranges)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 r = Range(row["file"], row["kind"], row["start"], row["end"])
-                yield pa.RecordBatch.from_pydict({"k": [row["k"]], "n": [sum(len(x) // 4 for x in records(r))]})
+                yield pa.RecordBatch.from_pydict({"k": [row["k"]], "n": [how(r)]})
 
     tasks = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
     df = spark.createDataFrame(rows, "k long, file string, kind string, start long, end long").repartitionByRange(tasks, F.col("k"))

@@ -14,9 +14,10 @@ def test_flags():
     assert o.bam and o.uncompressed and o.keep_original and o.prior and out is None
     _, _, out = understood("-fq1 a -fqose m -fqosef f".split())
     assert out == {"merged": "m", "fail": "f"}
+    assert understood(["-"])[0].input == "-" and understood(["x.bam"])[1].outfile == ""
 
 
-@pytest.mark.parametrize("wrong", ["-fq1 a", "-fq1 a -fqo p -fqt t", "-fq1 a -fq2 b -fqose m -fqosef f", "x.bam", "-p -fq1 a -fqo p", "-fq1 a -fqo p -u", "x.bam -fq1 a -fqo p", "-fq1 a -fqo p --auto -f ACGT"])
+@pytest.mark.parametrize("wrong", ["-fq1 a", "-fq1 a -fqo p -fqt t", "-fq1 a -fq2 b -fqose m -fqosef f", "-u", "-p -fq1 a -fqo p", "-fq1 a -fqo p -u", "x.bam -fq1 a -fqo p", "-fq1 a -fqo p --auto -f ACGT"])
 def test_wrong(wrong, capsys):
     with pytest.raises(OptionError):
         understood(wrong.split())
