@@ -205,6 +205,26 @@ def candidates_pairs(s1, q1, s2, q2, o: Options, overhang: bool = False) -> Colu
     return run(s1, q1, s2, q2)
 
 
+def adapter_places(seq, qual, o: Options) -> Column:
+    """Of all places of the adapter in single reads: the last, the best likelihood (0 without places) and the most matches."""
+
+    @F.arrow_udf("last_x int, best double, matches int")
+    def run(s: pa.Array, q: pa.Array) -> pa.Array:
+        def best(a: list[str], b: list[str]) -> list[tuple]:
+            reads = K.Reads(a, b, o.offset)
+            last = reads.len - 1 - o.cutoff
+            ll, hits = K.adapter_places(reads, o.adapters[0], reads.width)
+            able = np.arange(reads.width) <= last[:, None]
+            top = np.where(able, ll, -np.inf).max(axis=1, initial=-np.inf)
+            return list(zip(np.maximum(last, -1).tolist(), np.where(last < 0, 0.0, top).tolist(), np.where(able, hits, 0).max(axis=1, initial=0).tolist()))
+
+        rows = by_length(best, texts(s), texts(q))
+        kinds = (pa.int32(), pa.float64(), pa.int32())
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["last_x", "best", "matches"])
+
+    return run(seq, qual)
+
+
 def is_chimera(seq, qual, o: Options) -> Column:
     @F.arrow_udf("boolean")
     def run(s: pa.Array, q: pa.Array) -> pa.Array:

@@ -8,8 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,6 @@ from ..config import FORWARD, Options
 from ..functions import sequence as S
 from ..operators import alignments as B
 from ..operators import infer as I
-from ..operators import kernel as K
 from ..operators import prior as P
 from ..operators import tally as R
 from ..operators import trim as T
@@ -169,21 +166,8 @@ def top2_candidates(spark, sf):
 @query(f"{O.single()} SELECT read_id, CAST(coalesce(max(x), -1) AS INT) AS last_x, round(coalesce(max(ll), 0), 6) AS best_adapter, CAST(coalesce(max(hits), 0) AS INT) AS most_hits FROM reads LEFT JOIN ad ON ad.id = read_id GROUP BY read_id")
 def adapter_likelihood(spark, sf):
     """Of every place of the adapter in every read: the best likelihood and the most matches."""
-    o = Options()
-
-    @F.arrow_udf("last_x int, best_adapter double, most_hits int")
-    def run(s: pa.Array, q: pa.Array) -> pa.Array:
-        reads = K.Reads(T.texts(s), T.texts(q), o.offset)
-        best, hits = np.full(len(reads), -np.inf), np.zeros(len(reads), np.int32)
-        for x in range(reads.width - 1):
-            ll, h = K.adapter(reads, o.adapters[0], x)
-            able = x < reads.len - 1
-            best, hits = np.where(able & (ll > best), ll, best), np.where(able & (h > hits), h, hits).astype(np.int32)
-        last = np.maximum(reads.len - 2, -1).astype(np.int32)
-        return pa.StructArray.from_arrays([pa.array(last), pa.array(np.where(np.isinf(best), 0.0, best)), pa.array(hits)], ["last_x", "best_adapter", "most_hits"])
-
-    df = singles(spark, sf).withColumn("a", run(F.col("seq"), F.col("qual")))
-    return df.select("read_id", "a.last_x", F.round("a.best_adapter", 6).alias("best_adapter"), "a.most_hits")
+    df = singles(spark, sf).withColumn("a", T.adapter_places(F.col("seq"), F.col("qual"), Options()))
+    return df.select("read_id", "a.last_x", F.round("a.best", 6).alias("best_adapter"), F.col("a.matches").alias("most_hits"))
 
 
 @query(f"WITH reads AS ({SINGLE}), {O.bases('reads', 'bs', 'read_id', 'seq', 'qual')}, {O.chimeras('reads', 'read_id', 'bs', 'seq')} SELECT read_id, bad.id IS NOT NULL AS chimera FROM reads LEFT JOIN bad ON bad.id = read_id")

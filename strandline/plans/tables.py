@@ -40,12 +40,6 @@ def pair_mismatch() -> np.ndarray:
     return np.log10((1 - a) * (b / 3) + (a / 3) * (1 - b) + 2 * (a / 3) * (b / 3))
 
 
-@functools.cache
-def pair_scores() -> np.ndarray:
-    """Flat: mismatches by quality 1 and 2, then matches."""
-    return np.concatenate([pair_mismatch().ravel(), pair_match().ravel()])
-
-
 @functools.cache
 def consensus_quality() -> np.ndarray:
     """[base 1, base 2, quality 1, quality 2], bases A C G T N: the larger quality of the observed bases."""

@@ -57,9 +57,12 @@ def test_likelihoods(pairs, rnd):
     one, two = K.Reads(s1, q1, 33), K.Reads(s2, q2, 33)
     turned = two.turned()
     rc = str.maketrans("ACGTN", "TGCAN")
+    places, hits = K.adapter_places(one, Options().adapters[0], 45)
+    laid = K.Overlap(one, turned)
     for x in range(45):
-        a, ha = K.adapter(one, Options().adapters[0], x)
-        o, ho = K.overlap(one, turned, x)
+        a, ha = places[:, x], hits[:, x]
+        o, ho = laid.score(x, slice(None))
+        o = o + x * LAM
         for k in range(len(pairs)):
             if x < len(s1[k]):
                 want = slow_adapter(s1[k], q1[k], Options().adapters[0], x)
@@ -68,6 +71,67 @@ def test_likelihoods(pairs, rnd):
             assert abs(o[k] - want[0]) < 1e-9 and ho[k] == want[1]
 
 
+def slow_two(start, scores, hits):
+    """The best two by offering candidates in turn."""
+    best, second = (start, -1, 0), (-math.inf, -1)
+    for x, (ll, h) in enumerate(zip(scores, hits)):
+        if ll > best[0]:
+            second, best = best[:2], (ll, x, h)
+        elif ll > second[0]:
+            second = (ll, x)
+    return best[1], second[1], best[0], second[0], best[2]
+
+
+def same_two(got, k, want):
+    assert (got.x[k], got.matches[k]) == (want[0], want[4])
+    assert abs(got.ll[k] - want[2]) < 1e-9 and (got.second[k] == want[3] or abs(got.second[k] - want[3]) < 1e-9)
+    assert got.second_x[k] == want[1]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(seqs, seqs, st.integers(0, 30)), min_size=1, max_size=6), st.randoms(use_true_random=False), st.sampled_from([{}, {"ancient": True}, {"loc": 3.0, "scale": 0.5}, {"trim_cutoff": 7}, {"forward": "ACNGT"}]))
+def test_scans(pairs, rnd, how):
+    """The pruned scans against all candidates one by one; reads of fragments with their adapters among random ones."""
+    o = Options(**how)
+    rc = str.maketrans("ACGTN", "TGCAN")
+    s1, s2 = [], []
+    for k, (a, b, x) in enumerate(pairs):
+        fragment = a[:x]
+        s1.append((fragment + o.adapters[0].replace("I", "C"))[:40] if k % 2 else a)
+        s2.append((fragment.translate(rc)[::-1] + o.adapters[1].replace("I", "G"))[: 40 - k] if k % 2 else b)
+    q1, q2 = [quality(s, rnd) for s in s1], [quality(s, rnd) for s in s2]
+    one, two = K.Reads(s1, q1, 33), K.Reads(s2, q2, 33)
+    single, both, over = K.scan_single(one, o), K.scan_pairs(one, two, o), K.scan_overhang(one, two, o)
+    density = lambda x: T.log10_density(x, o.loc, o.scale) if o.prior else 0.0
+    survival = lambda n: T.log10_survival(max(n, 0), o.loc, o.scale) if o.prior else 0.0
+    for k, (a, b) in enumerate(zip(s1, s2)):
+        n, m, longest = len(a), len(b), max(len(a), len(b))
+        part = lambda s, q, side, x: slow_adapter(s, q, o.adapters[side], x) if x < len(s) else (0.0, 0)
+        rows = [(part(a, q1[k], 0, x), x) for x in range(max(0, n - o.cutoff))]
+        same_two(single, k, slow_two(n * LAM + survival(n - o.cutoff), [r[0] + x * LAM + density(x) for r, x in rows], [r[1] for r, _ in rows]))
+        end = 2 * longest - o.min_overlap
+        able = min(end if o.partial else min(end, longest + 1), n + m + 1)
+        lap = [slow_overlap(a, q1[k], b.translate(rc)[::-1], q2[k][::-1], x) for x in range(max(0, end) + 1)]
+        rows = [(part(a, q1[k], 0, x), part(b, q2[k], 1, x), lap[x], x) for x in range(max(0, able))]
+        same_two(both, k, slow_two((n + m) * LAM + survival(end), [p[0] + r[0] + v[0] + density(x) for p, r, v, x in rows], [p[1] + r[1] + v[1] for p, r, v, _ in rows]))
+        hang = lambda x: max(0, n - x - 1) + max(0, m - x - 1)
+        rows = [(LAM * hang(x) + lap[x][0], lap[x][1]) if hang(x) else (-math.inf, 0) for x in range(max(0, min(end, longest - 1)))]
+        same_two(over, k, slow_two((n + m) * LAM, [r[0] for r in rows], [r[1] for r in rows]))
+
+
+def test_few_overlaps_are_looked_up(monkeypatch):
+    """Most candidates are ruled out by their bounds."""
+    rnd = random.Random(1)
+    seen, real = [], K.Overlap.score
+    monkeypatch.setattr(K.Overlap, "score", lambda self, x, rows: seen.append(len(self.base1[rows])) or real(self, x, rows))
+    ins = ["".join(rnd.choices("ACGT", k=30 + k % 60)) for k in range(400)]
+    s1 = [(s + Options().forward[:33].ljust(100, "A"))[:90] for s in ins]
+    s2 = [(s.translate(str.maketrans("ACGT", "TGCA"))[::-1] + Options().reverse[:33].ljust(100, "A"))[:90] for s in ins]
+    reads = [K.Reads(s, [quality(x, rnd) for x in s], 33) for s in (s1, s2)]
+    got = K.scan_pairs(*reads, Options())
+    assert got.x.tolist() == [len(s) for s in ins] and sum(seen) < 400 * 91 / 4
+
+
 def test_anchors():
     assert round(LAM, 10) == -0.6020599913
     assert [round(float(v), 10) for v in (T.match()[30], T.mismatch()[30], T.match()[2])] == [-0.0004345118, -3.4771212547, -0.4329234333]
