@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMPARED
+from ..plans.tables import log10_survival as survival_at
 
 LAMBDA = math.log10(0.25)
 
@@ -73,6 +74,31 @@ def log10_density(x, loc: float, scale: float) -> Column:
     return -F.pow(F.log(v) - loc, F.lit(2)) / (2 * scale * scale) / math.log(10) - F.log10(F.lit(scale * math.sqrt(2 * math.pi)) * v)
 
 
+TERMS = 80  # of the series and the fraction below, enough for doubles
+
+
+def erfc(z) -> Column:
+    """The complementary error function of doubles, by built-in functions: a series below 2, a continued fraction above."""
+    a = F.abs(col(z))
+    step = lambda s, k: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * 2 * a * a / (2 * k + 3)).alias("term"))
+    series = F.aggregate(F.sequence(F.lit(0), F.lit(TERMS)), F.struct(F.lit(0.0).alias("sum"), a.alias("term")), step)["sum"]
+    low = 1 - series * F.exp(-a * a) * (2 / math.sqrt(math.pi))
+    depth = F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), F.lit(0.0), lambda s, k: k / 2 / (a + s))
+    high = F.exp(-a * a) / math.sqrt(math.pi) / (a + depth)
+    tail = F.when(a < 2, low).otherwise(high)
+    return F.when(col(z) < 0, 2 - tail).otherwise(tail)
+
+
+def log10_survival(x, loc: float, scale: float, known: int = 1000) -> Column:
+    """Of the log-normal; 0 and less count as 1.  Lengths below ``known`` are looked up in a table that goes along with the plan; longer
+    ones are calculated."""
+    table = F.lit([survival_at(n, loc, scale) for n in range(known)])
+    n = F.greatest(col(x), F.lit(0)).cast("int")
+    tail = 0.5 * erfc((F.log(F.greatest(col(x), F.lit(1)).cast("double")) - loc) / (scale * math.sqrt(2)))
+    exact = F.when(tail > 0, F.log10(tail)).otherwise(F.lit(-math.inf))
+    return F.when(n < known, F.element_at(table, F.least(n + 1, F.lit(known)))).when(n.isNotNull(), exact)
+
+
 def log10_sums(df: DataFrame, key: str, ll: str, to: str) -> DataFrame:
     """key, and log10 of the sum of probabilities given as log10.
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FORWARD, Options
+from ..config import CHIMERAS, FORWARD, Options
 from ..functions import sequence as S
 from ..operators import alignments as B
 from ..operators import infer as I
@@ -21,6 +21,7 @@ from ..operators import trim as T
 from ..operators import umi as U
 from ..sources import bam, fastq
 from ..sources.fastq import numbered, zip_pairs
+from ..sources.lengths import read_lengths
 from . import oracles as O
 from .run import process as run_reads
 from .run import run_fastq
@@ -116,6 +117,19 @@ def prior_density(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.round(S.log10_density(F.col("o_orderkey") % 1000, LOC, SCALE), 6).alias("density"))
 
 
+@query(f"WITH {O.survival_table(LOC, SCALE, 1200)} SELECT o_orderkey, round(sv, 6) AS survival FROM orders JOIN surv ON sx = o_orderkey % 1200")
+def prior_survival(spark, sf):
+    """Lengths in the table and beyond it."""
+    return table(spark, sf, "orders").select("o_orderkey", F.round(S.log10_survival(F.col("o_orderkey") % 1200, LOC, SCALE), 6).alias("survival"))
+
+
+@query(over(f"SELECT read_id, round({O.density('length(seq)', LOC, SCALE)}, 6) AS density, round(sv, 6) AS survival FROM reads JOIN surv ON sx = length(seq)").replace("WITH ", f"WITH {O.survival_table(LOC, SCALE)}, "))
+def prior_joined(spark, sf):
+    """The prior as a table of lengths below 40, joined with reads, and calculated for longer ones."""
+    df = P.with_prior(singles(spark, sf).select("read_id", F.length("seq").alias("n")), "n", LOC, SCALE, most=40)
+    return df.select("read_id", F.round("log10_density", 6).alias("density"), F.round("log10_survival", 6).alias("survival"))
+
+
 @query("SELECT pmod AS bucket, round(max(ll) + log10(sum(pow(10.0, ll - top))), 6) AS total FROM (SELECT *, max(ll) OVER (PARTITION BY pmod) AS top FROM (SELECT o_orderkey % 50 AS pmod, -((o_orderkey * 31) % 997) / 100.0 AS ll FROM orders)) GROUP BY pmod")
 def log_sum(spark, sf):
     k = F.col("o_orderkey")
@@ -148,6 +162,29 @@ def fit_lognormal(spark, sf):
 ALIGNED = f"SELECT CAST(read_id % 8 AS INT) AS flag, seq, CAST(read_id % 301 - 150 AS INT) AS tlen FROM ({SINGLE}) z"
 
 
+@query(over("SELECT count(*) AS n, round(avg(ln(length(seq))), 9) AS meanlog, round(stddev_pop(ln(length(seq))), 9) AS sdlog FROM reads WHERE length(seq) > 0"))
+def length_file_fit(spark, sf):
+    """A file of lengths, one a line, read and fitted."""
+    path = scratch(spark)
+    singles(spark, sf).select(F.length("seq").cast("string")).write.text(path)
+    return P.fit_lognormal(read_lengths(spark, path)).select("n", F.round("meanlog", 9).alias("meanlog"), F.round("sdlog", 9).alias("sdlog"))
+
+
+@query("SELECT string_agg(translate(md5(s_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY s_suppkey) AS seq FROM supplier")
+def fasta_sequence(spark, sf):
+    """A FASTA record of a line for each supplier."""
+    path = scratch(spark)
+    lines = table(spark, sf, "supplier").select("s_suppkey", F.translate(F.md5("s_name"), "0123456789abcdef", "ACGTACGTACGTACGT").alias("line"))
+    lines = lines.unionByName(spark.sql("SELECT CAST(-1 AS BIGINT) AS s_suppkey, '>adapter' AS line")).coalesce(1).sortWithinPartitions("s_suppkey")
+    lines.select("line").write.text(path)
+    return fastq.read_fasta(spark, path)
+
+
+@query(over("SELECT read_id, seq FROM reads"))
+def length_check(spark, sf):
+    return singles(spark, sf).select("read_id", S.check_lengths("seq", "qual").alias("seq"))
+
+
 @query(f"WITH a AS ({ALIGNED}), u AS (SELECT CAST(length(seq) AS INT) AS len FROM a WHERE flag & 5 = 0 UNION ALL SELECT tlen FROM a WHERE flag & 2 = 2 AND tlen > 0) SELECT len, count(*) AS n FROM u GROUP BY len")
 def insert_size_union(spark, sf):
     return P.insert_sizes(made(spark, sf, ALIGNED)).groupBy("len").agg(F.count("*").alias("n"))
@@ -181,6 +218,13 @@ def trim_single(spark, sf):
     return df.select("read_id", "result.code", "result.cut", "result.seq", "result.qual")
 
 
+@query(O.trim_sql())
+def trim_lower_case(spark, sf):
+    """Adapters and chimeras in lower case are taken as upper case."""
+    df = T.trim_single(singles(spark, sf), Options(forward=FORWARD.lower(), chimeras=CHIMERAS.lower()), "seq", "qual")
+    return df.select("read_id", "result.code", "result.cut", "result.seq", "result.qual")
+
+
 @query(O.trim_sql((LOC, SCALE)))
 def trim_single_prior(spark, sf):
     df = T.trim_single(singles(spark, sf), Options(loc=LOC, scale=SCALE), "seq", "qual")
@@ -292,6 +336,24 @@ def results(spark, sf) -> DataFrame:
     return df.select("pair_id", F.struct("code", "seq", "qual", F.lit(-1).alias("cut"), "s1", "q1", "s2", "q2").alias("result"))
 
 
+#: Results with every outcome; barcodes of six and four bases with one and two more to cut.
+EVERY = RESULTS.replace("THEN 'K' ELSE", "THEN 'K' WHEN pair_id % 29 = 0 THEN 'D' ELSE")
+EVERY_TALLY = "SELECT {paired} AS paired, count(*) AS total, " + ", ".join(f"count(*) FILTER (o = '{n}') AS {n}" for n in R.TALLY[1:]) + """ FROM (SELECT CASE
+    WHEN code = 'K' THEN 'failed_key' WHEN code = 'D' THEN 'chimera' WHEN seq <> '' AND length(seq) < {cut} OR seq = '' AND (length(s1) < {f} OR {other}) THEN 'umi_problem'
+    WHEN length(seq) IN (0, {cut}) THEN 'kept' WHEN NOT {paired} THEN 'trimmed' WHEN length(seq) > greatest(length(s1), length(s2)) THEN 'merged_overlap' ELSE 'merged_trim' END AS o FROM ({every}) e) t"""
+
+
+@query(
+    EVERY_TALLY.format(paired="true", cut=13, f=7, other="length(s2) < 6", every=EVERY) + " UNION ALL " + EVERY_TALLY.format(paired="false", cut=13, f=7, other="false", every=EVERY)
+)
+def tally_every_outcome(spark, sf):
+    """Of pairs and of single reads, with barcodes and keys that fail."""
+    o = Options(umi_f=6, umi_trim_f=1, umi_r=4, umi_trim_r=2)
+    df = made(spark, sf, EVERY).select("pair_id", F.struct("code", "seq", "qual", F.lit(-1).alias("cut"), "s1", "q1", "s2", "q2").alias("result"))
+    rows = [R.tally(U.extract(df, o, paired=p).select(R.outcome(o, paired=p).alias("outcome"))).withColumn("paired", F.lit(p)) for p in (True, False)]
+    return rows[0].unionByName(rows[1])
+
+
 def umi_sql(f: int, r: int, cf: int, cr: int, paired: bool) -> str:
     tag = (lambda a, b, sep: f"({a}) || '{sep}' || ({b})") if f and r else (lambda a, b, sep: a if f else b)
     kr, kq = ("reverse(translate(substr(s2, 1, {r}), 'ACGTN', 'TGCAN'))", "reverse(substr(q2, 1, {r}))") if paired else ("repeat('N', {r})", "repeat('!', {r})")
@@ -405,6 +467,15 @@ def keep_original(spark, sf):
     return out.select("qname", "sub", "flag", F.length("seq").alias("bases"), B.tag(F.col("tags"), "FF").alias("ff"), B.tag(F.col("tags"), "ZQ").alias("zq"))
 
 
+@query(QUERIES["keep_original"][1])
+def bam_neighbours(spark, sf):
+    """The same from a file, whose mates are put together where they are read."""
+    path = f"{scratch(spark)}.bam"
+    bam.write_bam(records(spark, sf), path)
+    out = B.process_mates(bam.read_mates(spark, path), Options(bam=True, keep_original=True))
+    return out.select("qname", "sub", "flag", F.length("seq").alias("bases"), B.tag(F.col("tags"), "FF").alias("ff"), B.tag(F.col("tags"), "ZQ").alias("zq"))
+
+
 @query(O.tally_sql())
 def bam_tally(spark, sf):
     """The tally of a BAM run, whose outcomes come with the records."""
@@ -487,21 +558,79 @@ def fastq_round_trip(spark, sf):
     return both.select(F.concat(F.lit("@"), F.regexp_replace("name", "^@", "")).alias("name"), "s1", "q1", "s2", "q2")
 
 
-ROUTE_COUNTS = f"""{O.paired()}, d AS (SELECT chimera, sure AND best > 0 AS new FROM dec)
-  SELECT route, count(*) AS n FROM (SELECT 'merged' AS route FROM d WHERE new UNION ALL SELECT 'r1' FROM d WHERE NOT new AND NOT chimera UNION ALL SELECT 'r2' FROM d WHERE NOT new AND NOT chimera
-    UNION ALL SELECT 'r1_fail' FROM d WHERE chimera UNION ALL SELECT 'r2_fail' FROM d WHERE chimera) GROUP BY route"""
+#: Ties of bases are settled by the pair's number in the file.
+OF_FILE = O.consensus_sql().replace("(id * 7919", "((id - (SELECT min(pair_id) FROM pairs)) * 7919").rpartition("SELECT id AS pair_id")
+ROUTES = f"""{OF_FILE[0]}, merged AS (SELECT id AS pair_id{OF_FILE[2]}), d AS (SELECT id, chimera, sure AND best > 0 AS new FROM dec)
+  SELECT 'merged' AS route, '@p' || CAST(pair_id AS STRING) AS header, seq, qual FROM merged
+  UNION ALL SELECT CASE WHEN chimera THEN 'r1_fail' ELSE 'r1' END, '@p' || CAST(pair_id AS STRING) || '/1', s1, q1 FROM d JOIN pairs ON pair_id = id WHERE NOT new
+  UNION ALL SELECT CASE WHEN chimera THEN 'r2_fail' ELSE 'r2' END, '@p' || CAST(pair_id AS STRING) || '/2', s2, q2 FROM d JOIN pairs ON pair_id = id WHERE NOT new"""
+
+
+def routes_back(spark, paths: dict[str, str]) -> DataFrame:
+    out = None
+    for route, file in paths.items():
+        part = fastq.read_fastq(spark, file, numbered=False).select(F.lit(route).alias("route"), "header", "seq", "qual")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query(ROUTE_COUNTS)
+@query(ROUTES)
 def fastq_run(spark, sf):
     """A whole run from files to the six routes, which are read again."""
     df, path = pairs(spark, sf), scratch(spark)
     run_fastq(spark, Options(), written(df, f"{path}-1", 1), written(df, f"{path}-2", 2), out=f"{path}-out")
-    out = None
-    for route, file in fastq.prefix_paths(f"{path}-out").items():
-        part = fastq.read_fastq(spark, file).select(F.lit(route).alias("route"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("route").agg(F.count("*").alias("n"))
+    return routes_back(spark, fastq.prefix_paths(f"{path}-out"))
+
+
+def block_file(df: DataFrame, path: str, key: str, seq: str, qual: str) -> str:
+    """One block-compressed FASTQ file of the rows by key."""
+    rows = df.select(F.col(key).alias("rec_idx"), F.lit(0).alias("mate"), F.lit("all").alias("route"), F.concat(F.lit("@s"), F.col(key).cast("string")).alias("header"), F.col(seq).alias("seq"), F.col(qual).alias("qual"))
+    fastq.write_interleaved(rows, path, single=True)
+    return path
+
+
+@query(over("SELECT CAST(row_number() OVER (ORDER BY read_id) - 1 AS BIGINT) AS rec_idx, '@s' || CAST(read_id AS STRING) AS header, seq, qual FROM reads"))
+def block_fastq(spark, sf):
+    """Reads written as one block-compressed file, which is read in ranges and numbered."""
+    return fastq.read_fastq(spark, block_file(singles(spark, sf), f"{scratch(spark)}.fq.gz", "read_id", "seq", "qual"))
+
+
+SINGLE_RUN = f"""WITH t AS ({O.trim_sql()}), r AS ({SINGLE})
+  SELECT CASE WHEN code = ' ' THEN 'merged' ELSE 'fail' END AS route, '@s' || CAST(r.read_id AS STRING) AS header,
+         CASE WHEN code = ' ' AND t.seq <> '' THEN t.seq ELSE r.seq END AS seq, CASE WHEN code = ' ' AND t.seq <> '' THEN t.qual ELSE r.qual END AS qual
+  FROM t JOIN r ON r.read_id = t.read_id"""
+
+
+@query(SINGLE_RUN)
+def fastq_single_run(spark, sf):
+    """Single reads from one file to outputs by name, as one file each."""
+    path = scratch(spark)
+    out = {r: f"{path}-{r}.fq.gz" for r in R.ROUTES_SINGLE}
+    run_fastq(spark, Options(), block_file(singles(spark, sf), f"{path}.fq.gz", "read_id", "seq", "qual"), out=out, single=True)
+    return routes_back(spark, out)
+
+
+@query(f"SELECT unnest(['Total reads :', 'kept', 'trimmed', 'chimera']) AS name, unnest([count(*), count(*) FILTER (code = ' ' AND seq = ''), count(*) FILTER (code = ' ' AND seq <> ''), count(*) FILTER (code = 'D')]) AS n FROM ({O.trim_sql()})")
+def run_log(spark, sf):
+    """The log of a run, as it was written."""
+    path = scratch(spark)
+    run_fastq(spark, Options(), block_file(singles(spark, sf), f"{path}.fq.gz", "read_id", "seq", "qual"), interleaved=f"{path}-all", log=f"{path}.log")
+    fields = F.split("value", "\t")
+    lines = spark.read.text(f"{path}.log").select(fields[0].alias("name"), fields[1].cast("long").alias("n"))
+    return lines.filter(F.col("name").isin("Total reads :", "kept", "trimmed", "chimera"))
+
+
+#: Four pairs for each order: more than the first records that inference looks at.
+FOURFOLD = "SELECT o_orderkey * 4 + copy AS pair_id, translate(md5('h' || CAST(o_orderkey * 4 + copy AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s1 FROM (SELECT o_orderkey, unnest([0, 1, 2, 3]) AS copy FROM orders) o"
+
+
+@query(f"SELECT '@s' || CAST(pair_id AS STRING) AS header, s1 AS seq FROM ({FOURFOLD}) h ORDER BY pair_id LIMIT {I.FIRST}")
+def fastq_head(spark, sf):
+    """The first records of a file, of which only the ranges are read that hold them."""
+    df = dealt(table(spark, sf, "orders").select("o_orderkey")).select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("copy")).select((F.col("o_orderkey") * 4 + F.col("copy")).alias("pair_id"))
+    df = df.withColumn("s1", F.translate(F.md5(F.concat(F.lit("h"), F.col("pair_id").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT")).withColumn("q1", F.repeat(F.lit("I"), F.lit(32)))
+    path = block_file(df, f"{scratch(spark)}.fq.gz", "pair_id", "s1", "q1")
+    return fastq.read_fastq(spark, path, first=I.FIRST).select("header", "seq")
 
 
 @query(over(f"SELECT read_id, failed, CASE WHEN failed THEN seq WHEN e <= 1 THEN substr(seq, 7) ELSE substr(seq, 6) END AS keyless, seq AS keyed FROM (SELECT *, NOT (e <= 1 OR substr(seq, 1, 5) = '{KEY[1:]}') AS failed FROM (SELECT *, {O.edits('substr(seq, 1, 6)', repr(KEY))} AS e FROM reads))", KEYED))

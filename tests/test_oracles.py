@@ -8,7 +8,7 @@ import pytest
 from strandline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("orders", "customer")
+TABLES = ("orders", "customer", "supplier")
 
 
 @pytest.fixture(scope="module")
