@@ -92,15 +92,15 @@ def loaded(spark: SparkSession, plan: list, pairs: bool = False) -> DataFrame:
     return spark.read.format("fastq").option("plan", json.dumps(plan)).option("pairs", str(pairs).lower()).load()
 
 
-def read_fastq(spark: SparkSession, path: str, numbered: bool = True, first: int | None = None) -> DataFrame:
-    """rec_idx, header, seq, qual of a FASTQ file or of all in a folder by name: plain, gz or block-compressed, in any storage that
+def read_fastq(spark: SparkSession, path: str | list[str], numbered: bool = True, first: int | None = None) -> DataFrame:
+    """rec_idx, header, seq, qual of a FASTQ file, of all in a folder by name, or of a list of these: plain, gz or block-compressed, in any storage that
     Spark reads; only a gz file without blocks is one task.
 
     rec_idx rises in the files' order.  With ``numbered`` it is the record's number from 0, for which records are counted beforehand, by
     range; else the range's number and the place in it.  ``first``: only so many records, for which no more ranges are
     read than hold them.  A file that is cut off, or whose third lines lack the +, is an error.
     """
-    if not direct(path):
+    if not direct(*([path] if isinstance(path, str) else path)):
         lines = read_lines(spark, path)
         return lines if first is None else lines.orderBy("rec_idx").limit(first)
     fine, task = grain(spark, path)
@@ -139,9 +139,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return all_.select("rec_idx", F.when(good, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.coalesce("header", F.lit("-"))))).alias("header"), "seq", "qual")
 
 
-def read_single(spark: SparkSession, path: str) -> DataFrame:
+def read_single(spark: SparkSession, path: str | list[str], numbered: bool = False) -> DataFrame:
     """rec_idx, name (with @ and mate number), s1, q1, paired."""
-    df = read_fastq(spark, path, numbered=False)
+    df = read_fastq(spark, path, numbered)
     return df.select("rec_idx", F.split("header", " ")[0].alias("name"), F.col("seq").alias("s1"), F.col("qual").alias("q1"), F.lit(False).alias("paired"))
 
 
@@ -189,12 +189,12 @@ def aligned(one: list[splits.Range], two: list[splits.Range], task: int, first:
     return plan
 
 
-def read_paired(spark: SparkSession, first: str, second: str, head: int | None = None) -> DataFrame:
+def read_paired(spark: SparkSession, first: str | list[str], second: str | list[str], head: int | None = None) -> DataFrame:
     """The mates of two files, or folders, by their place; ``head``: only so many pairs, for which only the first ranges are read.
 
     Records are counted by range, then each task reads the same records of both files, so nothing is shuffled.
     """
-    if not direct(first, second):
+    if not direct(*(p for ps in (first, second) for p in ([ps] if isinstance(ps, str) else ps))):
         both = zip_pairs(read_fastq(spark, first), read_fastq(spark, second))
         return both if head is None else both.orderBy("rec_idx").limit(head)
     fine, task = grain(spark, first, second)

@@ -52,8 +52,10 @@ def opened(path: str) -> tuple[pafs.FileSystem, str] | None:
         return None
 
 
-def files(path: str) -> list[tuple[str, int]]:
-    """Name and size of a file, or of all in a folder but hidden ones, by name."""
+def files(path: str | list[str]) -> list[tuple[str, int]]:
+    """Name and size of a file, or of all in a folder but hidden ones, by name; of a list of these, one after the other."""
+    if not isinstance(path, str):
+        return [f for p in path for f in files(p)]
     fs, name = opened(path)
     info = fs.get_file_info(name)
     if info.type == pafs.FileType.NotFound:
@@ -71,7 +73,7 @@ def kind_of(path: str) -> str:
     return "blocks" if head == BLOCK_START else "gzip" if head[:2] == b"\x1f\x8b" else "plain"
 
 
-def cut(path: str, size: int = GRAIN) -> list[Range]:
+def cut(path: str | list[str], size: int = GRAIN) -> list[Range]:
     """All files of a path in ranges of about size bytes; a gzip file without blocks is one."""
     out = []
     for file, bytes_ in files(path):
@@ -238,7 +240,7 @@ def count(spark: SparkSession, ranges: list[Range], first: int | None = None, ho
         for k, r in enumerate(part):
             out.append(r._replace(first=at, n=counts[k]))
             at += counts[k]
-    return out
+    return out if first is None else [r for r in out if r.first < first]
 
 
 def counted(spark: SparkSession, ranges: list[Range], how: Callable[[Range], int]) -> list[tuple[int, int]]:

@@ -98,7 +98,8 @@ def test_run_in_one_job(spark, tmp_path, monkeypatch, stray):
         assert spark.dataSource.register(bam.Bam) is None and spark.read.format("bam").load(path).count() == len(rows)
         assert bam.read_bam(spark, path).rdd.getNumPartitions() > 3
         assert rows_of(bam.read_bam(spark, path)) == [(r[1], r[2], r[6], r[7]) for r in rows]
-        assert rows_of(bam.read_bam(spark, path, first=41)) == [(r[1], r[2], r[6], r[7]) for r in rows[:41]]
+        for n in (1, 41, 99, 150):
+            assert rows_of(bam.read_bam(spark, path, first=n)) == [(r[1], r[2], r[6], r[7]) for r in rows[:n]]
         narrow = B.process_mates(bam.read_mates(spark, path), Options(bam=True))
         assert "Exchange" not in plan_of(narrow)
         by_name = B.process(bam.read_bam(spark, path), Options(bam=True))

@@ -160,12 +160,14 @@ def test_first_records_read_the_first_ranges(spark, tmp_path, monkeypatch, small
     write_fastq(tmp_path / "a.fq", rows)
     seen = []
     real = splits.counted
-    monkeypatch.setattr(splits, "counted", lambda s, r: seen.extend(r) or real(s, r))
+    monkeypatch.setattr(splits, "counted", lambda s, r, how: seen.extend(r) or real(s, r, how))
     df = fastq.read_fastq(spark, str(tmp_path / "a.fq"), first=100)
     assert [r.header for r in df.collect()] == [r[0] for r in rows[:100]]
     assert len(seen) < 10 < len(splits.cut(str(tmp_path / "a.fq"), 3000)) and "TakeOrdered" not in plan_of(df)
     assert df.rdd.getNumPartitions() < 10
     assert fastq.read_fastq(spark, str(tmp_path / "a.fq"), first=9000).count() == 3000
+    for n in (1, 777, 1500, 2900):  # ranges are counted in growing lots, of which the last may go beyond
+        assert fastq.read_fastq(spark, str(tmp_path / "a.fq"), first=n).count() == n
 
 
 # ---- runs
