@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def surrogate_key(spark: SparkSession) -> bytes:
-    """The secret from the session's settings; the synthetic tables make do with one that is none."""
-    return spark.conf.get("spark.strandline.surrogateKey", "synthetic tables only").encode()
+    """The secret from the session's settings; the synthetic tables make do with one that is none, and say so."""
+    found = spark.conf.get("spark.strandline.surrogateKey", None)
+    if found is None:
+        warnings.warn("spark.strandline.surrogateKey is not set: surrogates follow from a public key, fit for synthetic tables only", stacklevel=2)
+    return (found or "synthetic tables only").encode()
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

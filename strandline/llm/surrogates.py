@@ -16,6 +16,7 @@ A name is two entities.  Its last part is a family name, which has one replaceme
 every title; the given parts have one for each whole name, so people of one family stay apart.  The gender of given names is
 that of the list or of the titles found with the name anywhere in the table; where titles of both kinds are, it is female.
 
+* Titles may stand one after another, the first that tells a gender counts; particles such as "van der" stay as they are.
 * Numbers next to each other are told apart: a chain of digits that is no card is searched for cards, then for all else.
 * Case, spaces and punctuation of a number or name do not make another entity, nor does a genitive 's or the feminine ending of
   a Cyrillic family name; the form of each mention is kept.
@@ -69,6 +70,9 @@ SYLLABLES = {"latin": "ba ce di fo ga he ki lo ma ne po ra si to vu we".split(),
 
 TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 NAME_PART = r"\p{Lu}[\p{L}'’-]+"
+#: What stands in lower case before a family name and stays as it is; fixed values.
+PARTICLES = frozenset("van von de der den dem del della di da do dos das du la le ten ter zu zur zum bin ibn al el af av".split())
+PARTICLE = "(?:" + "|".join(sorted(PARTICLES, key=len, reverse=True)) + ") "
 #: Digits with single spaces and hyphens: a card, or several numbers that stand next to each other.
 CARD = r"(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,}(?![\w-]))"
 HEX = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
@@ -86,7 +90,8 @@ OTHERS = (
     r"|%s"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|\b(?P<title>" + TITLE + r")\.?\s(?P<name>" + NAME_PART + r"(?: " + NAME_PART + r"){0,2})"
+    r"|\b(?i:SSN|social\ssecurity(?:\s(?:number|no\.?))?)(?:\s?[:#]\s?|\s)(?P<ssn>\d{3} \d{2} \d{4}(?![\w-]))"
+    r"|\b(?P<title>(?:" + TITLE + r")(?:\.?\s(?:" + TITLE + r")(?=\.?\s))*+)\.?\s(?P<name>(?:" + PARTICLE + r"){0,3}" + NAME_PART + r"(?: (?:" + PARTICLE + r"){0,3}" + NAME_PART + r"){0,2})"
 )
 PATTERN, NO_CARD = regex.compile(OTHERS.replace("%s", CARD)), regex.compile(OTHERS.replace("%s", "(?P<card>(?!))"))
 GENITIVE = re.compile(r"(?:['’]s|['’-])$")
@@ -100,8 +105,8 @@ HINT = re.compile(r"[\d@=:]")
 RARE = (*TITLES, "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-")
 HINT_RARE = re.compile(r"\b(?:" + TITLE + r")\b|AKIA|ASIA|gh[pos]_|sk-")
 MARGIN = 128
-#: From a title, what can be a name of three parts, however long they are.
-NAMED = re.compile(r"\S*(?:\s\S*){0,3}")
+#: From a title, what can be more titles and a name of three parts with particles, however long they are.
+NAMED = re.compile(r"\S*(?:\s\S*){0,20}")
 
 
 def windows(text: str) -> list[tuple[int, int]]:
@@ -147,7 +152,9 @@ def luhn(digits: str) -> int:
 
 
 def canonical(kind: str, found: str) -> str:
-    """What makes two mentions one entity."""
+    """What makes two mentions one entity; a number of ten digits is the same with country code 1 and without."""
+    if kind == "phone" and (m := regex.fullmatch(r"\+1(\d{10})", "+" * found.startswith("+") + DIGITS.sub("", found))):
+        return m[1]
     if kind in ("card", "phone", "ssn"):
         return "+" * (kind == "phone" and found.startswith("+")) + DIGITS.sub("", found)
     if kind == "family":
@@ -243,7 +250,8 @@ def mention(m: regex.Match) -> tuple[int, int, str, str, str]:
     kind = next(k for k in KINDS if m.start(k) >= 0)
     found, gender = m.group(kind), "n"
     if kind == "name":
-        gender = TITLES.get(m.group("title"), "n")
+        told = [TITLES.get(t.rstrip("."), "n") for t in m.group("title").split()]
+        gender = next((g for g in told if g != "n"), "n")
         found = GENITIVE.sub("", found)
     return m.start(kind), m.start(kind) + len(found), "secret" if kind == "value" else kind, found, gender
 
@@ -325,10 +333,12 @@ def surrogate(kind: str, found: str, gender: str, attempt: int, key: bytes) -> s
         return like(found, body + str(luhn(body)))
     if kind == "phone":
         digits = entity.lstrip("+")
+        shown = DIGITS.sub("", found)
+        before = shown[: len(shown) - len(digits)]  # a country code that is not the entity's
         code = next((n for n in (1, 2) if digits[:n] in CODES), 3) if entity[0] == "+" else 0
         rest = len(digits) - code
         if rest == 10 and digits[:code] in ("", "1"):  # area, 555, line
-            return like(found, digits[:code] + str(2 + r.below(8)) + f"{r.below(100):02d}" + (str(200 + r.below(800)) if attempt > 2 else "555") + f"{r.below(10000):04d}")
+            return like(found, before + digits[:code] + str(2 + r.below(8)) + f"{r.below(100):02d}" + (str(200 + r.below(800)) if attempt > 2 else "555") + f"{r.below(10000):04d}")
         return like(found, digits[:code] + "".join(str(1 + r.below(9) if i == 0 else r.below(10)) for i in range(rest)))
     if kind == "ssn":
         return like(found, f"9{r.below(100):02d}{1 + r.below(99):02d}{1 + r.below(9999):04d}")
@@ -349,7 +359,7 @@ def surrogate(kind: str, found: str, gender: str, attempt: int, key: bytes) -> s
     if kind == "family":
         return family_like(r, found, 2 + attempt // 2)
     if kind == "name":
-        return " ".join(given_like(r, part, gender, attempt // 3) for part in found.split(" ")[:-1])
+        return " ".join(part if part in PARTICLES else given_like(r, part, gender, attempt // 3) for part in found.split(" ")[:-1])
     prefix = regex.match(r"AKIA|ASIA|gh[pos]_|sk-|", found).group()
     rest = found[len(prefix) :]
     return prefix + scrambled(r, rest, bool(regex.fullmatch(r"[0-9a-f]+", rest)))
@@ -382,12 +392,18 @@ def given_like(r: Stream, form: str, gender: str, n: int) -> str:
     return cased(names[r.below(len(names))] + syllables(r, script, n), form)
 
 
+def given(found: str) -> str:
+    """What stands before the family name, empty if that is particles only."""
+    before = found.rpartition(" ")[0]
+    return before if any(p not in PARTICLES for p in before.split(" ")) else ""
+
+
 def entities_of(kind: str, found: str, gender: str) -> list[tuple[str, str, str]]:
     """(kind, entity, gender) of all that a mention tells of."""
     if kind != "name":
         return [(kind, canonical(kind, found), "n")]
     family = found.rpartition(" ")[2]
-    return [("family", canonical("family", family), "n"), *([("name", canonical("name", found), gender)] if family != found else [])]
+    return [("family", canonical("family", family), "n"), *([("name", canonical("name", found), gender)] if given(found) else [])]
 
 
 def replacement(kind: str, found: str, gender: str, known: dict, key: bytes, make: Callable) -> str:
@@ -399,8 +415,8 @@ def replacement(kind: str, found: str, gender: str, known: dict, key: bytes, mak
 
     if kind != "name":
         return made(kind, found)
-    family = found.rpartition(" ")[2]
-    return " ".join([*([made("name", found, gender)] if family != found else []), made("family", family)])
+    before, _, family = found.rpartition(" ")
+    return " ".join([*([made("name", found, gender) if given(found) else before] if before else []), made("family", family)])
 
 
 def rewritten(text: str, known: dict, key: bytes, make: Callable = surrogate) -> tuple[str, list[str]]:

@@ -254,3 +254,44 @@ def test_long_conversation():
             total += fault == dialogue.CUT_OFF
     assert at == len(rows) and total == cost and re.fullmatch("s?(ua)+", "".join(r[0] for r, _ in out))
     assert hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest() == digest
+
+
+# ---- cases that were left out before
+
+
+def test_quotes_in_unquoted_values_and_formulas():
+    from strandline.llm import pages
+
+    def text(html):
+        return pages.chosen(pages.blocks(html), None, pages.RUN)
+
+    assert text("<article><p data-x=it's>alpha beta</p><p>gamma isn't delta</p></article>") == "alpha beta\ngamma isn't delta"
+    assert text('<article><p title="a > b" id=x=\'y>one</p><p \'"z>two</p><a href=/q?a="b>three</a></article>') == "one\ntwo\nthree"
+    assert text("<article><p>when <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>") == "when x=2 holds"
+    assert text('<article><p class="unclosed>one</p><p>two</p></article>') == "one\ntwo"
+    assert text("<article><p>fine</p><div class='ad-box'>buy</div></article>") == "fine"
+
+
+def test_stacked_titles_particles_and_one_number_in_two_forms():
+    from strandline.llm import surrogates as S
+
+    key = b"k"
+    swap = lambda t: S.rewritten(t, {}, key)[0]
+    out = swap("Prof. Dr. Anna Schmidt said. Frau Dr. Anna Schmidt agreed, and Dr Schmidt left.")
+    assert "Anna" not in out and "Schmidt" not in out and out.startswith("Prof. Dr. ") and "Frau Dr. " in out
+    first, second, third = re.match(r"Prof\. Dr\. (.+) said\. Frau Dr\. (.+) agreed, and Dr (.+) left", out).groups()
+    assert first == second and third == first.split()[1]
+    out = swap("Mr. van der Berg met Mrs. Anna van der Berg and Herr von Stein.")
+    assert "Mr. van der " in out
+    assert not re.search("Berg|Anna|Stein", out) and re.search(r"Mrs\. \w+ van der \w+ and Herr von \w+\.", out)
+    out = swap("SSN 123 45 6789, Social Security number: 123 45 6789, SSN: 123-45-6789; 123 45 6789 alone stays")
+    found = re.findall(r"\d{3}[ -]\d{2}[ -]\d{4}", out)
+    assert found[3] == "123 45 6789" and len({re.sub("[ -]", "", x) for x in found[:3]}) == 1 and found[0] != "123 45 6789"
+    out = swap("call +1 212 555 0100 or 212-555-0100 or (212) 555-0100, not +44 20 7946 0958")
+    a, b, c = re.search(r"call \+1 (\d{3} \d{3} \d{4}) or (\S+) or (\(\d{3}\) \S+),", out).groups()
+    assert len({re.sub(r"\D", "", x) for x in (a, b, c)}) == 1 and "212" not in a and "+44 " in out and "7946" not in out
+
+
+def test_public_key_is_told(spark):
+    with pytest.warns(UserWarning, match="public key"):
+        queries.surrogate_key(spark)
