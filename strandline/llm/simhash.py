@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .graph import components
 from .util import cut, fresh, join_hot, session, small_batches
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
 
 def keep_one(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """One row of each group of near-duplicates, here by the similarity of ``jaccard``: that of the least doc_id (of rows that
-    share it, that of the least text hash); same columns."""
+    share it, that of the least text hash, and of those the one of the least hash over all columns but maps); same columns."""
     from .jaccard import groups
 
     key, no, row, pick = fresh(docs, "text_key", "no_doc", "row", "pick")
@@ -302,4 +303,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFr
     keys = lambda doc, h: [doc.isNull().alias(no), F.coalesce(doc.cast("string"), F.lit("")).alias(row), h.alias(key)]
     best = best.select(*keys(F.col(f"{pick}.id"), F.col(f"{pick}.h")))
     keyed = docs.select("*", *keys(F.col(doc), F.coalesce(F.xxhash64(text), F.lit(0))))
-    return keyed.join(best, [no, row, key], "left_semi").dropDuplicates([no, row, key]).select(*docs.columns)
+    # of rows that differ in other columns only, the one of the least hash over these, so that reruns agree
+    told = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)])
+    one = keyed.join(best, [no, row, key], "left_semi").groupBy(no, row, key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), told).alias(pick))
+    return one.select(f"{pick}.*")

@@ -295,3 +295,28 @@ def test_stacked_titles_particles_and_one_number_in_two_forms():
 def test_public_key_is_told(spark):
     with pytest.warns(UserWarning, match="public key"):
         queries.surrogate_key(spark)
+
+
+def test_keep_one_is_the_same_however_rows_lie(spark):
+    from strandline.llm import simhash
+
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, lang, {"k": lang}) for lang in "xyzuvw"] + [(2, text + " end", "x", None), (3, "else entirely", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, more map<string,string>")
+    got = [sorted(map(repr, simhash.keep_one(df.repartition(n)).collect())) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2
+
+
+def test_hot_nodes_are_dealt(spark, monkeypatch):
+    """The sets of a node that stands in most pairs reach all of them, whichever task does them."""
+    from strandline.llm import jaccard
+    from strandline.llm.util import cut
+
+    monkeypatch.setattr(jaccard, "SALTS", 8)
+    sets = cut(spark.createDataFrame([(k, [1, 2, 3, 4, k + 100] if k % 2 else [1, 2, 3, 4, 5, 6, 7, k + 100]) for k in range(300)], "node long, shingles array<long>"))
+    pairs = [(0, k) for k in range(1, 300)] + [(k, 299) for k in range(1, 299)] + [(4, 6), (5, 7)]
+    stored = cut(spark.createDataFrame(pairs, "a long, b long"))
+    assert {r.node for r in jaccard.hot_nodes(stored, "a").collect()} == {0} and {r.node for r in jaccard.hot_nodes(stored, "b").collect()} == {299}
+    whole = {r.node: set(r.shingles) for r in sets.collect()}
+    want = {(a, b) for a, b in pairs if len(whole[a] & whole[b]) >= jaccard.LEAST * len(whole[a] | whole[b])}
+    assert {tuple(r) for r in jaccard.verified(stored, sets).collect()} == want
