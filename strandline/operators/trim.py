@@ -1,77 +1,81 @@
-"""Trimming of single reads and merging of pairs, as one Arrow function each; other columns never leave the JVM."""
+"""Trimming of single reads and merging of pairs: likelihoods in one Arrow function each, keys, cuts and codes by column functions;
+what the kernel does not need never leaves the JVM."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MIN_LENGTH, Options
+from ..functions.sequence import col, edits
 from . import kernel as K
 
-RESULT = "code string, seq string, qual string, cut int, s1 string, q1 string, s2 string, q2 string"
-RESULT_TYPE = pa.struct([("code", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("cut", pa.int32()), *((n, pa.string()) for n in ("s1", "q1", "s2", "q2"))])
-CELLS = 1 << 23  # bases of a batch's matrices
+CELLS = 1 << 22  # bases of a batch's matrices
 CANDIDATES = "best int, second int, best_ll double, second_ll double, matches int"
 CANDIDATES_TYPE = pa.struct([("best", pa.int32()), ("second", pa.int32()), ("best_ll", pa.float64()), ("second_ll", pa.float64()), ("matches", pa.int32())])
 
 
-def edits(seq: str, key: str) -> int:
-    """Difference in length and mismatches over the shared prefix, but where the key is N."""
-    return abs(len(seq) - len(key)) + sum(a != b and b != "N" for a, b in zip(seq, key))
-
-
-def single_key(s: str, q: str, key: str, missing: bool) -> tuple[str, str] | None:
-    n = len(key)
-    if s[:n] == key or missing and edits(s[:n], key) == 1:
-        return s[n:], q[n:]
-    if missing and s[: n - 1] == key[1:]:
-        return s[n - 1 :], q[n - 1 :]
-    return None
-
-
-def pair_key(s1: str, q1: str, s2: str, q2: str, keys: tuple[str, str], missing: bool) -> tuple[str, str, str, str] | None:
-    k1, k2 = keys
-    n1, n2 = len(k1), len(k2)
-    e1, e2 = edits(s1[:n1], k1), edits(s2[:n2], k2)
-    if e1 == e2 == 0 or missing and e1 + e2 == 1:
-        return s1[n1:], q1[n1:], s2[n2:], q2[n2:]
-    if missing and s1[: n1 - 1] == k1[1:] and s2[:n2] == k2:
-        return s1[n1 - 1 :], q1[n1 - 1 :], s2[n2:], q2[n2:]
-    if missing and s1[:n1] == k1 and s2[: n2 - 1] == k2[1:]:
-        return s1[n1:], q1[n1:], s2[n2 - 1 :], q2[n2 - 1 :]
-    return None
-
-
-def inner_key(s: str, q: str, key: str, missing: bool) -> tuple[str, str, str]:
-    """(code, sequence, quality) of a trimmed or merged sequence."""
-    n = len(key)
-    if not n or len(s) <= n:
-        return " ", s, q
-    if s[:n] == key or missing and edits(s[:n], key) == 1:
-        return " ", s[n:], q[n:]
-    return "K", s, q
-
-
-class Outcome(NamedTuple):
-    """code, new sequence and quality (empty if none), cut (-1 if none), and the reads after their keys."""
-
-    code: str = " "
-    seq: str = ""
-    qual: str = ""
-    cut: int = -1
-    s1: str | None = None
-    q1: str | None = None
-    s2: str | None = None
-    q2: str | None = None
-
-
-def columns(rows: list[Outcome]) -> pa.StructArray:
-    parts = list(zip(*rows)) or [()] * len(Outcome._fields)
-    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(parts, RESULT_TYPE)], Outcome._fields)
+def starts(seq: Column, key: str, missing: bool) -> Column:
+    """Whether a sequence begins with a key, with one difference if that is allowed."""
+    head = F.substring(seq, 1, len(key))
+    return (head == key) | (edits(head, F.lit(key)) == 1) if missing else head == key
+
+
+def key_single(seq: Column, o: Options) -> Column | None:
+    """How many bases the key of a single read takes, null if it is not there; None without a key."""
+    key, missing = o.key_pair[0], o.allow_missing
+    if not key:
+        return None
+    n = F.when(starts(seq, key, missing), len(key))
+    return n.when(F.substring(seq, 1, len(key) - 1) == key[1:], len(key) - 1) if missing else n
+
+
+def key_pair(one: Column, two: Column, o: Options) -> tuple[Column, Column] | None:
+    """The same of both mates: both keys as they are, or one of them with one difference or without its first base."""
+    (k1, k2), missing = o.key_pair, o.allow_missing
+    if not k1:
+        return None
+    e1, e2 = edits(F.substring(one, 1, len(k1)), F.lit(k1)), edits(F.substring(two, 1, len(k2)), F.lit(k2))
+    whole = (e1 == 0) & (e2 == 0)
+    first, second = F.when(one == "", 0), F.when(one == "", 0)  # a pair without bases has no key to miss
+    if missing:
+        whole = whole | (e1 + e2 == 1)
+    first, second = first.when(whole, len(k1)), second.when(whole, len(k2))
+    if missing:
+        short1 = (F.substring(one, 1, len(k1) - 1) == k1[1:]) & (F.substring(two, 1, len(k2)) == k2)
+        short2 = (F.substring(one, 1, len(k1)) == k1) & (F.substring(two, 1, len(k2) - 1) == k2[1:])
+        first = first.when(short1, len(k1) - 1).when(short2, len(k1))
+        second = second.when(short1, len(k2)).when(short2, len(k2) - 1)
+    return first, second
+
+
+def behind(c: Column, skip: Column | None) -> Column:
+    return c if skip is None else F.substring(c, skip + 1, F.length(c))
+
+
+def result(raw: Column, seq: Column, qual: Column, reads: dict[str, tuple[Column, Column]], lost: Column | None, o: Options, single: bool) -> Column:
+    """code, seq, qual, cut and the reads after their keys.
+
+    raw: what the kernel tells (chimera, cut); seq, qual: the new sequence where there is a cut; reads: each with and without its key;
+    lost: whether a key is not there.  An inner key is looked for in new sequences that are longer than it.
+    """
+    lost = F.lit(False) if lost is None else lost
+    new = ~lost & (raw["cut"] >= 0)
+    seq, qual = F.when(new, seq).otherwise(""), F.when(new, qual).otherwise("")
+    code = F.when(lost, "K").when(raw["chimera"], "D")
+    if n := len(o.ikey):
+        long, there = new & (F.length(seq) > n), starts(seq, o.ikey, o.allow_missing)
+        code = code.when(long & ~there, "K")
+        seq, qual = (F.when(long & there, F.substring(c, n + 1, F.length(c))).otherwise(c) for c in (seq, qual))
+    if single:
+        short = new & code.isNull() & (F.length(seq) < MIN_LENGTH)
+        code, seq, qual = code.when(short, "D"), F.when(short, "").otherwise(seq), F.when(short, "").otherwise(qual)
+    fields = {n: F.when(lost, whole).otherwise(kept) for n, (whole, kept) in reads.items()}
+    none = F.lit(None).cast("string")
+    both = [fields.get(n, none).alias(n) for n in ("s1", "q1", "s2", "q2")]
+    return F.struct(F.coalesce(code, F.lit(" ")).alias("code"), seq.alias("seq"), qual.alias("qual"), F.when(new, raw["cut"]).otherwise(-1).alias("cut"), *both)
 
 
 def by_length(f, *cols: list) -> list:
@@ -94,83 +98,57 @@ def by_length(f, *cols: list) -> list:
     return out
 
 
-def run_single(seqs: list[str], quals: list[str], o: Options) -> list[Outcome]:
-    key, out, live = o.key_pair[0], [], []
-    cut_s, cut_q = [], []
-    for k, (s, q) in enumerate(zip(seqs, quals)):
-        kept = single_key(s, q, key, o.allow_missing) if key else (s, q)
-        out.append(Outcome("K", s1=s, q1=q) if kept is None else None)
-        if kept is not None:
-            live.append(k)
-            cut_s.append(kept[0])
-            cut_q.append(kept[1])
-    reads = K.Reads(cut_s, cut_q, o.offset)
-    best, bad = K.scan_single(reads, o), K.chimeric(reads, o)
-    sure = best.sure()
-    for i, k in enumerate(live):
-        s, q = cut_s[i], cut_q[i]
-        if bad[i]:
-            out[k] = Outcome("D", s1=s, q1=q)
-        elif sure[i]:
-            x = int(best.x[i])
-            code, seq, qual = inner_key(s[:x], q[:x], o.ikey, o.allow_missing)
-            if code == " " and len(seq) < MIN_LENGTH:
-                code, seq, qual = "D", "", ""
-            out[k] = Outcome(code, seq, qual, x, s, q)
-        else:
-            out[k] = Outcome(s1=s, q1=q)
-    return out
-
-
-def run_pairs(record: list[int], s1: list[str], q1: list[str], s2: list[str], q2: list[str], o: Options) -> list[Outcome]:
-    out, live, kept = [], [], []
-    for k, four in enumerate(zip(s1, q1, s2, q2)):
-        got = pair_key(*four, o.key_pair, o.allow_missing) if o.key_pair[0] and four[0] else four
-        out.append(Outcome("K", s1=four[0], q1=four[1], s2=four[2], q2=four[3]) if got is None else None)
-        if got is not None:
-            live.append(k)
-            kept.append(got)
-    one = K.Reads([r[0] for r in kept], [r[1] for r in kept], o.offset)
-    two = K.Reads([r[2] for r in kept], [r[3] for r in kept], o.offset)
-    bad, best = K.chimeric(one, o), K.scan_pairs(one, two, o)
-    sure = best.sure(o.min_overlap) & ~bad
-    merged = K.consensus(one, two.turned(), np.where(sure, best.x, 0), np.array([record[k] for k in live], np.int64), o)
-    for i, k in enumerate(live):
-        a, b, c, d = kept[i]
-        if bad[i]:
-            out[k] = Outcome("D", s1=a, q1=b, s2=c, q2=d)
-        elif sure[i]:
-            code, seq, qual = inner_key(*merged[i], o.ikey, o.allow_missing)
-            out[k] = Outcome(code, seq, qual, int(best.x[i]), a, b, c, d)
-        else:
-            out[k] = Outcome(s1=a, q1=b, s2=c, q2=d)
-    return out
-
-
 def texts(a: pa.Array) -> list[str]:
     return [x or "" for x in a.to_pylist()]
 
 
-def trimmed(seq: Column | str, qual: Column | str, o: Options) -> Column:
-    """RESULT of single reads."""
+def struct_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds.values())], list(kinds))
 
-    @F.arrow_udf(RESULT)
-    def run(s: pa.Array, q: pa.Array) -> pa.Array:
-        return columns(by_length(lambda a, b: run_single(a, b, o), texts(s), texts(q)))
 
-    return run(seq, qual)
+def trimmed(seq: Column | str, qual: Column | str, o: Options) -> Column:
+    """The result of single reads: keys and cuts by column functions, only likelihoods in numpy."""
 
+    @F.arrow_udf("chimera boolean, cut int")
+    def score(s: pa.Array, q: pa.Array) -> pa.Array:
+        def run(a: list[str], b: list[str]) -> list[tuple]:
+            reads = K.Reads(a, b, o.offset)
+            best, bad = K.scan_single(reads, o), K.chimeric(reads, o)
+            return list(zip(bad.tolist(), np.where(best.sure() & ~bad, best.x, -1).tolist()))
 
-def merged(record, s1, q1, s2, q2, o: Options) -> Column:
-    """RESULT of read pairs; record only settles ties of bases."""
+        return struct_of(by_length(run, texts(s), texts(q)), {"chimera": pa.bool_(), "cut": pa.int32()})
+
+    s, q = (F.coalesce(col(c), F.lit("")) for c in (seq, qual))
+    skip = key_single(s, o)
+    ks, kq = behind(s, skip), behind(q, skip)
+    raw = score(ks, kq)
+    head = lambda c: F.substring(c, F.lit(1), raw["cut"])
+    return result(raw, head(ks), head(kq), {"s1": (s, ks), "q1": (q, kq)}, None if skip is None else skip.isNull(), o, True)
 
-    @F.arrow_udf(RESULT)
-    def run(r: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        one, q1, two, q2 = map(texts, (a, b, c, d))
-        longest = [x if len(x) > len(y) else y for x, y in zip(one, two)]
-        return columns(by_length(lambda _, *five: run_pairs(*five, o), longest, r.to_pylist(), one, q1, two, q2))
 
-    return run(record, s1, q1, s2, q2)
+def merged(record, s1, q1, s2, q2, o: Options) -> Column:
+    """The result of read pairs; record only settles ties of bases."""
+
+    @F.arrow_udf("chimera boolean, cut int, seq string, qual string")
+    def score(r: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        def run(_: list[str], record: list[int], *four: list[str]) -> list[tuple]:
+            one, two = K.Reads(*four[:2], o.offset), K.Reads(*four[2:], o.offset)
+            bad, best = K.chimeric(one, o), K.scan_pairs(one, two, o)
+            cut = np.where(best.sure(o.min_overlap) & ~bad, best.x, -1)
+            made = K.consensus(one, two.turned(), np.maximum(cut, 0), np.array(record, np.int64), o)
+            return [(x, y, *z) for x, y, z in zip(bad.tolist(), cut.tolist(), made)]
+
+        four = [texts(x) for x in (a, b, c, d)]
+        longest = [x if len(x) > len(y) else y for x, y in zip(four[0], four[2])]
+        kinds = {"chimera": pa.bool_(), "cut": pa.int32(), "seq": pa.string(), "qual": pa.string()}
+        return struct_of(by_length(run, longest, r.to_pylist(), *four), kinds)
+
+    whole = [F.coalesce(col(c), F.lit("")) for c in (s1, q1, s2, q2)]
+    skips = key_pair(whole[0], whole[2], o)
+    kept = [behind(c, skips[k // 2] if skips else None) for k, c in enumerate(whole)]
+    raw = score(col(record), *kept)
+    reads = dict(zip(("s1", "q1", "s2", "q2"), zip(whole, kept)))
+    return result(raw, raw["seq"], raw["qual"], reads, skips[0].isNull() if skips else None, o, False)
 
 
 def unpacked(best: K.Best) -> list[tuple]:
