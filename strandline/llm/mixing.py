@@ -40,10 +40,16 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 EPS = 1e-9
 LP_STEPS = 2000
 LONG = 1 / 2  # of the words expected from a block
+FEW_SOURCES = 100_000  # so many targets are broadcast
 NEAR = 0.002  # of a source's target, by which a landing may miss
 UNITS = "id long, text long, source string, size long, target double, p double, taken int, open boolean"
 
 
+def word_count(text: str) -> Column:
+    """Words of a text, none for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """source, size -> source, source_size, target.  One row for each source; only these meet in one task."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -204,10 +210,10 @@ def unit_columns(doc: str, text: str, source: str) -> list[Column]:
 
 def plan(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, units): rows of docs as id, text, source, size; units with source_size, target and copies."""
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(*unit_columns(doc, text, source), size.alias("size")))
-    due = targets(rows).withColumnRenamed("source", "_s")
+    rows = cut(docs.select(*unit_columns(doc, text, source), word_count(text).alias("size")))
+    due = cut(targets(rows).withColumnRenamed("source", "_s"), "targets")
     units = rows.groupBy("id", "text", "source").agg(F.sum("size").alias("size"))
+    due = F.broadcast(due) if due.count() <= FEW_SOURCES else due
     units = units.join(due, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = units.withColumn("whole", F.floor(rate + EPS).cast("int")).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))

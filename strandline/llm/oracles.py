@@ -53,6 +53,20 @@ FROM (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> '')
 """
 
 
+#: Sources are filled one by one in the order of cap over weight; the level at the first that is not full holds for it and the rest.
+MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM d GROUP BY source),
+o AS (SELECT *, 3 * source_size AS most, 3.0 * source_size / w AS ratio, row_number() OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST) AS n FROM s),
+l AS (
+  SELECT a.n, ((SELECT sum(source_size) FROM s) - coalesce(sum(b.most), 0)) / ((SELECT sum(w) FROM s) - coalesce(sum(b.w), 0)) AS level
+  FROM o a LEFT JOIN o b ON b.n < a.n GROUP BY a.n),
+f AS (SELECT level FROM l JOIN o USING (n) WHERE level <= ratio ORDER BY n LIMIT 1)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(least(CAST(most AS DOUBLE), w * level), 4) AS target
+FROM d JOIN o ON o.source IS NOT DISTINCT FROM d.source, f
+"""
+
+
 #: rollup_of_words: what is left after the three batches, counted at once.
 OP5 = r"""
 WITH l AS (SELECT doc_id, bool_or(toxic = 1) AS toxic, bool_or(quality = 0) AS poor FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
@@ -106,4 +120,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_main_text": OP1, "op4_decontamination": OP4, "rollup_of_words": OP5, "op9_url_rules": OP9, "op11_filter_audit": OP11, "op12_exact_dedup": OP12}
+    return {"op1_main_text": OP1, "op4_decontamination": OP4, "rollup_of_words": OP5, "mix_targets": MIX, "op9_url_rules": OP9, "op11_filter_audit": OP11, "op12_exact_dedup": OP12}

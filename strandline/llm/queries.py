@@ -95,6 +95,13 @@ def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix owes each document's source, which SQL can tell too; the draws it cannot."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    due = mixing.targets(sizes).withColumnRenamed("source", "of")
+    return sizes.join(F.broadcast(due) if due.count() <= mixing.FEW_SOURCES else due, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(urls, url_rules.rules_frame(spark, URL_RULES)).drop("url")
@@ -135,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_surrogates": op6_surrogates,
         "op7_deleted_interpolation": op7_deleted_interpolation,
         "op8_cube_mix": op8_cube_mix,
+        "mix_targets": mix_targets,
         "op9_url_rules": op9_url_rules,
         "op10_toxicity": op10_toxicity,
         "op11_filter_audit": op11_filter_audit,

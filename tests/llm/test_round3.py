@@ -22,7 +22,7 @@ def plain(rows):
     return sorted((tuple(r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_exact_dedup"])
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_exact_dedup", "mix_targets"])
 def test_query_against_sql(spark, name):
     df = queries.queries()[name](spark, SF)
     con = duckdb.connect()
@@ -259,6 +259,17 @@ def test_long_conversation():
 # ---- cases that were left out before
 
 
+def test_every_source_comes_near_its_target(spark):
+    """50 documents a source, some with half of its words, at sf0.01."""
+    got = queries.op8_cube_mix(spark, "/root/testdata/sf0.01").collect()
+    taken, due = collections.Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        due[r.source] = r.target
+        assert r.taken <= 3 * r["size"]
+    assert len(due) == 20 and all(abs(taken[s] - due[s]) < 0.01 * due[s] for s in due)
+
+
 def test_quotes_in_unquoted_values_and_formulas():
     from strandline.llm import pages
 
