@@ -14,7 +14,7 @@ from ..operators import infer as I
 from ..operators import tally as R
 from ..operators import trim as T
 from ..operators import umi as U
-from ..sources import bam, fastq
+from ..sources import bam, fastq, splits
 
 
 def process(reads: DataFrame, o: Options, paired: bool) -> DataFrame:
@@ -67,7 +67,7 @@ def run_fastq(
     paired = fq2 is not None
     if bool(out) == bool(interleaved):
         raise OptionError("either routes or one interleaved output")
-    in_order = fastq.direct(fq1, *([fq2] if paired else []))
+    in_order = splits.direct(spark, fq1, *([fq2] if paired else []))
     if o.auto and paired:
         o = I.infer_adapters(fastq.read_paired(spark, fq1, fq2, head=I.FIRST), o, first=None)
     reads = fastq.read_paired(spark, fq1, fq2) if paired else fastq.read_single(spark, fq1)
@@ -94,7 +94,7 @@ def run_bam(spark: SparkSession, o: Options, path: str, out: str, log: str | Non
     header, references = bam.read_header(spark, path)
     header = bam.add_program(header)
     strays = 1
-    if bam.direct(path):
+    if splits.direct(spark, path):
         told = Observation("tally")
         done = B.process_mates(bam.read_mates(spark, path), o).observe(told, F.count_if("stray").alias("strays"), *R.counts())
         bam.write_bam(done, out, header, references, o.uncompressed, in_order=True)

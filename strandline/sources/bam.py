@@ -458,6 +458,7 @@ def packed(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def loaded(spark: SparkSession, path: str, mates: bool, first: int | None = None) -> DataFrame:
+    path = ranges.qualified(spark, path)
     most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     share = sum(n for _, n in ranges.files(path)) // (2 * spark.sparkContext.defaultParallelism)
     size = min(most, max(share, LEAST))
@@ -469,11 +470,6 @@ def loaded(spark: SparkSession, path: str, mates: bool, first: int | None = None
     return spark.read.format("bam").option("plan", json.dumps(todo)).option("mates", str(mates).lower()).load()
 
 
-def direct(path: str) -> bool:
-    """Whether tasks can open the path, so that records come in the file's order without a shuffle."""
-    return ranges.opened(path) is not None
-
-
 def read_mates(spark: SparkSession, path: str) -> DataFrame:
     """a, b: mates that are neighbours as one row, in the file's order, without a shuffle; b is null for other records."""
     return loaded(spark, path, True)
@@ -482,7 +478,7 @@ def read_mates(spark: SparkSession, path: str) -> DataFrame:
 def read_bam(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """Records of one file or of all in a folder, by name; rec_idx is the range's number and the place in it.  ``first``: only so
     many records, for which no more ranges are read than hold them."""
-    if direct(path):
+    if ranges.direct(spark, path):
         return loaded(spark, path, False, first)
     records = read_text(spark, path)
     return records if first is None else records.orderBy("rec_idx").limit(first)
@@ -552,8 +548,8 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, bytes]:
     """Header text and reference table of the first file; only its first blocks are read."""
-    if direct(path):
-        file, size = ranges.files(path)[0]
+    if ranges.direct(spark, path):
+        file, size = ranges.files(ranges.qualified(spark, path))[0]
         return header_dropped(ranges.Buffer(ranges.Range(file, ranges.kind_of(file), 0, size)))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop
     first = hadoop.fs.Path(spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0])

@@ -74,12 +74,11 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(loose(first, held))
 
 
-def direct(*paths: str) -> bool:
-    """Whether tasks can open all of these, so that rows come in the files' order without a shuffle."""
-    return all(splits.opened(p) for p in paths)
+def listed(path: str | list[str]) -> list[str]:
+    return [path] if isinstance(path, str) else path
 
 
-def grain(spark: SparkSession, *paths: str) -> tuple[int, int]:
+def grain(spark: SparkSession, *paths: list[str]) -> tuple[int, int]:
     """Bytes of a range that is counted, and of a task: of small files enough for all cores, never above Spark's own limit."""
     most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     share = max(sum(n for _, n in splits.files(p)) for p in paths) // (2 * spark.sparkContext.defaultParallelism)
@@ -100,11 +99,12 @@ def read_fastq(spark: SparkSession, path: str | list[str], numbered: bool = True
     range; else the range's number and the place in it.  ``first``: only so many records, for which no more ranges are
     read than hold them.  A file that is cut off, or whose third lines lack the +, is an error.
     """
-    if not direct(*([path] if isinstance(path, str) else path)):
+    paths = [splits.qualified(spark, p) for p in listed(path)]
+    if not splits.direct(spark, *paths):
         lines = read_lines(spark, path)
         return lines if first is None else lines.orderBy("rec_idx").limit(first)
-    fine, task = grain(spark, path)
-    ranges = splits.cut(path, fine)
+    fine, task = grain(spark, paths)
+    ranges = splits.cut(paths, fine)
     if numbered or first is not None:
         ranges = splits.count(spark, ranges, first)
     plan = []
@@ -194,11 +194,12 @@ def read_paired(spark: SparkSession, first: str | list[str], second: str | list[
 
     Records are counted by range, then each task reads the same records of both files, so nothing is shuffled.
     """
-    if not direct(*(p for ps in (first, second) for p in ([ps] if isinstance(ps, str) else ps))):
+    mates = [[splits.qualified(spark, p) for p in listed(x)] for x in (first, second)]
+    if not splits.direct(spark, *mates[0], *mates[1]):
         both = zip_pairs(read_fastq(spark, first), read_fastq(spark, second))
         return both if head is None else both.orderBy("rec_idx").limit(head)
-    fine, task = grain(spark, first, second)
-    one, two = (splits.count(spark, splits.cut(p, fine), head) for p in (first, second))
+    fine, task = grain(spark, *mates)
+    one, two = (splits.count(spark, splits.cut(p, fine), head) for p in mates)
     return named_pairs(loaded(spark, aligned(one, two, task, head), pairs=True))
 
 
@@ -216,7 +217,8 @@ def saved(lines: DataFrame, paths: dict[str, str], in_order: bool, single: bool)
     """Routes to their paths in one job; rows that do not come in order are sorted first."""
     if not in_order:
         lines = lines.repartitionByRange("rec_idx").sortWithinPartitions("rec_idx", "mate")
-    if not direct(*paths.values()):
+    paths = {route: splits.qualified(lines.sparkSession, p) for route, p in paths.items()}
+    if not splits.direct(lines.sparkSession, *paths.values()):
         if single:
             raise ValueError("single files are written where tasks can open files")
         lines = lines.persist()  # Spark's writer takes one route at a time

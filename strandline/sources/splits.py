@@ -52,6 +52,20 @@ def opened(path: str) -> tuple[pafs.FileSystem, str] | None:
         return None
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: without one it lies where the cluster keeps its files, which need not be this machine's disk."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) or any(c in path for c in "*?{["):
+        return path
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
+def direct(spark: SparkSession, *paths: str) -> bool:
+    """Whether tasks can open all of these, so that rows come in the files' order without a shuffle."""
+    return all(opened(qualified(spark, p)) for p in paths)
+
+
 def files(path: str | list[str]) -> list[tuple[str, int]]:
     """Name and size of a file, or of all in a folder but hidden ones, by name; of a list of these, one after the other."""
     if not isinstance(path, str):

@@ -58,6 +58,7 @@ def mates(names: list[str]) -> tuple[list[str], list[str], list[str]]:
 
 def run_batch(spark: SparkSession, o: Options, arrived: list[str], batch: int, out: str, paired: bool) -> dict:
     """One batch; returns what its file tells."""
+    out = splits.qualified(spark, out)
     if (before := state(out, batch)) is not None:
         return before
     last = state(out, batch - 1) if batch else {"next": 0, "waiting": []}
@@ -83,7 +84,7 @@ def watch(spark: SparkSession, o: Options, source: str, out: str, checkpoint: st
     before their ending, as in ``a_1.fq.gz`` and ``a_R2.fastq``; the batch in which the second of two arrives does both."""
     if o.auto:
         raise OptionError("adapters are inferred over a table, not over a stream")
-    if not fastq.direct(source, out):
+    if not splits.direct(spark, source, out):
         raise OptionError("a stream of files wants a folder that tasks can open")
     # names only: the files' contents are read by range, in the batch
     found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")

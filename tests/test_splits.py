@@ -125,7 +125,8 @@ def test_text_reader_agrees(spark, tmp_path, monkeypatch, small):
     """What only Spark can open, here a pattern, comes through its reader of texts."""
     rows = many(300)
     forms(tmp_path, rows, monkeypatch)
-    assert not fastq.direct(str(tmp_path / "plai?.fq")) and not fastq.direct("ofs://x/y.fq")
+    assert not splits.direct(spark, str(tmp_path / "plai?.fq")) and not splits.direct(spark, "ofs://x/y.fq")
+    assert splits.qualified(spark, "/a/b") == "file:/a/b" and splits.qualified(spark, "s3://a/b") == "s3://a/b"
     got = fastq.read_fastq(spark, str(tmp_path / "plai?.fq")).orderBy("rec_idx").collect()
     assert [(r.header, r.seq, r.qual) for r in got] == rows
 
