@@ -19,7 +19,8 @@ Counts are exact, over all whole training texts.  A word is known by its 64-bit
 0.03 pairs are expected to coincide.  A frequent word is one entry in a chunk, so no word is hot; buckets hold words, not tokens.
 
 Buckets and tasks are as many as a quarter of the chunks, at least the session's shuffle partitions, so what one of them holds
-stays the same as the corpus grows: about four chunks' words, pairs or answers.
+stays the same as the corpus grows: about four chunks' words, pairs or answers.  Beyond ``DIRECT`` buckets chunks reach them in two
+steps (``Ways``), so the packets do not grow with the square of the corpus.
 
 * Null and empty texts are one end token; very long ones are one chunk's and scored whole.  Documents without an id train and are
   not held out.  Rows that repeat each count.  Ties do not arise.  An empty table gives an empty result; other columns, whatever
@@ -29,8 +30,6 @@ stays the same as the corpus grows: about four chunks' words, pairs or answers.
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,6 +46,7 @@ from .util import cut, encode_words, session, small_batches
 
 CHUNK = 1_000_000
 SHARE = 4  # chunks to a bucket or task
+DIRECT = 256  # buckets that every chunk sends to itself
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 0))  # no word holds a space or is led by a zero byte alone
 CONTEXTS = 40  # buckets of c(h): 0, 1, 2-3, 4-7, ...
 STEPS = 8  # histogram bins for a factor of two
@@ -165,33 +165,83 @@ ASKED = "part int, chunk long, keys binary, counts binary"
 ANSWER = "chunk long, part int, totals binary, n long, v long"
 
 
-def deal(chunk: int, keys: np.ndarray, counts: np.ndarray, parts: int, bits: int) -> tuple[list, np.ndarray]:
+class Ways:
+    """How chunks reach the buckets: in one step while these are at most ``direct``, else in two.
+
+    In two steps a chunk sends to ``first`` wide buckets only.  A cell has what ``per_group`` chunks sent to one wide bucket; it adds
+    that up and sends the sums on to the ``fine`` buckets of its own, whose answers it hands back to its chunks.  With as many wide
+    buckets as the root of all buckets a chunk sends that many packets, and a cell as many again, so packets grow with the chunks'
+    power of 1.5, not with their square; cells and buckets still hold about ``SHARE`` chunks' worth.
+    """
+
+    def __init__(self, chunks: int, least: int, direct: int):
+        self.buckets = max(least, -(-chunks // SHARE))
+        self.two = self.buckets > direct
+        self.first = max(1, round(self.buckets**0.5)) if self.two else self.buckets
+        self.fine = -(-self.buckets // self.first)
+        self.buckets = self.first * self.fine
+        self.groups = max(1, -(-chunks // (SHARE * self.first)))
+
+    def cell(self) -> Column:
+        return F.col("part").cast("long") * self.groups + F.pmod(F.xxhash64("chunk"), F.lit(self.groups))
+
+
+def deal(chunk: int, keys: np.ndarray, told: np.ndarray, parts: int, bits: int) -> tuple[list, np.ndarray]:
     """Rows for the buckets, by the keys' leading bits, and the order in which answers come back."""
     order = np.argsort(keys, kind="stable")
-    k, c = keys[order], counts[order]
+    k, c = keys[order], told[order]
     part = ((k >> np.uint64(bits - 24)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-    edges = np.searchsorted(part, np.arange(parts + 1))
-    return [(p, chunk, pack_sorted(k[a:b]), pack(c[a:b])) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a], order
+    held, at = np.unique(part, return_index=True)
+    return [(int(p), chunk, pack_sorted(k[a:b]), pack(c[a:b])) for p, a, b in zip(held, at, np.append(at[1:], len(k)))], order
 
 
-def add_up(group: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: twice the total of each asked key, and one more if several chunks asked, by chunk."""
+def added(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of some packets, what is told of each, and where each packet's keys stand among them.
+
+    Told is twice the training count, and one more if several chunks hold the key, if only in held-out documents.
+    """
     keys = [unpack_sorted(b) for b in group["keys"]]
-    counts = [unpack(b) for b in group["counts"]]
-    all_keys = np.concatenate(keys)
-    distinct, back = np.unique(all_keys, return_inverse=True)
-    total = np.bincount(back, np.concatenate(counts).astype(np.float64), len(distinct)).astype(np.uint64)
-    edges = np.cumsum([0] + [len(k) for k in keys])
-    # one bit tells whether another chunk holds the key, if only in held-out documents
-    told = total * np.uint64(2) + (np.bincount(back, minlength=len(distinct)) > 1).astype(np.uint64)
-    out = pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "totals": [pack(told[back[a:b]]) for a, b in zip(edges[:-1], edges[1:])]})
+    told = np.concatenate([unpack(b) for b in group["counts"]])
+    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(back, (told >> np.uint64(1)).astype(np.float64), len(distinct)).astype(np.uint64)
+    several = (np.bincount(back, minlength=len(distinct)) > 1) | (np.bincount(back, (told & np.uint64(1)).astype(np.float64), len(distinct)) > 0)
+    return distinct, total * np.uint64(2) + several.astype(np.uint64), np.split(back, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def answers(group: pd.DataFrame, told: np.ndarray, places: list[np.ndarray], n: int, v: int) -> pd.DataFrame:
+    out = pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "totals": [pack(told[at]) for at in places]})
     out["n"], out["v"] = 0, 0
-    out.loc[out.index[0], ["n", "v"]] = [int(total.sum()), int((total > 0).sum())]
+    out.loc[out.index[0], ["n", "v"]] = [n, v]
     return out
 
 
-def answered(asked: DataFrame, parts: int) -> DataFrame:
-    return asked.repartition(parts, "part").groupBy("part").applyInPandas(add_up, ANSWER)
+def add_up(group: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: what is told of each asked key, by packet."""
+    _, told, places = added(group)
+    total = told >> np.uint64(1)
+    return answers(group, told, places, int(total.sum()), int((total > 0).sum()))
+
+
+def hand_back(asked: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    """One cell: the buckets' answers, in the order of their keys, to its chunks."""
+    _, _, places = added(asked)
+    told = np.concatenate([unpack(b) for b in got.sort_values("part")["totals"]])
+    return answers(asked, told, places, int(got["n"].sum()), int(got["v"].sum()))
+
+
+def answered(asked: DataFrame, ways: Ways, bits: int) -> DataFrame:
+    """A row (chunk, part, totals) for each packet asked; n and v are sums over all rows."""
+    if not ways.two:
+        return asked.repartition(ways.buckets, "part").groupBy("part").applyInPandas(add_up, ANSWER)
+
+    def pass_on(group: pd.DataFrame) -> pd.DataFrame:
+        distinct, told, _ = added(group)
+        return pd.DataFrame(deal(int(group["cell"].iloc[0]), distinct, told, ways.buckets, bits)[0], columns=["part", "chunk", "keys", "counts"])
+
+    cells = cut(asked.withColumn("cell", ways.cell()), "cells").repartition(ways.buckets, "cell")
+    sums = cells.groupBy("cell").applyInPandas(pass_on, ASKED)
+    got = sums.repartition(ways.buckets, "part").groupBy("part").applyInPandas(add_up, ANSWER).withColumnRenamed("chunk", "cell")
+    return cells.groupBy("cell").cogroup(got.repartition(ways.buckets, "cell").groupBy("cell")).applyInPandas(hand_back, ANSWER)
 
 
 def gathered(answers: DataFrame, name: str, parts: int) -> DataFrame:
@@ -328,8 +378,11 @@ def each_row(run: Callable) -> Callable:
     return go
 
 
-def score_all(docs: DataFrame, held: Callable[[Column], Column] = held_out, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_all(docs: DataFrame, held: Callable[[Column], Column] = held_out, doc: str = "doc_id", text: str = "text", direct: int = DIRECT) -> DataFrame:
+    """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Above ``direct`` buckets chunks reach them in two steps, with the same result.
+    """
     spark = session(docs)
     small_batches(spark)
     plain = docs.select(F.col(doc).cast("long").alias("id"), held(F.col(doc)).alias("held"), F.col(text).alias("text"))
@@ -337,26 +390,28 @@ def score_all(docs: DataFrame, held: Callable[[Column], Column] = held_out, doc:
     count_of = chunks.count()
     if not count_of:
         return spark.createDataFrame([], SCORES)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count_of // SHARE))
+    ways = Ways(count_of, int(spark.conf.get("spark.sql.shuffle.partitions")), direct)
+    parts, first = ways.buckets, ways.first
+    twice = np.uint64(2)
 
     def send(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "keys", "counts"])
 
     def ask_words(row) -> Iterator[pa.RecordBatch]:
         c = chunk_of(row)
-        yield send(deal(row.chunk, c.words, c.counts, parts, 64)[0])
+        yield send(deal(row.chunk, c.words, c.counts.astype(np.uint64) * twice, first, 64)[0])
 
     def ask_pairs(row) -> Iterator[pa.RecordBatch]:
         c = chunk_of(row)
         pair, _, counts = c.pairs()
         which, keys = c.asked(pair, known(c, row)[1])
         if len(which):
-            yield send(deal(row.chunk, keys, counts[which], parts, 56)[0])
+            yield send(deal(row.chunk, keys, counts[which].astype(np.uint64) * twice, first, 56)[0])
 
-    words = cut(answered(chunks.mapInArrow(each_row(ask_words), ASKED), parts), "words")
+    words = cut(answered(chunks.mapInArrow(each_row(ask_words), ASKED), ways, 64), "words")
     n, v = words.agg(F.sum("n"), F.sum("v")).first()
     with_words = chunks.repartition(parts, "chunk").join(gathered(words, "words_total", parts), "chunk")
-    pairs = cut(answered(with_words.mapInArrow(each_row(ask_pairs), ASKED), parts), "pairs")
+    pairs = cut(answered(with_words.mapInArrow(each_row(ask_pairs), ASKED), ways, 56), "pairs")
     whole = with_words.join(gathered(pairs, "pairs_total", parts), "chunk", "left")
 
     def count(row) -> Iterator[pa.RecordBatch]:

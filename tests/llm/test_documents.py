@@ -494,6 +494,24 @@ def test_lm_odd(spark):
     assert none.train_tokens == 0 and none.score == 0.0
 
 
+def test_lm_in_two_steps(spark, monkeypatch):
+    """Chunks that reach their buckets over cells are told the same, to the last bit."""
+    monkeypatch.setattr(lm, "SHARE", 1)
+    docs = documents(spark).limit(200).repartition(20, "doc_id")
+    ways = lm.Ways(20, 8, 4)
+    assert ways.two and ways.first > 1 and ways.fine > 1 and ways.groups > 1 and not lm.Ways(20, 8, 256).two
+    found = [sorted((tuple(r) for r in lm.score_all(docs, direct=d).collect()), key=repr) for d in (256, 4)]
+    assert len(found[0]) == 200 and found[0] == found[1]
+    assert len(lm.score_all(odd(spark), direct=1).collect()) == len(ODD)
+
+
+def test_lm_packets_of_large_corpora():
+    ways = lm.Ways(170_000, 200, lm.DIRECT)
+    cells = ways.first * ways.groups
+    assert 170_000 * ways.first + cells * ways.fine < 100_000_000  # 7 billion in one step
+    assert abs(170_000 * ways.first / cells / ways.first - lm.SHARE) < 1 and ways.buckets * lm.SHARE >= 170_000
+
+
 def test_packing():
     rng = np.random.default_rng(2)
     for x in (np.zeros(0, np.uint64), np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)), np.array([5], np.uint64)):
