@@ -6,7 +6,8 @@ document and version, a revise does both.  The rows go to ``<root>/ledger``, the
 ``<root>/deltas``, each under the batch's id; the marker in ``<root>/commits``, written last, makes the batch count.  Totals are
 the sums of committed deltas, so they are additive and never need the documents again.
 
-A commit reads of the ledger only the rows of documents that it changes (a semi-join before any sum).  After every ``COMPACT``
+A commit sums of the ledger only the rows of documents that it changes (a semi-join before any sum); to find them it scans the
+ledger's ids, snapshot included, as the files are plain Parquet.  After every ``COMPACT``
 commits the ledger and the deltas are compacted into a snapshot, which stands for the batches named in its marker, so neither
 the number of files nor the rows read follow the number of commits.
 
