@@ -1,18 +1,21 @@
-"""Near-duplicates by the Jaccard similarity of their sets of five-word shingles, 0.8 or more.
+"""Near-duplicates by the Jaccard similarity of their sets of five-word shingles, 0.8 or more, found by Golay keys on fingerprints.
 
-A text's set is sketched by ``HASHES`` minima.  The first of them make ``BANDS`` keys of ``ROWS`` minima each: two sets of
-similarity 0.8 share a key but for 3 in a million pairs, more similar ones but for fewer.  Four bits of each minimum make a
-sketch; of two sets of similarity 0.8, over ``APART`` of the minima differ in it in less than one in a million cases.  What
-shares a key, has sizes within 0.8 and sketches that near is a candidate, and each candidate is verified on the sets themselves.
+A text's set has a SimHash fingerprint of 1,024 bits (``simhash.wide_print``).  Sets of similarity 0.8 differ in 15 % of the bits, so
+four bits of 64 do not reach them.  A key is the index of the Golay codeword nearest to 23 of the bits, with six further bits; two
+such sets share one key in 22, and have 288 kinds of key to share.  Sets of up to ``FEW`` shingles, whose fingerprints differ in up to
+19 %, have 640.  By calculation about 3 in 100,000 pairs of similarity 0.80 are missed, fewer of more similar ones.
+
+In the bucket of a key 88 bits and the rough sizes are compared, and only what has another near by goes on.  What then has
+sizes within 0.8 and whole fingerprints that near is a candidate, and each candidate is verified on the sets themselves.
 
 Shingles that only one of these texts has can't be shared.  If a set of n has u of them, at most n - u are common to it and
 another of m, and a similarity of 0.8 wants 4/9 of n + m; so m is at most 9/4 (n - u) - n, and the same the other way round.  That
 rules out, exactly, the bulk of a large group in which texts differ from each other by edits of their own.
 
-Pairs are made in two rounds, so that a large group costs in proportion to its members where it hangs together: first each
-member of a key meets the one with the least share of shingles of its own, the nearest to the group's middle (ties by key, so
-that they differ); then members of one key meet, each pair in the first key that it shares, if the links found so far leave them
-apart and the bounds and sketches leave them able.
+Pairs are made in two rounds, so that a large group costs in proportion to its members where it hangs together: first, under a
+third of the kinds of key, each member of a key meets the one with the least share of shingles of its own, the nearest to the group's middle (ties by key, so
+that they differ); then members of one key meet, if the links found so far leave them apart and the bounds and fingerprints
+leave them able.
 
 * Equal sets are one node, so exact copies never meet.  Null texts and texts without words are one empty set.
 * A text of under five words is one shingle; very long texts are taken whole.  Ties go to the smaller hash.
@@ -29,18 +32,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .simhash import shingle_hashes
+from .simhash import FURTHER, KINDS, WIDE, shingle_hashes, wide_keys, wide_print
 from .util import HOT, cut, fresh, join_hot, session, small_batches
 
 WORDS, LEAST = 5, 0.8
 SALTS = 64  # tasks that share the pairs of a hot node
-BANDS, ROWS, HASHES, APART = 32, 5, 256, 80
-BLOCK = 1024
-BITS = [f"b{k}" for k in range(HASHES // 16)]
+FEW, USUAL = 20, 288  # sets of up to so many shingles have all KINDS of key, others so many
+NEAR, NEAR_FEW = 29, 34  # of 88 bits
+STEP, STEPS = 1.1, 3  # sizes as powers; those within 0.8 are so many apart at most
+MIDDLES = 8  # that a node meets in the first round, those nearest to the middle of their groups
+FIRST = 96  # kinds of key of the first round; the second has all
+APART, APART_FEW = 215, 260  # of all bits; where the smaller set has under 32 shingles
+BITS = [f"b{k}" for k in range(WIDE // 64)]
 SKETCH = f"struct<{', '.join(f'{b}: long' for b in BITS)}>"
-RNG = np.random.default_rng(20)
-A = (RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-B = RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -49,32 +53,19 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the bands and the words of the bit sketch of a set that is not empty."""
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    base = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(base), BLOCK):
-        least = np.minimum(least, (base[None, at : at + BLOCK] * A + B).min(axis=1))
-    mixed = (least ^ least >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-    four = (mixed >> np.uint32(28)).astype(np.uint8)
-    bits = (four[::2] << np.uint8(4) | four[1::2]).view(np.int64)
-    rows = np.ascontiguousarray(least[: BANDS * ROWS]).reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64), bits
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
 def add_sketches(docs: DataFrame, text: str) -> DataFrame:
-    """docs with node, n, sketch and bands instead of the text; node is 0 for an empty set."""
+    """docs with node, n and sketch instead of the text; node is 0 for an empty set."""
     small_batches(session(docs))
     (got,) = fresh(docs, "got")
-    kind = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.struct([(b, pa.int64()) for b in BITS])), ("bands", pa.list_(pa.int64()))])
-    none = {"node": 0, "n": 0, "sketch": dict.fromkeys(BITS, 0), "bands": []}
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.struct([(b, pa.int64()) for b in BITS]))])
+    none = {"node": 0, "n": 0, "sketch": dict.fromkeys(BITS, 0)}
 
-    @F.arrow_udf(f"node long, n int, sketch {SKETCH}, bands array<long>")
+    @F.arrow_udf(f"node long, n int, sketch {SKETCH}")
     def sketched(texts: pa.Array) -> pa.Array:
         seen: dict = {}
         out = []
@@ -82,9 +73,9 @@ def add_sketches(docs: DataFrame, text: str) -> DataFrame:
             if t not in seen:
                 s = shingle_set(t)
                 if len(s):
-                    bands, bits = sketch(s)
+                    bits = wide_print(s).view(np.int64)
                     node = int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 3)).view(np.int64))
-                    seen[t] = {"node": node, "n": len(s), "sketch": dict(zip(BITS, bits.tolist())), "bands": bands.tolist()}
+                    seen[t] = {"node": node, "n": len(s), "sketch": dict(zip(BITS, bits.tolist()))}
                 else:
                     seen[t] = none
             out.append(seen[t])
@@ -93,16 +84,83 @@ def add_sketches(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn(got, sketched(F.col(text))).select(*(c for c in docs.columns if c != text), f"{got}.*")
 
 
-FOLD = "# | shiftright(#, 1) | shiftright(#, 2) | shiftright(#, 3)"  # the lowest bit of each four tells whether any is set
-ONES = 0x1111111111111111
-
-
 def likely(x: str, y: str) -> Column:
-    """Whether two sketches (aliases) can be of sets that are alike."""
-    apart = F.expr(" + ".join(f"bit_count(({FOLD}) & {ONES}L)".replace("#", f"({x}.sketch.{b} ^ {y}.sketch.{b})") for b in BITS))
+    """Whether two fingerprints (aliases) can be of sets that are alike."""
+    apart = F.expr(" + ".join(f"bit_count({x}.sketch.{b} ^ {y}.sketch.{b})" for b in BITS))
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
     able = (F.col(f"{y}.n") <= F.col(f"{x}.most")) & (F.col(f"{x}.n") <= F.col(f"{y}.most"))
-    return able & (small >= large * F.lit(LEAST) - F.lit(1e-6)) & (apart <= APART)
+    return able & (small >= large * F.lit(LEAST) - F.lit(1e-6)) & (apart <= F.when(small < 32, APART_FEW).otherwise(APART))
+
+
+FEW_POWER = int(np.log(FEW) / np.log(STEP))
+
+
+def rough(size: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sizes as powers of STEP, and 24 bits of the second word (int32)."""
+    power = np.floor(np.log(size) / np.log(STEP)).astype(np.uint32)
+    return (power << np.uint32(24) | (words[:, 1] & np.uint64(0xFFFFFF)).astype(np.uint32)).view(np.int32)
+
+
+def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From n and the words of the fingerprint: a row for each key, with the first word, the power of the size and 24 bits more."""
+    for batch in batches:
+        size = np.asarray(batch.column(0))
+        words = np.stack([np.asarray(batch.column(k)).view(np.uint64) for k in range(1, batch.num_columns)], axis=1)
+        more = rough(size, words)
+        for few, kinds in ((True, KINDS), (False, USUAL)):
+            those = np.flatnonzero((size <= FEW) == few)
+            for at in range(0, len(those), 512):
+                own = those[at : at + 512]
+                key = wide_keys(np.ascontiguousarray(words[own]), kinds).ravel().astype(np.int32)
+                print_, rest = (np.repeat(x[own], kinds) for x in (words[:, 0].view(np.int64), more))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(print_), pa.array(rest)], names=["band", "print", "more"])
+
+
+def close(v: np.ndarray, m: np.ndarray, w: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Whether rows (first word, and what ``rough`` tells) can be of sets that are alike."""
+    p, q = m >> 24 & 255, o >> 24 & 255
+    apart = np.bitwise_count(v ^ w) + np.bitwise_count((m ^ o) & 0xFFFFFF)
+    return (np.abs(p - q) <= STEPS) & (apart <= np.where(np.minimum(p, q) <= FEW_POWER, NEAR_FEW, NEAR))
+
+
+def with_company(key: np.ndarray, v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which rows, ordered by key, have another one near by under their key."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    mark = np.zeros(len(key), bool)
+    small = np.repeat(size <= 64, size)
+    for step in range(1, int(size[size <= 64].max(initial=1))):
+        i = np.flatnonzero(small[:-step] & (key[step:] == key[:-step]))
+        i = i[close(v[i], m[i], v[i + step], m[i + step])]
+        mark[i] = mark[i + step] = True
+    for k in np.flatnonzero(size > 64):
+        own = np.arange(first[k], first[k] + size[k])
+        left = own
+        while len(left):
+            near = own[close(v[own], m[own], v[left[0]], m[left[0]])]
+            if len(near) > 1:
+                mark[near] = True
+            left = left[1:]
+            left = left[~mark[left]]
+    return mark
+
+
+def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (band, print, more) ordered by band, those with another one near by."""
+    held = [np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32)]
+
+    def kept(key, v, m):
+        mark = with_company(key, v, m)
+        return pa.RecordBatch.from_arrays([pa.array(key[mark]), pa.array(v[mark].view(np.int64))], names=["band", "print"])
+
+    for batch in batches:
+        new = [np.asarray(batch.column(k)) for k in range(3)]
+        held = [np.concatenate([a, b.view(a.dtype)]) for a, b in zip(held, new)]
+        if len(held[0]) and (last := np.searchsorted(held[0], held[0][-1])):
+            yield kept(*(x[:last] for x in held))
+            held = [x[last:] for x in held]
+    if len(held[0]):
+        yield kept(*held)
 
 
 def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +213,12 @@ def groups(docs: DataFrame, text: str, key: str) -> DataFrame:
     near-duplicates."""
     printed = cut(add_sketches(docs, text), "sketches")
     rep = F.min(F.struct(F.col("doc").isNull().alias("no"), F.col("doc").alias("doc"), F.col(key).alias("h"))).alias("rep")
-    nodes = printed.groupBy("node").agg(F.min("n").alias("n"), F.first("sketch").alias("sketch"), rep, F.first("bands").alias("bands"))
-    nodes = cut(nodes, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    several = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
-    shared = cut(banded.join(several, "band"), "bands")
+    nodes = cut(printed.groupBy("node").agg(F.min("n").alias("n"), F.first("sketch").alias("sketch"), rep), "nodes")
+    # sets of under four shingles are alike only where they are equal
+    keyed = nodes.filter("n > 3").select("n", "sketch.*").mapInArrow(key_rows, "band int, print long, more int")
+    tasks = int(session(docs).conf.get("spark.sql.shuffle.partitions"))
+    met = cut(keyed.repartition(tasks, "band").sortWithinPartitions("band").mapInArrow(company, "band int, print long"), "met")
+    shared = cut(met.distinct().join(nodes.filter("n > 3").select("node", F.col("sketch.b0").alias("print")), "print").select("node", "band"), "bands")
 
     # one text for each node that shares a key, as its set; by doc and hash, so that copies do not meet
     wanted = nodes.join(shared.select("node").distinct(), "node")
@@ -170,7 +229,7 @@ def groups(docs: DataFrame, text: str, key: str) -> DataFrame:
     own = own.filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
     light = wanted.select("node", "n", "sketch").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     light = cut(light.withColumn("most", F.floor((F.col("n") - F.col("own")) * (1 + 1 / LEAST) - F.col("n") + F.lit(1e-6))), "light")
-    members = cut(shared.join(light, "node"), "members")
+    members = cut(shared.join(light.drop("sketch"), "node"), "members")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         x = pairs.alias("p").join(light.alias("x"), F.col("p.a") == F.col("x.node")).join(light.alias("y"), (F.col("p.b") == F.col("y.node")) & likely("x", "y"))
@@ -178,8 +237,11 @@ def groups(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     mix = F.xxhash64("band")
     middle = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), F.col("node").bitwiseXOR(mix).alias("node"))).alias("m")
-    first = members.groupBy("band").agg(middle, F.min("n").alias("shortest")).select("band", "shortest", F.col("m.node").bitwiseXOR(mix).alias("first"))
-    star = members.select("band", "node").join(first, "band").filter("node <> first")
+    first = members.groupBy("band").agg(middle, F.min("n").alias("shortest")).select("band", "shortest", "m.share", F.col("m.node").bitwiseXOR(mix).alias("first"))
+    first = cut(first, "first")
+    star = members.filter(F.shiftright("band", 12 + FURTHER) < FIRST).select("band", "node").join(first, "band").filter("node <> first").select("node", "share", "first").distinct()
+    best = F.slice(F.sort_array(F.collect_list(F.struct("share", "first"))), 1, MIDDLES)
+    star = star.groupBy("node").agg(best.alias("m")).select("node", F.explode("m").alias("m")).select("node", "m.first")
     star = candidates(star.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct())
     links = verified(star, sets)
 
@@ -188,12 +250,9 @@ def groups(docs: DataFrame, text: str, key: str) -> DataFrame:
     able = rooted.join(first.select("band", "shortest"), "band").filter("most >= shortest").drop("shortest")
     able = cut(able, "able")
     split = able.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    # with the keys before this one, so that a pair meets once
-    open_ = able.join(split, "band").join(nodes.select("node", "bands"), "node")
-    open_ = cut(open_.withColumn("before", F.expr("slice(bands, 1, cast(array_position(bands, band) as int) - 1)")).drop("bands"), "open")
+    open_ = cut(able.join(split, "band").select("band", "node", "root").join(light, "node"), "open")
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y")
-    met = met & ~F.arrays_overlap("x.before", "y.before")
-    rest = open_.alias("x").join(open_.alias("y"), met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    rest = open_.alias("x").join(open_.alias("y"), met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = cut(rest.join(star, ["a", "b"], "left_anti"), "candidates")
     more = verified(rest, sets)
 

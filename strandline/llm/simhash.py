@@ -42,6 +42,11 @@ MAX_BUCKET = 4096
 BLOCK = 1 << 15
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, fixed value
+# the wide fingerprint of ``jaccard`` and the bits that its keys pick: 23 for a codeword, and some further ones
+WIDE, KINDS, FURTHER = 1024, 640, 6
+RNG = np.random.default_rng(20)
+MIXERS = RNG.integers(0, 1 << 63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PICKED = np.stack([RNG.choice(WIDE, 23 + FURTHER, replace=False) for _ in range(KINDS)])
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -239,6 +244,33 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], names=["key", "print"])
 
 
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingle hashes, in WIDE bits (uint64): those of the hashes, then those of mixtures of them."""
+    ones, n = np.zeros(WIDE, np.int64), len(hashes)
+    for at in range(0, n, 240):
+        h = hashes[at : at + 240, None]
+        mixed = h * MIXERS
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(29)
+        mixed[:, :1] = h
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n).view(np.uint64)
+
+
+def wide_keys(prints: np.ndarray, kinds: int) -> np.ndarray:
+    """(row, kind): the kind, the index of the codeword nearest to its 23 bits, and its further bits."""
+    if not GOLAY:
+        GOLAY.append(Golay())
+    bits = np.unpackbits(prints.view(np.uint8), axis=1)
+    word, rest = (np.zeros((len(prints), kinds), np.int64) for _ in range(2))
+    for k in range(23):
+        word |= bits[:, PICKED[:kinds, k]].astype(np.int64) << k
+    for k in range(FURTHER):
+        rest |= bits[:, PICKED[:kinds, 23 + k]].astype(np.int64) << k
+    return (np.arange(kinds) << 12 | GOLAY[0].decode(word)) << FURTHER | rest
+
+
 def near_words(prints: np.ndarray) -> np.ndarray:
     """Every word within two bits, a row for each fingerprint."""
     one = np.uint64(1) << np.arange(64, dtype=np.uint64)
