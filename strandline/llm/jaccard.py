@@ -14,8 +14,11 @@ rules out, exactly, the bulk of a large group in which texts differ from each ot
 
 Pairs are made in two rounds, so that a large group costs in proportion to its members where it hangs together: first, under a
 third of the kinds of key, each member of a key meets the one with the least share of shingles of its own, the nearest to the group's middle (ties by key, so
-that they differ); then members of one key meet, if the links found so far leave them apart and the bounds and fingerprints
-leave them able.
+that they differ).  Then each key has a hub, a set in the middle of the group that most of its members belong to, and a member is known by its
+deviations: what it has and the hub has not, or the other way round.  Members of one key that are still apart have the hub in common,
+so how many shingles they differ in follows from how many deviations they share; those that are not alike with the hub need to
+share many.  They meet under shared deviations, rarest first, where the bounds leave them able (``able_pairs``, exact), and edits
+of their own, however many members have them, meet no one.
 
 * Equal sets are one node, so exact copies never meet.  Null texts and texts without words are one empty set.
 * A text of under five words is one shingle; very long texts are taken whole.  Ties go to the smaller hash.
@@ -36,6 +39,7 @@ from .simhash import FURTHER, KINDS, WIDE, shingle_hashes, wide_keys, wide_print
 from .util import HOT, cut, fresh, join_hot, session, small_batches
 
 WORDS, LEAST = 5, 0.8
+TIMES = 9  # (1 + LEAST) / (1 - LEAST)
 SALTS = 64  # tasks that share the pairs of a hot node
 FEW, USUAL = 20, 288  # sets of up to so many shingles have all KINDS of key, others so many
 NEAR, NEAR_FEW = 29, 34  # of 88 bits
@@ -208,6 +212,73 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(whole.mapInArrow(alike, "a long, b long"), "alike")
 
 
+def around(members: DataFrame, rooted: DataFrame, star: DataFrame, links: DataFrame) -> DataFrame:
+    """Node, root, n and own of the nodes that may have further links, with a hub; two nodes under one key have one hub in common.
+
+    A node's hub is the one with most links within two pairs of the first round; a key's is the first of its nodes' hubs by that
+    count.  Hubs whose nodes have one root are left out.
+    """
+    near = star.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    near = near.unionByName(near.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    near = cut(near.unionByName(near.select("node", F.col("node").alias("other")).distinct()), "near")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = near.select("node").distinct().join(degrees, "node", "left")
+    hubs = hubs.select("node", F.struct(F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), "node").alias("hub"))
+    for _ in range(2):
+        hubs = near.join(hubs.select(F.col("node").alias("other"), "hub"), "other").groupBy("node").agg(F.max("hub").alias("hub"))
+    alone = F.struct(F.lit(0).cast("long").alias("degree"), "node")
+    able = rooted.filter(F.col("most") >= F.col("n") * F.lit(LEAST) - F.lit(1e-6)).join(hubs, "node", "left")
+    able = cut(able.select("node", "root", F.coalesce("hub", alone).alias("hub")), "able")
+    tagged = cut(members.join(able, "node"), "tagged")
+    keys = tagged.groupBy("band").agg(F.min("n").alias("shortest"), F.max("hub").alias("top"))
+    met = tagged.join(keys, "band").filter("most >= shortest")
+    met = cut(met.select("node", "root", "n", "own", F.col("top.node").alias("hub")).distinct(), "met")
+    apart = met.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("hub")
+    return met.join(apart, "hub")
+
+
+def deviations(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (node and hub, a stored table) with the size of the hub's set, ``apart`` (what one of the two sets has and the other does
+    not) and ``weight``: TIMES the size of that, less the size of the node's set."""
+    pairs = pairs.withColumnsRenamed({"node": "a", "hub": "b"})
+    hot = {side: hot_nodes(pairs, side) for side in "ab"}
+    whole = with_set(with_set(pairs, sets, "b", "t", hot["b"]), sets, "a", "s", hot["a"])
+    apart = F.concat(F.array_except("s", "t"), F.array_except("t", "s"))
+    held = whole.select(F.col("a").alias("node"), F.col("b").alias("hub"), "root", "n", "own", F.size("t").alias("hub_n"), apart.alias("apart"))
+    return cut(held.withColumn("weight", F.size("apart") * TIMES - F.col("n")), "deviations")
+
+
+def able_pairs(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots around one hub that can be alike.
+
+    Two sets are alike if TIMES the number of shingles in one of them only is at most the sum of their sizes; so if their weights
+    are at most 2 TIMES the number of deviations that they share.  Nodes whose weight is at most the hub's size are alike with the
+    hub, so one of a pair is another, ``far``.  From that follows for each node how many it must share with whichever partner
+    (``need``).  Those that no one else has can't be shared; of the others, rarest first, two such nodes have one in common among
+    all but the last need - 1.
+    """
+    two = F.lit(2 * TIMES)
+    held = held.withColumn("far", F.col("weight") > F.col("hub_n"))
+    most = two * (F.size("apart") - F.col("own"))
+    live = held.filter(F.col("far") | (most > F.col("weight") + F.col("hub_n")))
+    bounds = live.groupBy("hub").agg(F.min("weight").alias("lightest"), F.max("far").alias("some")).filter("some").drop("some")
+    live = live.join(bounds, "hub").withColumn("other", F.when(F.col("far"), F.col("lightest")).otherwise(F.col("hub_n") + 1))
+    live = cut(live.filter(most >= F.col("weight") + F.col("other")), "live")
+    items = live.select("hub", "node", F.explode("apart").alias("item"))
+    common = items.groupBy("hub", "item").agg(F.count("*").alias("times")).filter("times > 1")
+    rare = F.sort_array(F.collect_list(F.struct("times", "item"))).alias("items")
+    ready = live.drop("apart").join(items.join(common, ["hub", "item"]).groupBy("hub", "node").agg(rare), ["hub", "node"])
+    ready = ready.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("other")) / two)).cast("int"))
+    ready = ready.filter(F.size("items") >= F.col("need")).withColumn("reach", two * F.size("items") - F.col("weight"))
+    kept = F.slice("items", F.lit(1), F.size("items") - F.col("need") + 1)
+    index = cut(ready.select("hub", "node", "root", "weight", "reach", "far", F.explode(kept).alias("i")).withColumn("item", F.col("i.item")).drop("i"), "index")
+    x, y = index.alias("x"), index.alias("y")
+    met = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.node") < F.col("y.node"))
+    met &= (F.col("x.root") != F.col("y.root")) & (F.col("x.far") | F.col("y.far"))
+    met &= (F.col("x.reach") >= F.col("y.weight")) & (F.col("y.reach") >= F.col("x.weight"))
+    return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, text: str, key: str) -> DataFrame:
     """docs (doc, text, and key, the hash of the text) without the text and with ``root``: equal for rows joined by links of
     near-duplicates."""
@@ -237,26 +308,18 @@ def groups(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     mix = F.xxhash64("band")
     middle = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), F.col("node").bitwiseXOR(mix).alias("node"))).alias("m")
-    first = members.groupBy("band").agg(middle, F.min("n").alias("shortest")).select("band", "shortest", "m.share", F.col("m.node").bitwiseXOR(mix).alias("first"))
-    first = cut(first, "first")
+    first = cut(members.groupBy("band").agg(middle).select("band", "m.share", F.col("m.node").bitwiseXOR(mix).alias("first")), "first")
     star = members.filter(F.shiftright("band", 12 + FURTHER) < FIRST).select("band", "node").join(first, "band").filter("node <> first").select("node", "share", "first").distinct()
     best = F.slice(F.sort_array(F.collect_list(F.struct("share", "first"))), 1, MIDDLES)
     star = star.groupBy("node").agg(best.alias("m")).select("node", F.explode("m").alias("m")).select("node", "m.first")
     star = candidates(star.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct())
     links = verified(star, sets)
 
-    found = components(links)
-    rooted = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    able = rooted.join(first.select("band", "shortest"), "band").filter("most >= shortest").drop("shortest")
-    able = cut(able, "able")
-    split = able.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    open_ = cut(able.join(split, "band").select("band", "node", "root").join(light, "node"), "open")
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y")
-    rest = open_.alias("x").join(open_.alias("y"), met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = cut(rest.join(star, ["a", "b"], "left_anti"), "candidates")
-    more = verified(rest, sets)
-
-    found = components(links.unionByName(more))
+    rooted = light.drop("sketch").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = deviations(cut(around(members, rooted, star, links), "around"), sets)
+    sure = held.filter("node <> hub and weight <= hub_n").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    rest = cut(able_pairs(held).join(star, ["a", "b"], "left_anti"), "candidates")
+    found = components(links.unionByName(sure).unionByName(verified(rest, sets)))
     roots = cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
     kept = [c for c in docs.columns if c != text]
     return join_hot(printed.select(*kept, "node"), roots, "node").select(*kept, "root")
