@@ -22,7 +22,7 @@ def near_copies():
 
 
 def test_members_of_a_group_do_not_all_meet(spark, monkeypatch):
-    """Before, all but a few of the 1,600 pairs of one that lacks words and one with others were compared."""
+    """Before, 2,123 of the 3,240 pairs were compared in the second round."""
     rows = near_copies()
     counted = []
     real = jaccard.verified
